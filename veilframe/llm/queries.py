@@ -4,20 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import simhash
+from veilframe.llm import bpe, mixing, pii, simhash, toxicity
 from veilframe.llm.shared import table
 
+TOKENIZER = "byte_bpe_50k.tiktoken"
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shared = bpe.load(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return docs.select("doc_id", bpe.round_trip(docs, shared).alias("r")).select("doc_id", "r.*")
+
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.pii_spans(docs).alias("p"))
+    counts = [F.size(F.filter("p.base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    every = F.concat("p.base", "p.added")
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("p.base")), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": op1_source_mix,
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_simhash_golay": op6_simhash_golay,
+    "op9_toxicity_kneser_ney": op9_toxicity_kneser_ney,
+    "op10_pii_semi_markov": op10_pii_semi_markov,
 }
 
 ORACLE_SQL: dict[str, str] = {}

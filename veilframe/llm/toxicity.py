@@ -2,19 +2,19 @@
 
 Each class (toxic, ordinary) has an interpolated Kneser-Ney bigram model over lower-cased words:
 
-    P_c(w|u) = max(c_c(u,w) - D_c(u,w), 0) / c_c(u)  +  L_c(u) P_c(w)
-    P_c(w)   = max(k_c(w)   - D_c(w),   0) / K_c     +  L_c    P(w)
+    P_c(w|u) = kept_c(u,w) / c_c(u)  +  L_c(u) P_c(w)
+    P_c(w)   = kept_c(w)   / K_c     +  L_c    P(w)
 
-``k_c(w)`` is the continuation count, the number of different words before ``w`` in class ``c``; ``P(w)`` comes from
-the continuation counts of both classes together, the shared backoff. ``L`` is the mass the discounts free. The
-discount grows with what the shared counts lead one to expect, ``D = discount + slack * expected``: a word
-keeps a class's own mass only where the class shows it clearly more often than both classes together, so that rare
-expressions, and shares of languages that differ between the classes, fall back to the shared counts and say nothing.
+``kept`` is a count less its discount, ``L`` the mass that discounts free. ``P_c(w)`` rests on continuation counts, the
+number of different words before ``w`` in class ``c`` (``K_c`` is their sum). ``P(w)`` is the backoff that both classes share, made as Kneser and
+Ney ask from what the discounts took away in both. The discount is ``DISCOUNT`` where one class shows a word (or pair) clearly more
+often than the other, in enough texts; any other count is discounted whole. So rare expressions, and shares of languages
+that differ between the classes, fall back to the shared counts and say nothing.
 
 A text's evidence is the difference of both log-likelihoods, divided by its number of words. Shared
 probabilities cancel in it wherever no own mass is left, so the model that is sent out holds only the words and pairs
 that kept some; what it is learnt from is a sample of at most ``max_docs`` labelled texts a class, which bounds
-it whatever the corpus. A quarter of the sample takes no part in the counts and fits the two numbers that turn evidence
+it whatever the corpus. A quarter of the sample takes no part in the counts and fits the logistic regression that turns evidence
 into a score.
 """
 
@@ -34,8 +34,9 @@ from veilframe.llm.shared import materialize, ship
 
 #: Labelled texts a class that the model learns from, those with the smallest hashes of their ids.
 MAX_DOCS = 4000
-DISCOUNT = 3.0
-SLACK = 1.5
+DISCOUNT = 0.75
+#: A class shows a word clearly more often: over ``RATIO`` times the other class's rate plus ``MARGIN`` counts, in ``MIN_TEXTS`` texts.
+RATIO, MARGIN, MIN_TEXTS = 3.0, 12, 4
 FOLDS = 5
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -55,14 +56,16 @@ class Model:
     context: np.ndarray = field(default_factory=lambda: np.zeros(1))
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     pair_change: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    slope: float = 0.0
+    slopes: tuple[float, float] = (0.0, 0.0)
     offset: float = -20.0
 
-    def evidence(self, text: str | None) -> float:
-        """Difference of the log-likelihoods (toxic less ordinary) a word; that of an unknown word for no words."""
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """Difference of the log-likelihoods (toxic less ordinary) a word, that of an unknown word for no words;
+        and, on a logarithmic scale, what the whole text's differs from as many unknown words by.
+        """
         found = words(text)
         if not found:
-            return float(self.word[0])
+            return float(self.word[0]), 0.0
         get = self.vocabulary.get
         codes = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
         total = self.word[codes].sum() + self.context[codes[:-1]].sum()
@@ -71,10 +74,11 @@ class Model:
             keys = codes[at] * len(self.word) + codes[at + 1]
             place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
             total += self.pair_change[place[self.pairs[place] == keys]].sum()
-        return float(total / len(found))
+        return float(total / len(found)), math.asinh(float(total - len(found) * self.word[0]))
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * self.evidence(text) + self.offset))))
+        x, whole = self.evidence(text)
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slopes[0] * x + self.slopes[1] * whole + self.offset))))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -97,7 +101,10 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: s
 
 
 def _count(sample: DataFrame) -> DataFrame:
-    """``(u, w, t, o)``: pairs of neighbouring words and how often each class has them."""
+    """``(u, w, t, o)``: pairs of neighbouring words and how often each class has them.
+
+    With ``u`` null: in how many texts of each class ``w`` stands.
+    """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from veilframe.llm.toxicity import words as cut
@@ -107,13 +114,14 @@ def _count(sample: DataFrame) -> DataFrame:
             for toxic, body in zip(pdf["toxic"], pdf["body"], strict=True):
                 found = cut(body)
                 seen.update((int(toxic), u, w) for u, w in zip(found, found[1:], strict=False))
+                seen.update((int(toxic), None, w) for w in set(found))
             yield pd.DataFrame([(u, w, n if c else 0, 0 if c else n) for (c, u, w), n in seen.items()], columns=["u", "w", "t", "o"])
 
     counted = sample.where("not fits").select("toxic", "body").mapInPandas(pairs, "u binary, w binary, t long, o long")
     return materialize(counted.groupBy("u", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "toxicity-pairs")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS, discount: float = DISCOUNT, slack: float = SLACK) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS, discount: float = DISCOUNT, ratio: float = RATIO, margin: float = MARGIN) -> Model:
     """Learn from the labelled rows that are not held out.
 
     Without rows of one of the classes there is nothing to compare: every score is then the share of toxic rows, and 0
@@ -127,23 +135,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     if not n[0] or not n[1]:
         model.offset = 500.0 if n[1] else -500.0
         return model
-    pairs = _count(sample)
-    unigram = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"), F.count(F.lit(1)).alias("k"))
-    sums = unigram.agg(F.sum("t"), F.sum("o"), F.sum("k")).first()
-    if not sums[2] or not sums[0] or not sums[1]:
-        sums = (max(sums[0] or 0, 1), max(sums[1] or 0, 1), max(sums[2] or 0, 1))
-    kt, ko, k = (float(x) for x in sums)
-    own_t, own_o = (F.greatest(F.col(c) - discount - slack * total * F.col("k") / k, F.lit(0.0)) for c, total in (("t", kt), ("o", ko)))
-    freed = unigram.agg(F.sum(own_t), F.sum(own_o)).first()
-    rest_t, rest_o = 1 - (freed[0] or 0.0) / kt, 1 - (freed[1] or 0.0) / ko
-    context = pairs.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo"), F.sum(F.col("t") + F.col("o")).alias("uk"))
-    kept = pairs.where(F.greatest("t", "o") > discount).join(context, "u").withColumns({
-        c: F.greatest(F.col(s) - discount - slack * F.col(u) * (F.col("t") + F.col("o")) / F.col("uk"), F.lit(0.0)) for c, s, u in (("bt", "t", "ut"), ("bo", "o", "uo"))
-    })
-    # what kept mass of its own, of a sample of bounded size
-    bigrams = kept.where("bt > 0 or bo > 0").join(unigram.select("w", F.col("t").alias("wt"), F.col("o").alias("wo"), "k"), "w").select("u", "w", "bt", "bo", "ut", "uo", "wt", "wo", "k").collect()
-    unigrams = unigram.withColumns({"at": own_t, "ao": own_o}).where("at > 0 or ao > 0").collect()
-    assemble(model, [(bytes(r["w"]), r["at"] / kt, r["ao"] / ko, r["k"] / k) for r in unigrams], [(bytes(r["u"]), bytes(r["w"]), r["bt"] / max(r["ut"], 1), r["bo"] / max(r["uo"], 1), r["k"] / k) for r in bigrams], rest_t, rest_o)
+    counts = _count(sample)
+    pairs = counts.where("u is not null")
+    texts = counts.where("u is null").select("w", F.col("t").alias("dt"), F.col("o").alias("do"))
+    unigram = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).join(texts, "w")
+    kt, ko = (float(x or 1) for x in unigram.agg(F.sum("t"), F.sum("o")).first())
+
+    def clearly(rate: Column | float) -> Column:
+        """``rate``: how many counts of the toxic class go with one of the ordinary class."""
+        more = (F.col("t") > ratio * rate * F.col("o") + margin) & (F.col("dt") >= MIN_TEXTS)
+        less = (F.col("o") > ratio / rate * F.col("t") + margin) & (F.col("do") >= MIN_TEXTS)
+        return more | less
+
+    unigram = unigram.withColumn("own", clearly(kt / ko))
+    keep = lambda c: F.when(F.col("own"), F.greatest(F.col(c) - discount, F.lit(0.0))).otherwise(0.0)
+    unigram = unigram.withColumns({"at": keep("t"), "ao": keep("o")}).withColumn("freed", F.col("t") + F.col("o") - F.col("at") - F.col("ao"))
+    kept_t, kept_o, freed = (float(x or 0) for x in unigram.agg(F.sum("at"), F.sum("ao"), F.sum("freed")).first())
+    freed = max(freed, 1.0)
+    context = pairs.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo"))
+    likely = pairs.where(F.greatest("t", "o") > margin).join(context, "u").join(texts, "w").where((F.col("ut") > 0) & (F.col("uo") > 0))
+    bigrams = likely.withColumn("own", clearly(F.col("ut") / F.col("uo"))).where("own").withColumns({"bt": keep("t") / F.col("ut"), "bo": keep("o") / F.col("uo")})
+    # only words and pairs that kept mass reach the driver, of a sample of bounded size
+    unigrams = [(bytes(r["w"]), r["at"] / kt, r["ao"] / ko, max(r["freed"], discount) / freed) for r in unigram.where("own").collect()]
+    shared_counts = unigram.select("w", F.col("freed"))
+    bigrams = [(bytes(r["u"]), bytes(r["w"]), r["bt"], r["bo"], max(r["freed"], discount) / freed) for r in bigrams.join(shared_counts, "w").collect()]
+    assemble(model, unigrams, bigrams, 1 - kept_t / kt, 1 - kept_o / ko)
     _calibrate(model, sample, n)
     return model
 
@@ -154,9 +170,9 @@ def assemble(model: Model, unigrams: list[tuple], bigrams: list[tuple], rest_t:
     model.vocabulary = {w: i + 1 for i, w in enumerate(names)}
     code, size = model.vocabulary, len(names) + 1
     own = {w: (t, o) for w, t, o, _ in unigrams}
-    model.word = np.full(size, math.log(rest_t / rest_o))
+    model.word = np.full(size, math.log(max(rest_t, 1e-9) / max(rest_o, 1e-9)))
     for w, t, o, p in unigrams:
-        model.word[code[w]] = math.log((t + rest_t * p) / (o + rest_o * p))
+        model.word[code[w]] = math.log((t + max(rest_t, 1e-9) * p) / (o + max(rest_o, 1e-9) * p))
     left = {u: [1.0, 1.0] for u, *_ in bigrams}
     for u, _, t, o, _ in bigrams:
         left[u][0] -= t
@@ -167,7 +183,7 @@ def assemble(model: Model, unigrams: list[tuple], bigrams: list[tuple], rest_t:
     changes = []
     for u, w, t, o, p in bigrams:
         at, ao = own.get(w, (0.0, 0.0))
-        full = math.log((t + max(left[u][0], 1e-9) * (at + rest_t * p)) / (o + max(left[u][1], 1e-9) * (ao + rest_o * p)))
+        full = math.log((t + max(left[u][0], 1e-9) * (at + max(rest_t, 1e-9) * p)) / (o + max(left[u][1], 1e-9) * (ao + max(rest_o, 1e-9) * p)))
         changes.append((code[u] * size + code[w], full - model.word[code[w]] - model.context[code[u]]))
     changes.sort()
     model.pairs = np.array([a for a, _ in changes], np.int64)
@@ -181,31 +197,31 @@ def _calibrate(model: Model, sample: DataFrame, n: dict[int, int]) -> None:
     """
     shared = sample.sparkSession.sparkContext.broadcast(model)
     judged = sample.where("fits").select("toxic", evidence_column(shared)("body").alias("x")).collect()
-    x, y = np.array([r["x"] for r in judged], float), np.array([r["toxic"] for r in judged], float)
+    x, y = np.array([r["x"] for r in judged], float).reshape(-1, 2), np.array([r["toxic"] for r in judged], float)
     share = n[1] / (n[0] + n[1])
+    model.offset = math.log(share / (1 - share))
     if not 0 < y.sum() < len(y):
-        model.slope, model.offset = 0.0, math.log(share / (1 - share))
         return
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-    middle, scale = np.median(x[y == 0]), max(float(x.std()), 1e-9)
+    middle, scale = np.median(x[y == 0], axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = np.column_stack([(x - middle) / scale, np.ones(len(x))])
-    beta = np.array([0.0, math.log(share / (1 - share))])
-    ridge = np.array([1e-3, 1e-6]) * len(x)
+    beta = np.array([0.0, 0.0, model.offset])
+    ridge = np.array([1e-3, 1e-3, 1e-6]) * len(x)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (y - p)) - ridge * beta)
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    model.slope = float(max(beta[0], 0.0) / scale)
-    model.offset = float(beta[1] - model.slope * middle)
+    slopes = np.maximum(beta[:2], 0.0) / scale
+    model.slopes, model.offset = (float(slopes[0]), float(slopes[1])), float(beta[2] - slopes @ middle)
 
 
 def evidence_column(shared):  # noqa: ANN001, ANN201
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def evidence(bodies: pd.Series) -> pd.Series:
         model = shared.value
-        return pd.Series([model.evidence(x) for x in bodies], dtype="float64")
+        return pd.Series([list(model.evidence(x)) for x in bodies], dtype="object")
 
     return evidence
 
