@@ -292,3 +292,17 @@ def round_trip(docs: DataFrame, shared, text: str = "text") -> Column:  # noqa:
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests(F.col(text))
+
+
+def encode_checked(docs: DataFrame, shared, text: str = "text") -> Column:  # noqa: ANN001
+    """A struct column for storage: the ids, their number, and whether decoding gives the text's bytes back."""
+
+    @F.pandas_udf("ids array<int>, n_tokens long, exact boolean")
+    def rows(bodies: pd.Series) -> pd.DataFrame:
+        from veilframe.llm.bpe import encoder as get
+
+        own = get(*shared.value)
+        found = [(ids, len(ids), own.decode(ids) == (body or "").encode("utf-8", "surrogatepass")) for body, ids in zip(bodies, own.encode_batch(bodies), strict=True)]
+        return pd.DataFrame(found, columns=["ids", "n_tokens", "exact"])
+
+    return rows(F.col(text))

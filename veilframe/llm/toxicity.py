@@ -143,8 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     def clearly(rate: Column | float) -> Column:
         """``rate``: how many counts of the toxic class go with one of the ordinary class."""
-        more = (F.col("t") > ratio * rate * F.col("o") + margin) & (F.col("dt") >= MIN_TEXTS)
-        less = (F.col("o") > ratio / rate * F.col("t") + margin) & (F.col("do") >= MIN_TEXTS)
+        t, o = F.col("t"), F.col("o")
+        # at either class's scale, so that a class with few texts proves nothing by what it lacks
+        more = (t > ratio * rate * o + margin) & (t / rate > ratio * o + margin) & (F.col("dt") >= MIN_TEXTS)
+        less = (o > ratio / rate * t + margin) & (o * rate > ratio * t + margin) & (F.col("do") >= MIN_TEXTS)
         return more | less
 
     unigram = unigram.withColumn("own", clearly(kt / ko))
