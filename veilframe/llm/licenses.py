@@ -43,7 +43,7 @@ LICENSES = [
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?", "bsd 4 clause"),
     ("bsl-1.0", "boost", "boost software licen[cs]e(?: version 1(?: 0)?)?", "bsl 1 0"),
     ("busl-1.1", "business source", "business source licen[cs]e(?: 1 1)?", "busl 1 1"),
-    ("bzip2", "bzip2", "bzip2 licen[cs]e", "bzip2 1 0 6"),
+    ("bzip2", "bzip2 licen", "bzip2 licen[cs]e", "bzip2 1 0 6"),
     ("cc0-1.0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
     ("cc-by-4.0", "attribution", "creative commons attribution(?: international)?(?: 4 0)?(?: international)?(?: public)? licen[cs]e", "cc by 4 0"),
     ("cc-by-nc-4.0", "attribution non", "creative commons attribution non ?commercial(?: 4 0)?(?: international)? licen[cs]e", "cc by nc 4 0"),
@@ -53,7 +53,7 @@ LICENSES = [
     ("cddl-1.0", "common development", "common development and distribution licen[cs]e(?: version 1 [01])?", "cddl 1 0"),
     ("cecill-2.1", "cecill", "cecill(?: free software)? licen[cs]e(?: (?:agreement )?version 2 1)?", "cecill 2 1"),
     ("cpl-1.0", "common public", "common public licen[cs]e(?: version 1 0)?", "cpl 1 0"),
-    ("curl", "curl", "curl licen[cs]e", "curl"),
+    ("curl", "curl licen", "curl licen[cs]e", "curl"),
     ("ecl-2.0", "educational community", "educational community licen[cs]e(?: version 2 0)?", "ecl 2 0"),
     ("efl-2.0", "eiffel", "eiffel forum licen[cs]e(?: v(?:ersion )?2(?: 0)?)?", "efl 2 0"),
     ("epl-1.0", "eclipse", "eclipse public licen[cs]e (?:version |v)?1(?: 0)?", "epl 1 0"),
@@ -66,17 +66,17 @@ LICENSES = [
     ("gpl-2.0", "general public", "(?:gnu )?general public licen[cs]e(?: as published by the free software foundation)? (?:either )?(?:version |v)?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
     ("gpl-3.0", "general public", "(?:gnu )?general public licen[cs]e(?: as published by the free software foundation)? (?:either )?(?:version |v)?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
     ("hpnd", "historical permission", "historical permission notice and disclaimer", "hpnd"),
-    ("icu", "icu", "icu licen[cs]e", "icu"),
+    ("icu", "icu licen", "icu licen[cs]e", "icu"),
     ("ijg", "jpeg group", "independent jpeg group licen[cs]e", "ijg"),
     ("imagemagick", "imagemagick", "imagemagick licen[cs]e", "imagemagick"),
     ("ipl-1.0", "ibm public", "ibm public licen[cs]e(?: version 1 0)?", "ipl 1 0"),
-    ("isc", "isc", "isc licen[cs]e", "isc"),
+    ("isc", "isc licen", "isc licen[cs]e", "isc"),
     ("lgpl-2.0", "library general", "gnu library general public licen[cs]e(?: (?:version |v)?2(?: 0)?)?", "lgpl 2 0(?: only| or later)?"),
     ("lgpl-2.1", "lesser general", "(?:gnu )?lesser general public licen[cs]e (?:version |v)?2 1", "lgpl 2 1(?: only| or later)?"),
     ("lgpl-3.0", "lesser general", "(?:gnu )?lesser general public licen[cs]e (?:version |v)?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("libpng", "libpng", "libpng licen[cs]e(?: version 2)?", "libpng"),
+    ("libpng", "libpng licen", "libpng licen[cs]e(?: version 2)?", "libpng"),
     ("lppl-1.3c", "latex", "latex project public licen[cs]e(?: (?:version |v)?1 3c)?", "lppl 1 3c"),
-    ("mit", "mit", "(?:the )?mit licen[cs]e", "mit"),
+    ("mit", "mit licen", "(?:the )?mit licen[cs]e", "mit"),
     ("mit-0", "mit no", "mit no attribution(?: licen[cs]e)?", "mit 0"),
     ("mpl-1.1", "mozilla", "mozilla public licen[cs]e (?:version |v)?1 1", "mpl 1 1"),
     ("mpl-2.0", "mozilla", "mozilla public licen[cs]e (?:version |v)?2(?: 0)?", "mpl 2 0"),
@@ -85,31 +85,31 @@ LICENSES = [
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[cs]e", "ncsa"),
     ("odbl-1.0", "open database", "open (?:data commons )?(?:open )?database licen[cs]e(?: v?1 0)?", "odbl 1 0"),
     ("ofl-1.1", "open font", "(?:sil )?open font licen[cs]e(?: version 1 1)?", "ofl 1 1"),
-    ("openssl", "openssl", "openssl licen[cs]e", "openssl"),
+    ("openssl", "openssl licen", "openssl licen[cs]e", "openssl"),
     ("osl-3.0", "open software", "open software licen[cs]e(?: (?:version |v)?3(?: 0)?)?", "osl 3 0"),
-    ("php-3.01", "php", "php licen[cs]e(?: (?:version |v)?3 01)?", "php 3 01"),
-    ("postgresql", "postgresql", "postgresql licen[cs]e", "postgresql"),
+    ("php-3.01", "php licen", "php licen[cs]e(?: (?:version |v)?3 01)?", "php 3 01"),
+    ("postgresql", "postgresql licen", "postgresql licen[cs]e", "postgresql"),
     ("psf-2.0", "python software", "python software foundation licen[cs]e(?: (?:version |v)?2)?", "psf 2 0"),
     ("public-domain", "public domain", "public domain(?: dedication)?", "licenseref public domain"),
     ("qpl-1.0", "q public", "q public licen[cs]e(?: version 1 0)?", "qpl 1 0"),
-    ("ruby", "ruby", "ruby licen[cs]e", "ruby"),
+    ("ruby", "ruby licen", "ruby licen[cs]e", "ruby"),
     ("sleepycat", "sleepycat", "sleepycat licen[cs]e", "sleepycat"),
     ("sspl-1.0", "server side", "server side public licen[cs]e(?: (?:version |v)?1)?", "sspl 1 0"),
-    ("tcl", "tcl", "tcl tk licen[cs]e", "tcl"),
+    ("tcl", "tcl ", "tcl tk licen[cs]e", "tcl"),
     ("unlicense", "unlicen", "(?:the )?unlicen[cs]e", "unlicense"),
     ("upl-1.0", "universal permissive", "universal permissive licen[cs]e(?: (?:version |v)?1 0)?", "upl 1 0"),
-    ("vim", "vim", "vim licen[cs]e", "vim"),
-    ("w3c", "w3c", "w3c(?: software)?(?: notice and)? licen[cs]e", "w3c"),
+    ("vim", "vim licen", "vim licen[cs]e", "vim"),
+    ("w3c", "w3c ", "w3c(?: software)?(?: notice and)? licen[cs]e", "w3c"),
     ("wtfpl", "do what the", "do what the f[a-z]+ you want to public licen[cs]e(?: version 2)?", "wtfpl"),
-    ("x11", "x11", "x11 licen[cs]e", "x11"),
-    ("zlib", "zlib", "zlib licen[cs]e", "zlib"),
+    ("x11", "x11 licen", "x11 licen[cs]e", "x11"),
+    ("zlib", "zlib licen", "zlib licen[cs]e", "zlib"),
     ("zpl-2.1", "zope", "zope public licen[cs]e(?: version 2 1)?", "zpl 2 1"),
 ]
 
 #: Wordings by priority, the best first: text around NAME or ID, a keyword of its own if any, confidence.
 WORDINGS = [
     (1, "spdx licen[cs]e identifier ID", "spdx", 1.0),
-    (1, "(?:opensource|spdx) org licenses ID", " org licenses ", 0.95),
+    (1, "(?:opensource|spdx) org licenses ID", "org licenses", 0.95),
     (2, "(?:licen[cs]ed|released|distributed|available|published|provided) under(?: the)?(?: terms (?:and conditions )?of)?(?: the)? NAME", "under", 0.9),
     (2, "(?:subject to|governed by|covered by|see)(?: the)?(?: terms (?:and conditions )?of)?(?: the)? NAME", None, 0.8),
     (3, "NAME", None, 0.6),
@@ -124,6 +124,7 @@ class Rule:
     id: int
     label: str
     priority: int
+    context: str
     keyword: str
     pattern: str
     confidence: float
@@ -131,9 +132,9 @@ class Rule:
 
 def rules() -> list[Rule]:
     """All signature rules in order; the phrases of ``BASE`` are the last."""
-    made = [(label, p, own or keyword, text.replace("NAME", name).replace("ID", spdx), c) for p, text, own, c in WORDINGS for label, keyword, name, spdx in LICENSES]
-    made += [(label, LEVELS, phrase, phrase, 0.5) for phrase, label in BASE.items()]
-    return [Rule(i, label, p, keyword, pattern, c) for i, (label, p, keyword, pattern, c) in enumerate(made)]
+    made = [(label, p, own or "", spdx.split()[0] if "ID" in text else keyword, text.replace("NAME", name).replace("ID", spdx), c) for p, text, own, c in WORDINGS for label, keyword, name, spdx in LICENSES]
+    made += [(label, LEVELS, "", phrase, phrase, 0.5) for phrase, label in BASE.items()]
+    return [Rule(i, label, p, f" {own}", f" {keyword}", pattern, c) for i, (label, p, own, keyword, pattern, c) in enumerate(made)]
 
 
 def tagged(pattern: str) -> str:
@@ -152,10 +153,10 @@ def spaced(text: Column) -> Column:
 
 def _detections(norm: Column) -> Column:
     """Sorted ``array<struct<start, minus_end, priority, rule, label, confidence>>``, by start, the longest first."""
-    table = F.array(*(F.struct(F.lit(r.keyword).alias("keyword"), F.lit(tagged(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.id).alias("id"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence")) for r in rules()))
+    table = F.array(*(F.struct(F.lit(r.context).alias("context"), F.lit(r.keyword).alias("keyword"), F.lit(tagged(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.id).alias("id"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence")) for r in rules()))
 
     def found(tags: Column) -> Column:
-        tried = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
+        tried = F.filter(table, lambda r: F.contains(norm, r["keyword"]) & F.contains(norm, r["context"]))
         number = lambda m, end: F.regexp_extract(m, r"#([0-9]+)$" if end else r"#([0-9]+)", 1).cast("long")
         each = lambda r: F.transform(F.regexp_extract_all(tags, r["pattern"], F.lit(0)), lambda m: F.struct(number(m, False).alias("start"), (-number(m, True) - 1).alias("minus_end"), r["priority"].alias("priority"), r["id"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")))
         return F.array_sort(F.flatten(F.transform(tried, each)))

@@ -81,9 +81,9 @@ WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
   FROM documents),
 p AS (SELECT * FROM (VALUES (['gnu','general','public','license'], 'gpl'), (['apache','license'], 'apache'), (['cc','by'], 'cc-by'), (['mit','license'], 'mit')) t(ph, label)),
-hit AS (SELECT w.r, p.label, i - 1 AS at FROM w, p, unnest(range(1, len(ws) + 1)) u(i) WHERE ws[i] = ph[1] AND list_slice(ws, i, i + len(ph) - 1) = ph)
+hit AS (SELECT w.r, p.label, i - 1 AS pos FROM w, p, unnest(range(1, len(ws) + 1)) u(i) WHERE ws[i] = ph[1] AND list_slice(ws, i, i + len(ph) - 1) = ph)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels
-FROM w LEFT JOIN (SELECT r, count(*) AS n, CAST(min(at) AS BIGINT) AS lo, CAST(max(at) AS BIGINT) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY r) h USING (r)
+FROM w LEFT JOIN (SELECT r, count(*) AS n, CAST(min(pos) AS BIGINT) AS lo, CAST(max(pos) AS BIGINT) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY r) h USING (r)
 """
 
 _OP5 = r"""
