@@ -9,8 +9,9 @@ the gate lets through. A detection is suppressed if one of the same or a better
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,7 +154,9 @@ def spaced(text: Column) -> Column:
 
 def _detections(norm: Column) -> Column:
     """Sorted ``array<struct<start, minus_end, priority, rule, label, confidence>>``, by start, the longest first."""
-    table = F.array(*(F.struct(F.lit(r.context).alias("context"), F.lit(r.keyword).alias("keyword"), F.lit(tagged(r.pattern)).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.id).alias("id"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence")) for r in rules()))
+    # one literal: a few hundred expressions would cost more to plan than to run
+    rows = json.dumps([asdict(r) | {"pattern": tagged(r.pattern)} for r in rules()])
+    table = F.from_json(F.lit(rows), "array<struct<id:int,label:string,priority:int,context:string,keyword:string,pattern:string,confidence:double>>")
 
     def found(tags: Column) -> Column:
         tried = F.filter(table, lambda r: F.contains(norm, r["keyword"]) & F.contains(norm, r["context"]))
