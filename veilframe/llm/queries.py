@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, chat, licenses, mixing, pii, quality, simhash, toxicity, urls
+from veilframe.llm import bpe, chat, licenses, mixing, pii, quality, simhash, toxicity, urls, webp
 from veilframe.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,11 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op2_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", webp.stored_texts(docs).alias("m")).select("doc_id", "m.*")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     shared = bpe.load(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
@@ -66,6 +71,7 @@ def op10_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_webp_media": op2_webp_media,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_rules": op4_license_rules,
     "op5_adaptive_quality": op5_adaptive_quality,
