@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.components import connected_components
+from veilframe.operators.graph import connected_components
 from veilframe.llm.shared import materialize, ship
 
 SEED = 42
