@@ -172,12 +172,12 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
 def take_mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **settings) -> DataFrame:  # noqa: ANN003
     """The mix itself: rows of ``docs``, each as often as the mix takes it."""
     chosen = mix(docs, text, id_col, source, **settings).where("copies > 0")
-    key = W.partitionBy(id_col, source, "_size")
-    counted = docs.withColumn("_size", word_count(F.col(text)))
+    key = W.partitionBy(id_col, source, "__mix_size")
+    counted = docs.withColumn("__mix_size", word_count(F.col(text)))
     # rows that share id, source and length are told apart by a running number on both sides
-    counted = counted.withColumn("_n", F.row_number().over(key.orderBy(F.xxhash64(F.col(text)))))
-    c = materialize(chosen.select(F.col(id_col).alias("c_id"), F.col("source").alias("c_source"), F.col("size").alias("c_size"), "copies"), "mix-copies")
-    c = c.withColumn("c_n", F.row_number().over(W.partitionBy("c_id", "c_source", "c_size").orderBy(F.desc("copies"))))
-    same = F.col(id_col).eqNullSafe(F.col("c_id")) & F.col(source).cast("string").eqNullSafe(F.col("c_source")) & (F.col("_size") == F.col("c_size")) & (F.col("_n") == F.col("c_n"))
-    taken = counted.join(c, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    counted = counted.withColumn("__mix_n", F.row_number().over(key.orderBy(F.xxhash64(F.col(text)))))
+    c = chosen.select(F.col(id_col).alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_words"), F.col("copies").alias("__mix_copies"))
+    c = materialize(c, "mix-copies").withColumn("__mix_k", F.row_number().over(W.partitionBy("__mix_id", "__mix_source", "__mix_words").orderBy(F.desc("__mix_copies"))))
+    same = F.col(id_col).eqNullSafe(F.col("__mix_id")) & F.col(source).cast("string").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_words")) & (F.col("__mix_n") == F.col("__mix_k"))
+    taken = counted.join(c, same).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_copies")))
     return taken.select(*docs.columns)

@@ -126,7 +126,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ex
             fp = np.fromiter((one(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fp)], [*kept, "fp"])
 
-    chosen = docs.select(*kept, F.col(text).alias("_text"))
+    chosen = docs.select(*kept, F.col(text).alias("__sim_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.select(*kept).schema) + ", fp long"
     return chosen.mapInArrow(compute, schema)
 
@@ -182,17 +182,17 @@ def keep_first(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     Rows that repeat in id and text count as one row. Only ids and hashes are shuffled by component; the texts
     meet the winners in one join by id.
     """
-    tagged = docs.withColumn("_hash", F.xxhash64(F.col(text)))
-    prints = materialize(fingerprints(tagged, text, id_col, ("_hash",)), "simhash-prints")
+    tagged = docs.withColumn("__sim_hash", F.xxhash64(F.col(text)))
+    prints = materialize(fingerprints(tagged, text, id_col, ("__sim_hash",)), "simhash-prints")
     classes = near_duplicates(prints, id_col)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_hash").alias("h")))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__sim_hash").alias("h")))
     winners = prints.join(classes, "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(first.alias("w"))
-    winners = materialize(winners.select(F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h")), "simhash-winners")
-    on = F.col(id_col).eqNullSafe(F.col("w_id")) & (F.col("_hash") == F.col("w_h"))
-    kept = tagged.join(winners, on).drop("w_id", "w_h")
-    repeated = materialize(prints.groupBy(id_col, "_hash").count().where("count > 1").select(F.col(id_col).alias("r_id"), F.col("_hash").alias("r_h")), "simhash-repeats")
-    again = F.col(id_col).eqNullSafe(F.col("r_id")) & (F.col("_hash") == F.col("r_h"))
+    winners = materialize(winners.select(F.col("w.id").alias("__sim_id"), F.col("w.h").alias("__sim_h")), "simhash-winners")
+    on = F.col(id_col).eqNullSafe(F.col("__sim_id")) & (F.col("__sim_hash") == F.col("__sim_h"))
+    kept = tagged.join(winners, on).drop("__sim_id", "__sim_h")
+    repeated = materialize(prints.groupBy(id_col, "__sim_hash").count().where("count > 1").select(F.col(id_col).alias("__sim_rid"), F.col("__sim_hash").alias("__sim_rh")), "simhash-repeats")
+    again = F.col(id_col).eqNullSafe(F.col("__sim_rid")) & (F.col("__sim_hash") == F.col("__sim_rh"))
     if repeated.isEmpty():
-        return kept.drop("_hash")
+        return kept.drop("__sim_hash")
     once = kept.join(repeated, again, "left_anti")
-    return once.unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col, "_hash"])).drop("_hash")
+    return once.unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col, "__sim_hash"])).drop("__sim_hash")
