@@ -1,0 +1,180 @@
+"""Operators 9 and 10, and the pipeline."""
+
+import re
+import sys
+import zlib
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.test_bpe import LIBRARY
+from tests.llm.test_mixing import filled
+from tests.llm.test_simhash import brute, plain_print
+from veilframe.llm import mixing, pii, queries, simhash, toxicity
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    rows = queries.op9_toxicity_kneser_ney(spark, DATA).collect()
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    assert len(rows) == 1000
+    for r in rows:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    judged = [(r.score, label[r.doc_id]) for r in rows if r.held_out and r.doc_id in label]
+    toxic, clean = [s for s, y in judged if y], [s for s, y in judged if not y]
+    assert sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / (len(toxic) * len(clean)) > 0.75
+    assert sum(s >= 0.5 for s in clean) <= 0.03 * len(clean)
+
+
+def test_probabilities_of_the_model_sum_to_one():
+    """The tables hold log ratios; with the parts they are made of, both classes are distributions."""
+    words = [(f"w{i}".encode(), i / 40, (4 - i) / 50, (i + 1) / 100) for i in range(5)]
+    model = toxicity.Model()
+    kept_t, kept_o = sum(w[1] for w in words), sum(w[2] for w in words)
+    toxicity.assemble(model, words, [], 1 - kept_t, 1 - kept_o)
+    other = 1 - sum(w[3] for w in words)
+    for kept, rest in ((1, 1 - kept_t), (2, 1 - kept_o)):
+        assert abs(sum(w[kept] + rest * w[3] for w in words) + rest * other - 1) < 1e-9
+    assert model.evidence(b"w4".decode())[0] == model.word[model.vocabulary[b"w4"]]
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate([None, "", "some words", "x " * 40_000, "some words"])] + [(None, "no id", "y", 2)], "doc_id long, text string, score string, toxic int")
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    for labels in (none, spark.createDataFrame([(1, 1, 1), (2, 1, 0), (2, 1, 0), (None, 0, 0), (3, None, 0)], none.schema), spark.createDataFrame([(i, i % 2, 0) for i in range(5)], none.schema)):
+        got = toxicity.toxicity(docs, labels).collect()
+        assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_labels_and_ids_are_no_inputs(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    moved = docs.select((F.col("doc_id") + 999).alias("doc_id"), "text", F.lit("xx").alias("lang"), F.lit("yy").alias("source"))
+    a = sorted(r[0] for r in docs.select(toxicity.toxicity_score(docs, model)).collect())
+    assert a == sorted(r[0] for r in moved.select(toxicity.toxicity_score(moved, model)).collect())
+
+
+EMAIL, IP, CARD, PHONE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(d):
+        total = [int(x) for x in d[::-1]]
+        return sum(total[0::2] + [x * 2 - 9 * (x > 4) for x in total[1::2]]) % 10 == 0
+
+    found = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    found += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return found + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+
+
+@given(st.lists(st.sampled_from(list("a@.+-() 0123456789é\n") + ["a@b.c", "1.2.3.4", "4111111111111111", "+1 (555) 123-4567", "255.", "%x@", "..", "@@"]), max_size=30).map("".join))
+@settings(max_examples=800, deadline=None)
+def test_base_spans(text):
+    assert pii.base_spans(text) == plain_spans(text)
+    base, added = pii.find_spans(text, pii.learn())
+    assert base == plain_spans(text)
+    for _, a, b in added:
+        assert all(b <= x or a >= y for _, x, y in base)
+
+
+def test_long_texts_are_linear():
+    for text in ("a" * 300_000 + " @", "1" * 300_000, "1.1." * 60_000, "a@" * 100_000, "+1 " + "(" * 200_000, "1 " * 100_000, "0." * 100_000):
+        pii.find_spans(text, pii.learn())
+
+
+def test_decoding_is_the_best_of_all_segmentations():
+    weights = pii.learn()
+    for text in ("call (555) 123-4567 now", "4111 1111 1111 1111", "1.2.3.4 and 5", "no. 12345678 of 2024-01-02"):
+        for region in pii.regions(text, []):
+            segments = [(i, j, k, sum(weights.get(x, 0.0) for x in region.features(i, j, k))) for i, j, k in region.candidates()]
+
+            def best(at, region=region, segments=segments):
+                if at >= len(region.spans):
+                    return 0.0
+                return max([best(at + 1)] + [s + best(j) for i, j, _, s in segments if i == at])
+
+            chosen = {(k, a, b) for k, a, b in pii.decode(region, weights)}
+            score = sum(s for i, j, k, s in segments if (k, region.spans[i][0], region.spans[j - 1][1]) in chosen)
+            assert abs(score - best(0)) < 1e-9
+
+
+def test_field_finds_what_patterns_miss_and_little_else():
+    import random
+
+    r, right, wrong, missed = random.Random(99), 0, 0, 0
+    for _ in range(300):
+        text, spans = pii._line(r)
+        got = {s for g in pii.regions(text, []) for s in pii.decode(g, pii.learn())}
+        right, wrong, missed = right + len(got & set(spans)), wrong + len(got - set(spans)), missed + len(set(spans) - got)
+    assert right / (right + missed) > 0.95 and right / (right + wrong) > 0.95
+    assert pii.redact("call (555) 123-4567 or a@b.org", pii.learn()) == "call [PHONE] or [EMAIL]"
+
+
+def test_pii_rows(spark, sf_dir):
+    docs = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (2, "", "c"), (None, "é a@b.cd 1.2.3.4", "c")], "doc_id long, text string, spans string")
+    got = {r.doc_id: r.s for r in docs.select("doc_id", pii.span_text(pii.pii_spans(docs)["base"]).alias("s")).collect()}
+    assert got == {1: "", 2: "", None: "email:2:8,ip:9:16"}
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    import hashlib
+
+    for r in queries.op10_pii_semi_markov(spark, sf_dir).collect():
+        base = plain_spans(text[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in pii.KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(",")) | {""}
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [r.asDict() for r in docs.collect()]
+
+    calm = stages["toxicity"](spark, docs, sf_dir)
+    expected = [r for r in rows if model.score(r["text"]) < 0.5]
+    assert sorted(r.doc_id for r in calm.collect()) == sorted(r["doc_id"] for r in expected)
+
+    kept = stages["near_dedup"](spark, calm, sf_dir)
+    reach = brute([(r["doc_id"], plain_print(r["text"])) for r in expected])
+    expected = [r for r, c in zip(expected, reach, strict=True) if r["doc_id"] == c]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r["doc_id"] for r in expected)
+
+    clean = stages["personal_data"](spark, kept, sf_dir)
+    expected = {r["doc_id"]: pii.redact(r["text"], pii.learn()) for r in expected}
+    got = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
+    assert got == {d: (t, len(t)) for d, t in expected.items()} and clean.schema == docs.schema
+
+    mixed = stages["source_mix"](spark, clean, sf_dir)
+    sizes, source = {}, {r["doc_id"]: r["source"] for r in rows}
+    for d, t in expected.items():
+        sizes[source[d]] = sizes.get(source[d], 0) + len(t.split())
+    taken, times = dict.fromkeys(sizes, 0), {}
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.split())
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+        assert r.text == expected[r.doc_id]
+    for s, goal in filled(sizes, mixing.WEIGHTS).items():
+        assert abs(taken[s] - goal) <= max(3, 0.05 * goal)
+    assert max(times.values()) <= 3 and mixed.columns == docs.columns
+
+    last = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in last) == sorted(d for d, n in times.items() for _ in range(n))
+    for r in last:
+        assert r.exact and r.ids == LIBRARY.encode_ordinary(expected[r.doc_id]) and r.n_tokens == len(r.ids)
+
+
+def test_the_rest_does_not_need_this_subpackage():
+    import subprocess
+
+    code = "import sys; sys.modules['veilframe.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=corpus_pipeline.__file__.rpartition("/")[0])
+    assert out.returncode == 0 and out.stdout.split()[1] == "False", out.stderr
+    assert np.isfinite(simhash.SEED)
