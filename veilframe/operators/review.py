@@ -69,3 +69,30 @@ def latest_state(events: DataFrame, key: str, order: str, *columns: str) -> Data
 def first_owner(rows: DataFrame, by: str, rank: str, owner: str) -> DataFrame:
     """``(by, owner)``: of each group the owner of smallest rank, the smaller owner on ties."""
     return rows.groupBy(by).agg(F.min(F.struct(rank, owner)).alias("_m")).select(by, F.col(f"_m.{owner}").alias(owner))
+
+
+def retire_alternatives(proposals: DataFrame, accepted: DataFrame, target: str = "target") -> DataFrame:
+    """Adds ``status``: stale if the target has an accepted alias or a better proposal (confidence, then time, then id), else open."""
+    w = W.partitionBy(target).orderBy(F.desc("confidence"), "created_at", "id")
+    taken = accepted.select(target).distinct().withColumn("_taken", F.lit(True))
+    ranked = proposals.withColumn("_n", F.row_number().over(w)).join(taken, target, "left")
+    return ranked.withColumn("status", F.when(F.col("_taken") | (F.col("_n") > 1), "stale").otherwise("open")).drop("_n", "_taken")
+
+
+def quarantine(aliases: DataFrame) -> DataFrame:
+    """Adds ``winner`` to accepted ``aliases(symbol_id, alias, original, source, confidence, revision)``: of those that share an alias across originals
+    the policy's own first, then confidence, revision, id. Only proposal-sourced rows may lose.
+    """
+    by = W.partitionBy(normalize_term(F.col("alias")))
+    order = by.orderBy((F.col("source") != "policy"), F.desc("confidence"), "revision", "symbol_id")
+    several = F.size(F.collect_set(normalize_term(F.col("original"))).over(by)) > 1
+    best = F.first(normalize_term(F.col("original"))).over(order)
+    return aliases.withColumn("winner", ~several | (normalize_term(F.col("original")) == best) | (F.col("source") == "policy"))
+
+
+def eligibility(symbols: DataFrame) -> DataFrame:
+    """One row of how many symbols pass each test of the funnel, in order: all, owned, named, unprotected, without alias."""
+    owned = F.col("origin") == "owned"
+    named = owned & (F.length("name") >= 3)
+    free = named & ~F.col("protected")
+    return symbols.agg(F.count(F.lit(1)).alias("n_all"), F.count_if(owned).alias("n_owned"), F.count_if(named).alias("n_named"), F.count_if(free).alias("n_unprotected"), F.count_if(free & F.col("alias").isNull()).alias("n_eligible"))

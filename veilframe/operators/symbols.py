@@ -130,3 +130,70 @@ def snapshot(occurrences: DataFrame) -> DataFrame:
     """One row of counts, in one pass."""
     role = lambda r: F.count_if(F.col("role") == r).alias(f"n_{r}")
     return occurrences.agg(F.count(F.lit(1)).alias("n_occurrences"), F.count_distinct("symbol_id").alias("n_symbols"), role("declaration"), role("reference"), role("unresolved"), role("external"))
+
+
+def project_qualified(names: DataFrame, shown: DataFrame) -> DataFrame:
+    """Adds ``projected`` to ``names(qualified_name, own)``: the last part as shown, then the longest known prefix as shown.
+
+    ``shown(qualified_name, projected_name)`` has the projection of each container; parts are joined by ``::`` or ``.``.
+    """
+    head = F.regexp_extract("qualified_name", r"^(.*?)((?:::|\.)?)([^:.]*)$", 1)
+    joint = F.regexp_extract("qualified_name", r"^(.*?)((?:::|\.)?)([^:.]*)$", 2)
+    cut = names.withColumns({"_head": head, "_joint": joint})
+    known = shown.select(F.col("qualified_name").alias("_prefix"), "projected_name").distinct()
+    heads = cut.select("_head").distinct().withColumn("_prefix", F.explode(name_prefixes(F.col("_head"))))
+    best = heads.join(known, "_prefix").groupBy("_head").agg(F.max_by(F.struct("_prefix", "projected_name"), F.length("_prefix")).alias("_b"))
+    joined = cut.join(best, "_head", "left")
+    front = F.when(F.col("_b").isNull(), F.col("_head")).otherwise(F.concat("_b.projected_name", F.substring(F.col("_head"), F.length("_b._prefix") + 1, F.length("_head"))))
+    return joined.withColumn("projected", F.concat(front, "_joint", "own")).drop("_head", "_joint", "_b")
+
+
+def name_prefixes(head):  # noqa: ANN001, ANN201
+    """Prefixes of a qualified name that end at a joint, the name itself included."""
+    parts = F.split(head, r"(?<=::)|(?<=\.)")
+    joined = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), n), ""), r"(::|\.)$", ""))
+    return F.filter(joined, lambda p: p != "")
+
+
+def linked_aliases(links: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(symbol_id, other_id, alias)``: accepted aliases of symbols that share a canonical one: ``links(canonical, linked)`` with itself."""
+    a, b = links.select("canonical", F.col("linked").alias("symbol_id")), links.select("canonical", F.col("linked").alias("other_id"))
+    pairs = a.join(b, "canonical").where("symbol_id <> other_id").select("symbol_id", "other_id").distinct()
+    accepted = aliases.where("status = 'accepted'").select(F.col("symbol_id").alias("other_id"), "alias")
+    return pairs.join(accepted, "other_id").select("symbol_id", "other_id", "alias")
+
+
+def spread_aliases(components: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(symbol_id, alias)`` for every member of a component that has an accepted alias: the one of the earliest revision, then smallest id.
+
+    ``components(node, root)``, ``aliases(symbol_id, alias, status, revision)``.
+    """
+    accepted = aliases.where("status = 'accepted'").join(components, F.col("symbol_id") == F.col("node"))
+    canonical = accepted.groupBy("root").agg(F.min(F.struct("revision", "symbol_id", "alias")).alias("_c")).select("root", F.col("_c.alias").alias("alias"))
+    return components.join(canonical, "root").select(F.col("node").alias("symbol_id"), "alias")
+
+
+def calls(nodes: DataFrame, kinds: tuple[str, ...] = ("call_expression", "macro_invocation")) -> DataFrame:
+    """``(node_id, call_id)`` of nodes whose parent is a call."""
+    parents = nodes.where(F.col("kind").isin(*kinds)).select(F.col("node_id").alias("call_id"))
+    return nodes.join(parents, F.col("parent_id") == F.col("call_id")).select("node_id", "call_id")
+
+
+def same_shape(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Symbols of the kind, qualified name and language family of any wanted ``symbol_id``; C-like languages are one family."""
+    family = F.when(F.col("language").isin("c", "cpp", "objc", "objcpp"), "c-family").otherwise(F.col("language"))
+    shaped = symbols.withColumn("family", family)
+    shapes = shaped.join(wanted.select("symbol_id"), "symbol_id", "left_semi").select("kind", "qualified_name", "family").distinct()
+    return shaped.join(shapes, ["kind", "qualified_name", "family"], "left_semi").select("symbol_id", "kind", "qualified_name", "family")
+
+
+def replaced_components(replacements: DataFrame, ids: DataFrame) -> DataFrame:
+    """Replacements whose key ``semantic:<id>:<rest>`` names one of ``ids(symbol_id)``: the id is cut out, so it is an equi-join."""
+    named = replacements.where(F.col("stable_key").startswith("semantic:")).withColumn("symbol_id", F.split_part("stable_key", F.lit(":"), F.lit(2)))
+    return named.join(ids.select("symbol_id").distinct(), "symbol_id", "left_semi")
+
+
+def bound_replacements(replacements: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Replacements that stand exactly where a bound occurrence does."""
+    bound = occurrences.where("symbol_id is not null").select("doc_id", F.col("start").alias("original_start"), F.col("end").alias("original_end")).distinct()
+    return replacements.join(bound, ["doc_id", "original_start", "original_end"], "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import text as T
-from veilframe.operators import chunks, diffs, graph, incremental, paths, policy, render, review, search, symbols, vectors, verify
+from veilframe.operators import chunks, diffs, graph, incremental, paths, policy, render, review, search, symbols, transactions, vectors, verify
 from veilframe.sources.scratch import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,12 +103,10 @@ def normalized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_name", T.normalize_term(F.col("c_name")).alias("normalized"), T.is_run(F.col("c_name")).alias("matchable"))
 
 
-@query("identifier_tokens", """SELECT DISTINCT s_name, p_type, list_sort(list_distinct(regexp_extract_all(lower(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')), '[a-z0-9]+'))) AS tokens
-  FROM (SELECT s_name, p_type, s_name || replace(p_type, ' ', '') AS name FROM supplier, (SELECT DISTINCT p_type FROM part))""")
+@query("identifier_tokens", """SELECT p_partkey, list_sort(list_distinct(regexp_extract_all(lower(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')), '[a-z0-9]+'))) AS tokens
+  FROM (SELECT p_partkey, replace(p_type, ' ', '') || p_brand || p_name AS name FROM part)""")
 def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = table(spark, sf_dir, "part").select("p_type").distinct()
-    names = table(spark, sf_dir, "supplier").select("s_name").distinct().join(kinds)
-    return names.select("s_name", "p_type", T.identifier_tokens(F.concat("s_name", F.replace("p_type", F.lit(" "), F.lit("")))).alias("tokens"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.identifier_tokens(F.concat(F.replace("p_type", F.lit(" "), F.lit("")), "p_brand", "p_name")).alias("tokens"))
 
 
 @query("whole_word_replace", "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: x = 'the')) AS BIGINT) AS n, sha256(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda x: CASE WHEN x = 'the' THEN 'fen' ELSE x END), '')) AS digest FROM documents")
@@ -644,16 +642,17 @@ def common_changed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", "turn", diffs.changed_ranges(pairs, "old", "new").alias("r")).select("conv_id", "turn", "r.start", "r.end")
 
 
-@query("edit_plan", "SELECT doc_id, CASE WHEN lang = 'es' THEN 'conflict' ELSE 'applied' END AS status, CASE WHEN lang <> 'es' THEN sha256('[' || substr(text, 2) || ']') END AS digest FROM documents WHERE regexp_matches(text, '^[A-Za-z]..')")
+@query("edit_plan", "SELECT doc_id, CASE WHEN lang = 'es' THEN 'conflict' ELSE 'applied' END AS status, CASE WHEN lang <> 'es' THEN sha256('[' || substr(text, 2) || ']') END AS digest FROM documents")
 def edit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text's first letter and end are edited; Spanish texts get a third edit that overlaps."""
-    docs = _docs(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z][^\n][^\n]"))
-    n = F.octet_length("text").cast("long")
+    """Each text's first character is replaced and its end extended; Spanish texts get a third edit that overlaps."""
+    return diffs.apply_edits(_docs(spark, sf_dir), _edits(_docs(spark, sf_dir))).select("doc_id", "status", F.when(F.col("status") == "applied", F.sha2("after", 256)).alias("digest"))
+
+
+def _edits(docs: DataFrame) -> DataFrame:
+    n, first, zero = F.octet_length("text").cast("long"), F.octet_length(F.substring("text", 1, 1)).cast("long"), F.lit(0).cast("long")
     one = lambda a, b, new: F.struct(a.alias("start"), b.alias("end"), F.lit(new).alias("replacement"))
-    zero, first = F.lit(0).cast("long"), F.lit(1).cast("long")
-    made = F.array_compact(F.array(one(zero, first, "["), one(n, n, "]"), F.when(F.col("lang") == "es", one(zero, F.lit(2).cast("long"), "x"))))
-    edits = docs.select("doc_id", F.explode(made).alias("e")).select("doc_id", "e.*")
-    return diffs.apply_edits(docs, edits).select("doc_id", "status", F.when(F.col("status") == "applied", F.sha2("after", 256)).alias("digest"))
+    made = F.array_compact(F.array(one(zero, first, "["), one(n, n, "]"), F.when(F.col("lang") == "es", one(zero, n, "x"))))
+    return docs.select("doc_id", F.explode(made).alias("e")).select("doc_id", "e.*")
 
 
 @query("overlapping_edits", "SELECT doc_id FROM documents WHERE length(text) > 1000")
@@ -670,3 +669,134 @@ def translate_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = made.withColumn("edited", F.concat("rendered", F.lit("\nadded line")))
     return diffs.plan_modifications(edited, _terms(spark)).select("doc_id", F.sha2("planned", 256).alias("digest"), "reason")
 
+
+
+@query("transaction_preview", "SELECT CASE WHEN lang = 'es' THEN 'conflict' ELSE 'applied' END AS status, count(*) AS n FROM documents GROUP BY 1")
+def transaction_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return transactions.outcome_counts(transactions.preview(docs, _edits(docs)))
+
+
+@query("transaction_commit", "SELECT doc_id, sha256('[' || substr(text, 2) || ']') AS digest FROM documents WHERE lang <> 'es' UNION ALL SELECT doc_id, sha256(text) FROM documents WHERE lang = 'es'")
+def transaction_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of all texts but the Spanish ones are committed."""
+    docs = _docs(spark, sf_dir)
+    edits = _edits(docs.where("lang <> 'es'"))
+    return transactions.commit(docs, transactions.preview(docs, edits)).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("transaction_stale", "SELECT doc_id FROM documents WHERE lang IN ('de', 'es')")
+def transaction_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    previewed = docs.select("doc_id", F.sha2("text", 256).alias("before_hash"))
+    return transactions.sources_match(previewed, _before(docs))
+
+
+@query("journal_state", "SELECT user_id AS id, arg_max(CASE event_type WHEN 'click' THEN 'applying' WHEN 'view' THEN 'applied' ELSE 'failed' END, event_id) AS status FROM events GROUP BY 1")
+def journal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.journal_state(_journal(spark, sf_dir)).select("id", "status")
+
+
+def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "click", "applying").when(F.col("event_type") == "view", "applied").otherwise("failed")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), status.alias("status"))
+
+
+@query("journal_prune", "WITH s AS (SELECT user_id AS id, arg_max(event_type, event_id) = 'click' AS busy FROM events GROUP BY 1) SELECT id FROM s QUALIFY busy OR row_number() OVER (PARTITION BY busy ORDER BY id DESC) <= 20")
+def journal_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.prune(_journal(spark, sf_dir), 20).select("id")
+
+
+@query("recovery_actions", "SELECT doc_id AS id, doc_id, CASE lang WHEN 'de' THEN 'none' WHEN 'es' THEN 'review' ELSE 'keep' END AS action FROM documents")
+def recovery_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """French and English texts are as after the edit, German ones as before, Spanish ones are gone."""
+    docs = _docs(spark, sf_dir)
+    pending = docs.select(F.col("doc_id").alias("id"), "doc_id", F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.lit("before")).alias("before"), F.col("text").alias("after"))
+    return transactions.recover(pending, _before(docs))
+
+
+@query("qualified_names", "SELECT n_nationkey, CASE WHEN n_regionkey < 3 THEN 'zone_' || n_regionkey ELSE r_name END || '::' || lower(n_name) AS projected FROM nation JOIN region ON n_regionkey = r_regionkey")
+def qualified_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = table(spark, sf_dir, "region")
+    names = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat("r_name", F.lit("::"), "n_name").alias("qualified_name"), F.lower("n_name").alias("own"))
+    shown = regions.where("r_regionkey < 3").select(F.col("r_name").alias("qualified_name"), F.concat(F.lit("zone_"), F.col("r_regionkey").cast("string")).alias("projected_name"))
+    return symbols.project_qualified(names, shown).select("n_nationkey", "projected")
+
+
+@query("linked_aliases", "SELECT DISTINCT a.s_suppkey AS symbol_id, b.s_suppkey AS other_id, b.s_name AS alias FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE b.s_acctbal > 0")
+def linked_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier")
+    links = suppliers.select(F.col("s_nationkey").alias("canonical"), F.col("s_suppkey").alias("linked"))
+    return symbols.linked_aliases(links, suppliers.select(F.col("s_suppkey").alias("symbol_id"), F.col("s_name").alias("alias"), F.when(F.col("s_acctbal") > 0, "accepted").otherwise("stale").alias("status")))
+
+
+@query("spread_aliases", _LINKS + ", g2 AS (SELECT node, min(other) AS root FROM c GROUP BY node), k AS (SELECT root, arg_min('alias_' || doc_id, (source, doc_id)) AS alias FROM documents JOIN g2 ON doc_id = node WHERE lang <> 'fr' GROUP BY root) SELECT node AS symbol_id, alias FROM g2 JOIN k USING (root)")
+def spread_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = graph.connected_components(materialize(_shared_lines(docs), "line-links"))
+    aliases = docs.select(F.col("doc_id").alias("symbol_id"), F.concat(F.lit("alias_"), F.col("doc_id").cast("string")).alias("alias"), F.when(F.col("lang") == "fr", "stale").otherwise("accepted").alias("status"), F.col("source").alias("revision"))
+    return symbols.spread_aliases(found, aliases)
+
+
+@query("parent_calls", "SELECT 'order:' || o_orderkey AS node_id, 'customer:' || o_custkey AS call_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+def parent_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.calls(_tree(spark, sf_dir), ("customer",))
+
+
+@query("same_shape", "WITH s AS (SELECT p_partkey AS symbol_id, p_type AS kind, p_brand AS qualified_name, CASE WHEN p_size < 25 THEN 'c-family' ELSE 'rust' END AS family FROM part) SELECT DISTINCT s.* FROM s JOIN s w USING (kind, qualified_name, family) WHERE w.symbol_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
+def same_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_type").alias("kind"), F.col("p_brand").alias("qualified_name"), F.when(F.col("p_size") < 12, "c").when(F.col("p_size") < 25, "cpp").otherwise("rust").alias("language"))
+    wanted = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("symbol_id"))
+    return symbols.same_shape(part, wanted)
+
+
+@query("keyed_replacements", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A' AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)")
+def keyed_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.when(F.col("l_returnflag") == "A", "semantic:").otherwise("lexical:"), F.col("l_partkey").cast("string"), F.lit(":x"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", key.alias("stable_key"))
+    ids = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").cast("string").alias("symbol_id"))
+    return symbols.replaced_components(rows, ids).select("l_orderkey", "l_linenumber")
+
+
+@query("bound_replacements", _PARTS + " SELECT doc_id, CAST(i - 1 AS BIGINT) AS id FROM s WHERE lower(original_text) = 'ing' AND ((i = 1 AND gap = '') OR regexp_matches(gap, '[^A-Za-z0-9_]$'))")
+def bound_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements of ``ing`` at the beginning of a word, against occurrences made of word starts."""
+    listed = materialize(render.audit(_rendered(spark, sf_dir)), "audit")
+    starts = render.word_positions(_docs(spark, sf_dir)).where("is_run").where(F.lower("piece").startswith("ing"))
+    return symbols.bound_replacements(listed, starts.select("doc_id", "start", (F.col("start") + 3).alias("end"), F.lit("s").alias("symbol_id"))).select("doc_id", "id")
+
+
+@query("stable_keys", _PARTS + " SELECT doc_id, CAST(i - 1 AS BIGINT) AS id, sha256('doc/' || doc_id || ':identifier:' || original_start || ':' || original_text) AS stable_key FROM s")
+def stable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = render.audit(_rendered(spark, sf_dir)).withColumn("category", F.lit("identifier"))
+    return render.stable_keys(listed, F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))).select("doc_id", "id", "stable_key")
+
+
+@query("whole_word_filter", "SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(text, '[A-Za-z0-9_]+'), 'than')")
+def whole_word_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).where(T.contains_word(F.col("text"), "than")).select("doc_id")
+
+
+@query("retire_alternatives", "SELECT o_orderkey AS id, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) OR row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) > 1 THEN 'stale' ELSE 'open' END AS status FROM orders")
+def retire_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("target"), F.col("o_totalprice").alias("confidence"), F.col("o_orderdate").alias("created_at"))
+    accepted = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("target"))
+    return review.retire_alternatives(offers, accepted).select("id", "status")
+
+
+@query("eligibility_funnel", "SELECT count(*) AS n_all, count(*) FILTER (p_size > 10) AS n_owned, count(*) FILTER (p_size > 10 AND length(p_name) >= 3) AS n_named, count(*) FILTER (p_size > 10 AND length(p_name) >= 3 AND p_retailprice <= 1500) AS n_unprotected, count(*) FILTER (p_size > 10 AND length(p_name) >= 3 AND p_retailprice <= 1500 AND p_brand <> 'Brand#11') AS n_eligible FROM part")
+def eligibility_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.when(F.col("p_size") > 10, "owned").otherwise("vendor").alias("origin"), (F.col("p_retailprice") > 1500).alias("protected"), F.when(F.col("p_brand") == "Brand#11", "x").alias("alias"))
+    return review.eligibility(known)
+
+
+@query("snapshot_difference", "SELECT doc_id, lang, side FROM (SELECT doc_id, lang, 'right' AS side FROM documents WHERE lang IN ('es', 'de') UNION ALL SELECT doc_id, lang, 'left' FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id + 1000000000000, lang, 'left' FROM documents WHERE lang = 'fr')")
+def snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    shape = lambda d: d.select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
+    return verify.different_rows(shape(_before(docs)), shape(docs)).select("doc_id", "lang", "side")
+
+
+@query("duplicate_keys", "SELECT text AS text_key, count(*) AS n FROM (SELECT sha256(text) AS text FROM documents) GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.duplicate_keys(_docs(spark, sf_dir).select(F.sha2("text", 256).alias("text_key")), "text_key")
