@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import text as T
 from veilframe.operators import chunks, diffs, graph, incremental, paths, policy, render, review, search, symbols, transactions, vectors, verify
-from veilframe.sources.scratch import materialize, table
+from veilframe.sources.scratch import materialize, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,7 +47,7 @@ def _terms(spark: SparkSession) -> list:
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.render(_docs(spark, sf_dir).select("doc_id", "text"), _terms(spark))
+    return render.render(spread(_docs(spark, sf_dir).select("doc_id", "text")), _terms(spark))
 
 
 def _replaced_sql(column: str) -> str:

@@ -14,7 +14,10 @@ SKIPPED_NAMES = (".env", "Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-l
 
 
 def discover(spark: SparkSession, root: str, skipped_directories: tuple[str, ...] = (".git", "node_modules", "target")) -> DataFrame:
-    """``(path, length, mtime)`` of all files below a folder; contents are not read, as the column is pruned."""
+    """``(path, length, mtime)`` of all files below a folder; contents are not read, as the column is pruned.
+
+    Spark's readers leave out files and folders whose names begin with a dot or an underscore.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace("\\", "\\\\").replace(".", "\\.") + "/", "")
     listed = files.select(rel.alias("path"), F.col("length").cast("long").alias("length"), F.unix_micros("modificationTime").alias("mtime"))

@@ -62,3 +62,12 @@ def ship(spark: SparkSession) -> None:
     path.write_bytes(data.getvalue())
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan dealt out to all cores if its files are too few to occupy them, else as it is.
+
+    For passes whose work per row is far above the cost of moving it. Large tables have more splits than cores and are never moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
