@@ -9,36 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import bpe, chat, licenses, mixing, pii, quality, simhash, toxicity, urls, webp
-from veilframe.llm.shared import table
+from veilframe.llm.shared import spread, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def op2_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", webp.stored_texts(docs).alias("m")).select("doc_id", "m.*")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     shared = bpe.load(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
     return docs.select("doc_id", bpe.round_trip(docs, shared).alias("r")).select("doc_id", "r.*")
 
 
 def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(_documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
 
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    groups = simhash.simhash_groups(_documents(spark, sf_dir, "doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -57,11 +61,11 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
 def op10_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     found = docs.select("doc_id", pii.pii_spans(docs).alias("p"))
     count = lambda kind: F.size(F.filter("p.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in pii.KINDS]

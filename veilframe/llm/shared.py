@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.sources.scratch import materialize, scratch_dir, ship, table
+from veilframe.sources.scratch import materialize, scratch_dir, ship, spread, table
 
-__all__ = ["ASCII_UPPER", "WORD", "lower_ascii", "materialize", "scratch_dir", "ship", "table"]
+__all__ = ["ASCII_UPPER", "WORD", "lower_ascii", "materialize", "scratch_dir", "ship", "spread", "table"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a run of bytes that are none of the six ASCII white-space characters.
