@@ -96,6 +96,9 @@ def test_rows_of_all_sorts(spark):
     assert kept.columns == docs.columns
     rows = kept.collect()
     assert len(rows) == len({r.component_id for r in got}) and {r.doc_id for r in rows} == {r.component_id for r in got}
+    nobody = spark.createDataFrame([(None, base), (None, base + " end"), (None, base)], "doc_id long, text string")
+    linked = (plain_print(base) ^ plain_print(base + " end")).bit_count() <= 3
+    assert simhash.keep_first(nobody).count() == (1 if linked else 2)
     assert simhash.simhash_groups(docs.limit(0)).count() == 0 and simhash.keep_first(docs.limit(0)).count() == 0
 
 

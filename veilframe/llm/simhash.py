@@ -155,9 +155,9 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, id_col: str = "doc_id", max_bits: int = 3) -> DataFrame:
-    """``(fp, component_id)`` for every distinct ``fp`` of ``prints(id_col, fp)``.
+    """``(fp, root, component_id)`` for every distinct ``fp`` of ``prints(id_col, fp)``.
 
-    ``component_id`` is the smallest id of the component; null only if all its ids are null. An empty table
+    ``root`` is the smallest fingerprint of the component. ``component_id`` is the smallest id of the component; null only if all its ids are null. An empty table
     gives an empty one. Equal fingerprints, that of texts without words included, are always together.
     """
     classes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-classes")
@@ -166,7 +166,7 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", max_bits: int = 3
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = 3) -> DataFrame:
@@ -186,7 +186,7 @@ def keep_first(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     prints = materialize(fingerprints(tagged, text, id_col, ("__sim_hash",)), "simhash-prints")
     classes = near_duplicates(prints, id_col)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__sim_hash").alias("h")))
-    winners = prints.join(classes, "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(first.alias("w"))
+    winners = prints.join(classes, "fp").groupBy("root").agg(first.alias("w"))
     winners = materialize(winners.select(F.col("w.id").alias("__sim_id"), F.col("w.h").alias("__sim_h")), "simhash-winners")
     on = F.col(id_col).eqNullSafe(F.col("__sim_id")) & (F.col("__sim_hash") == F.col("__sim_h"))
     kept = tagged.join(winners, on).drop("__sim_id", "__sim_h")
