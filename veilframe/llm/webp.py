@@ -703,7 +703,11 @@ def _described(texts: list[str | None]) -> Iterator[tuple]:
 
 
 def stored_texts(docs: DataFrame, text: str = "text") -> Column:
-    """A struct column (``MEDIA``): every whole text as UTF-8, padded with spaces, stored as WebP, read back and described."""
+    """A struct column (``MEDIA``): every whole text as UTF-8, padded with spaces, stored as WebP, read back and described.
+
+    Null and empty texts store one row of spaces. What is stored depends on the text alone. Rows are taken in groups of about
+    ``GROUP_BYTES``, which bounds memory; a longer text is a group by itself.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf(MEDIA)
