@@ -171,13 +171,17 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
 
 def take_mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **settings) -> DataFrame:  # noqa: ANN003
     """The mix itself: rows of ``docs``, each as often as the mix takes it."""
-    chosen = mix(docs, text, id_col, source, **settings).where("copies > 0")
-    key = W.partitionBy(id_col, source, "__mix_size")
-    counted = docs.withColumn("__mix_size", word_count(F.col(text)))
-    # rows that share id, source and length are told apart by a running number on both sides
-    counted = counted.withColumn("__mix_n", F.row_number().over(key.orderBy(F.xxhash64(F.col(text)))))
-    c = chosen.select(F.col(id_col).alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_words"), F.col("copies").alias("__mix_copies"))
-    c = materialize(c, "mix-copies").withColumn("__mix_k", F.row_number().over(W.partitionBy("__mix_id", "__mix_source", "__mix_words").orderBy(F.desc("__mix_copies"))))
-    same = F.col(id_col).eqNullSafe(F.col("__mix_id")) & F.col(source).cast("string").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_size") == F.col("__mix_words")) & (F.col("__mix_n") == F.col("__mix_k"))
-    taken = counted.join(c, same).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_copies")))
+    chosen = mix(docs, text, id_col, source, **settings)
+
+    def key(id_: Column, source_: Column, size: Column) -> Column:
+        """One join key of what tells rows apart for the mix, so that the texts are shuffled once, for join and window."""
+        return F.sha2(F.concat_ws("\x00", *(F.coalesce(c.cast("string"), F.lit("\x01")) for c in (id_, source_, size))), 256)
+
+    # rows that share id, source and length share a key: its copies are dealt out to them by a running number
+    c = chosen.groupBy(key(F.col(id_col), F.col("source"), F.col("size")).alias("__mix_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__mix_copies"))
+    c = materialize(c.where(F.get("__mix_copies", F.lit(0)) > 0), "mix-copies")
+    keyed = docs.withColumn("__mix_key", key(F.col(id_col), F.col(source), word_count(F.col(text)))).join(c, "__mix_key")
+    number = F.row_number().over(W.partitionBy("__mix_key").orderBy(F.xxhash64(F.col(text)))) - 1
+    times = F.get("__mix_copies", number)
+    taken = keyed.withColumn("__mix_times", times).where("__mix_times > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_times")))
     return taken.select(*docs.columns)
