@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests that prove the round trip."""
     shared = bpe.load(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    return docs.select("doc_id", "lang", "source", bpe.encode_checked(docs, shared).alias("r")).select("doc_id", "lang", "source", "r.*")
+    return bpe.encode_table(docs, shared, keep=("doc_id", "lang", "source"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

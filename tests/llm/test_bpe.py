@@ -44,11 +44,14 @@ def test_rows(spark, sf_dir):
     odd = spark.createDataFrame([(-1, None), (-2, ""), (None, "no id"), (-3, "long " * 50_000)], "doc_id long, text string")
     every = docs.unionByName(odd)
     shared = bpe.load(spark, public_tokenizers.path(queries.TOKENIZER), public_tokenizers.PATTERN)
-    got = every.select("doc_id", "text", bpe.round_trip(every, shared).alias("r"), bpe.encoded(every, shared).alias("ids"))
-    for r in got.select("*", bpe.decoded(got["ids"], shared).alias("back")).collect():
-        ids = LIBRARY.encode_ordinary(r.text or "")
-        raw = (r.text or "").encode()
-        assert r.ids == ids and bytes(r.back) == raw
-        assert tuple(r.r) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest())
+    digests = sorted(map(tuple, bpe.round_trip(every, shared, keep=("doc_id", "text")).collect()), key=str)
+    table = bpe.encode_table(every, shared, keep=("doc_id", "text"))
+    rows = sorted(table.withColumn("back", bpe.decoded(table["ids"], shared)).collect(), key=lambda r: str((r.doc_id, r.text)))
+    assert len(rows) == len(digests) == every.count()
+    for r, d in zip(rows, sorted(digests, key=lambda d: str(d[:2])), strict=True):
+        ids, raw = LIBRARY.encode_ordinary(r.text or ""), (r.text or "").encode()
+        assert r.ids == ids and r.n_tokens == len(ids) and r.exact and bytes(r.back) == raw
+        assert d == (r.doc_id, r.text, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest())
+    assert [x.ids for x in odd.select(bpe.encoded(odd, shared).alias("ids")).collect()][:2] == [[], []]
     assert queries.op3_byte_bpe(spark, sf_dir).count() == docs.count()
     assert every.limit(0).select(bpe.encoded(every, shared)).count() == 0

@@ -17,6 +17,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +29,10 @@ NONE = np.iinfo(np.int32).max
 #: Longest piece that goes into a matrix.
 MATRIX_BYTES = 512
 #: Elements of a matrix, and pieces that a worker remembers; both bound memory and change no result.
-MATRIX_CELLS = 1 << 20
-REMEMBERED = 400_000
+MATRIX_CELLS = 1 << 19
+REMEMBERED = 200_000
 #: Characters of text that are encoded together.
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 1_500_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -276,33 +278,63 @@ def decoded(ids: Column, shared) -> Column:  # noqa: ANN001
     return raw(ids)
 
 
-DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``GROUP_CHARS`` bytes; a longer text is a range by itself."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if total and total + n > GROUP_CHARS:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
-def round_trip(docs: DataFrame, shared, text: str = "text") -> Column:  # noqa: ANN001
-    """A struct column: number of ids, digest of the ids as little-endian uint32, digest of the bytes decoded from them."""
+def _map_texts(docs: DataFrame, shared, text: str, keep: tuple[str, ...], results: str, build) -> DataFrame:  # noqa: ANN001
+    """The kept columns and what ``build(encoder, texts, token ids)`` gives, a few megabytes of text at a time.
 
-    @F.pandas_udf(DIGEST)
-    def digests(bodies: pd.Series) -> pd.DataFrame:
-        from veilframe.llm.bpe import encoder as get
+    Only a slice of an Arrow batch is ever held as Python objects, and its result leaves before the next one is made.
+    """
+    ship(docs.sparkSession)
 
-        own, rows = get(*shared.value), []
-        for ids in own.encode_batch(bodies):  # one by one: a batch's ids are never held together
-            rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from veilframe.llm import bpe
 
-    return digests(F.col(text))
+        own = bpe.encoder(*shared.value)
+        for batch in batches:
+            for a, b in bpe._slices(batch.column(len(keep))):
+                part = batch.slice(a, b - a)
+                texts = part.column(len(keep)).to_pylist()
+                made = build(own, texts, list(own.encode_batch(texts)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made.values()], [*keep, *made])
 
+    chosen = docs.select(*keep, F.col(text).alias("__bpe_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.select(*keep).schema)
+    return chosen.mapInArrow(run, f"{schema}, {results}" if keep else results)
 
-def encode_checked(docs: DataFrame, shared, text: str = "text") -> Column:  # noqa: ANN001
-    """A struct column for storage: the ids, their number, and whether decoding gives the text's bytes back."""
 
-    @F.pandas_udf("ids array<int>, n_tokens long, exact boolean")
-    def rows(bodies: pd.Series) -> pd.DataFrame:
-        from veilframe.llm.bpe import encoder as get
+def round_trip(docs: DataFrame, shared, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:  # noqa: ANN001
+    """The kept columns with ``n_tokens``, and digests of the ids as little-endian uint32 and of the bytes decoded from them.
 
-        own = get(*shared.value)
-        found = [(ids, len(ids), own.decode(ids) == (body or "").encode("utf-8", "surrogatepass")) for body, ids in zip(bodies, own.encode_batch(bodies), strict=True)]
-        return pd.DataFrame(found, columns=["ids", "n_tokens", "exact"])
+    A row for each row. Null and empty texts have no ids and the digests of no bytes. Special tokens' strings are ordinary text.
+    """
+
+    def build(own: Encoder, texts: list[str | None], ids: list[np.ndarray]) -> dict[str, pa.Array]:
+        digest = lambda b: hashlib.sha256(b).hexdigest()
+        return {"n_tokens": pa.array([len(i) for i in ids], pa.int64()), "ids_sha256": pa.array([digest(i.astype("<u4").tobytes()) for i in ids], pa.string()), "decoded_sha256": pa.array([digest(own.decode(i)) for i in ids], pa.string())}
+
+    return _map_texts(docs, shared, text, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", build)
+
+
+def encode_table(docs: DataFrame, shared, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:  # noqa: ANN001
+    """The kept columns with ``ids``, ``n_tokens``, and ``exact``: whether decoding gives the text's bytes back. Null texts count as empty."""
+
+    def build(own: Encoder, texts: list[str | None], ids: list[np.ndarray]) -> dict[str, pa.Array]:
+        lengths = [len(i) for i in ids]
+        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        exact = [own.decode(i) == (t or "").encode("utf-8", "surrogatepass") for t, i in zip(texts, ids, strict=True)]
+        return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), "n_tokens": pa.array(lengths, pa.int64()), "exact": pa.array(exact, pa.bool_())}
 
-    return rows(F.col(text))
+    return _map_texts(docs, shared, text, keep, "ids array<int>, n_tokens long, exact boolean", build)

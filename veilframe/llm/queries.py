@@ -30,7 +30,7 @@ def op2_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     shared = bpe.load(spark, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    return docs.select("doc_id", bpe.round_trip(docs, shared).alias("r")).select("doc_id", "r.*")
+    return bpe.round_trip(docs, shared)
 
 
 def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
