@@ -32,14 +32,14 @@ def test_held_out_accuracy(spark):
 
 def test_probabilities_of_the_model_sum_to_one():
     """The tables hold log ratios; with the parts they are made of, both classes are distributions."""
-    words = [(f"w{i}".encode(), i / 40, (4 - i) / 50, (i + 1) / 100) for i in range(5)]
+    words = [(bytes([97 + i]) * 3, i / 40, (4 - i) / 50, (i + 1) / 100) for i in range(5)]
     model = toxicity.Model()
     kept_t, kept_o = sum(w[1] for w in words), sum(w[2] for w in words)
     toxicity.assemble(model, words, [], 1 - kept_t, 1 - kept_o)
     other = 1 - sum(w[3] for w in words)
     for kept, rest in ((1, 1 - kept_t), (2, 1 - kept_o)):
         assert abs(sum(w[kept] + rest * w[3] for w in words) + rest * other - 1) < 1e-9
-    assert model.evidence(b"w4".decode())[0] == model.word[model.vocabulary[b"w4"]]
+    assert model.evidence("EEE 9")[0] == model.word[model.vocabulary[b"eee"]]
 
 
 def test_toxicity_of_odd_tables(spark):
