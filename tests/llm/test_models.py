@@ -59,6 +59,32 @@ def test_labels_and_ids_are_no_inputs(spark):
     assert a == sorted(r[0] for r in moved.select(toxicity.toxicity_score(moved, model)).collect())
 
 
+def test_rare_toxic_words_keep_mass_of_their_own(spark):
+    """A word in a few texts of a small class tells as much as its share of them does; chance and common words tell nothing."""
+    import random
+
+    r, rows = random.Random(8), []
+    for i in range(1200):
+        text = [r.choice("the of and to in is was for on that".split()) for _ in range(40)] + [f"w{r.randrange(300)}"]
+        rows.append((i, " ".join(text + (["zorgle"] if i % 30 == 10 else ["both"] if i % 7 == 0 else [])), int(i % 10 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    for n in (1200, 400):  # a third of the rows says the same
+        model = toxicity.train(docs.where(F.col("doc_id") < n), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+        assert model.word[model.vocabulary[b"zorgle"]] > model.word[0]
+        assert not {b"both", b"the", b"w7"} & set(model.vocabulary)
+        assert model.score(rows[10][1]) > model.score(rows[11][1])
+
+
+def test_rare_words_of_each_language_are_found(spark):
+    data = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    judged = docs.where(toxicity.held_out()).join(labels, "doc_id").select("lang", "toxic", (toxicity.toxicity_score(docs, model) >= 0.5).alias("hit")).collect()
+    share = lambda y, *langs: sum(r.hit for r in judged if r.toxic == y and r.lang in langs) / sum(r.toxic == y and r.lang in langs for r in judged)
+    assert share(1, "en") > 0.85 and share(1, "de", "fr", "es") > 0.6 and share(0, "en", "de", "fr", "es") < 0.02
+
+
 EMAIL, IP, CARD, PHONE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 

@@ -7,9 +7,10 @@ Each class (toxic, ordinary) has an interpolated Kneser-Ney bigram model over lo
 
 ``kept`` is a count less its discount, ``L`` the mass that discounts free. ``P_c(w)`` rests on continuation counts, the
 number of different words before ``w`` in class ``c`` (``K_c`` is their sum). ``P(w)`` is the backoff that both classes share, made as Kneser and
-Ney ask from what the discounts took away in both. The discount is ``DISCOUNT`` where one class shows a word (or pair) clearly more
-often than the other, in enough texts; any other count is discounted whole. So rare expressions, and shares of languages
-that differ between the classes, fall back to the shared counts and say nothing.
+Ney ask from what the discounts took away in both. The discount is ``DISCOUNT`` where a class shows a word (or pair) in a share of its texts
+that differs from the other's by more than chance and ``RATIO`` times; any other count is discounted whole. The test weighs numbers of texts against
+those that each class has, so a rare expression of a small class keeps mass of its own as soon as chance does not explain it, while
+words that both classes share fall back to the shared counts and say nothing.
 
 A text's evidence is the difference of both log-likelihoods, divided by its number of words. Shared
 probabilities cancel in it wherever no own mass is left, so the model that is sent out holds only the words and pairs
@@ -24,6 +25,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,8 +37,11 @@ from veilframe.llm.shared import materialize, ship
 #: Labelled texts a class that the model learns from, those with the smallest hashes of their ids.
 MAX_DOCS = 4000
 DISCOUNT = 0.75
-#: A class shows a word clearly more often: over ``RATIO`` times the other class's rate plus ``MARGIN`` counts, in ``MIN_TEXTS`` texts.
-RATIO, MARGIN, MIN_TEXTS = 3.0, 12, 4
+#: A class shows a word clearly more often: in over ``RATIO`` times the other's share of texts, and a log-likelihood ratio over
+#: that which chance passes once in 10,000 words, or 1,000,000 pairs, of which there are more (chi-square, one degree of freedom).
+RATIO, WORD_PROOF, PAIR_PROOF = 3.0, 15.1, 23.9
+#: Rows of counts that leave a Python worker at once.
+SLICE = 1 << 17
 FOLDS = 5
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -101,27 +106,40 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: s
 
 
 def _count(sample: DataFrame) -> DataFrame:
-    """``(u, w, t, o)``: pairs of neighbouring words and how often each class has them.
+    """``(u, w, t, o, dt, do)``: pairs of neighbouring words, how often each class has them, and in how many of its texts.
 
     With ``u`` null: in how many texts of each class ``w`` stands.
     """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from veilframe.llm.toxicity import words as cut
+        from veilframe.llm.toxicity import SLICE, words as cut
 
         for pdf in batches:
-            seen: Counter = Counter()
+            stood, again = Counter(), Counter()  # texts; and how often beyond once a text
             for toxic, body in zip(pdf["toxic"], pdf["body"], strict=True):
                 found = cut(body)
-                seen.update((int(toxic), u, w) for u, w in zip(found, found[1:], strict=False))
-                seen.update((int(toxic), None, w) for w in set(found))
-            yield pd.DataFrame([(u, w, n if c else 0, 0 if c else n) for (c, u, w), n in seen.items()], columns=["u", "w", "t", "o"])
+                here = Counter(zip(found, found[1:], strict=False))
+                stood.update((int(toxic), None, w) for w in set(found))
+                stood.update((int(toxic), u, w) for u, w in here)
+                again.update({(int(toxic), u, w): n - 1 for (u, w), n in here.items() if n > 1})
+            left = iter(stood.items())
+            while part := [(u, w, *((n + again[c, u, w], 0, n, 0) if c else (0, n + again[c, u, w], 0, n))) for (c, u, w), n in islice(left, SLICE)]:
+                yield pd.DataFrame(part, columns=["u", "w", "t", "o", "dt", "do"])
 
-    counted = sample.where("not fits").select("toxic", "body").mapInPandas(pairs, "u binary, w binary, t long, o long")
-    return materialize(counted.groupBy("u", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "toxicity-pairs")
+    counted = sample.where("not fits").select("toxic", "body").mapInPandas(pairs, "u binary, w binary, t long, o long, dt long, do long")
+    return materialize(counted.groupBy("u", "w").agg(*(F.sum(c).alias(c) for c in ("t", "o", "dt", "do"))), "toxicity-pairs")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS, discount: float = DISCOUNT, ratio: float = RATIO, margin: float = MARGIN) -> Model:
+def _clearly(nt: Column, no: Column, ratio: float, proof: float) -> Column:
+    """Whether ``dt`` of ``nt`` toxic and ``do`` of ``no`` ordinary texts differ by over ``ratio`` times and more than chance."""
+    t, o = F.col("dt"), F.col("do")
+    share = F.try_divide(t + o, nt + no)
+    part = lambda x, n, p: F.coalesce(x * (F.log(x) - F.log(n * p)), F.lit(0.0))
+    likely = 2 * (part(t, nt, share) + part(o, no, share) + part(nt - t, nt, 1 - share) + part(no - o, no, 1 - share))
+    return (F.greatest(t * no, o * nt) > ratio * F.least(t * no, o * nt)) & (likely > proof)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS, discount: float = DISCOUNT, ratio: float = RATIO, word_proof: float = WORD_PROOF, pair_proof: float = PAIR_PROOF) -> Model:
     """Learn from the labelled rows that are not held out.
 
     Without rows of one of the classes there is nothing to compare: every score is then the share of toxic rows, and 0
@@ -137,26 +155,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return model
     counts = _count(sample)
     pairs = counts.where("u is not null")
-    texts = counts.where("u is null").select("w", F.col("t").alias("dt"), F.col("o").alias("do"))
+    texts = counts.where("u is null").select("w", "dt", "do")
+    sizes = {r["toxic"]: r["count"] for r in sample.where("not fits").groupBy("toxic").count().collect()}
+    nt, no = (F.lit(sizes.get(c, 0)) for c in (1, 0))
     unigram = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).join(texts, "w")
     kt, ko = (float(x or 1) for x in unigram.agg(F.sum("t"), F.sum("o")).first())
-
-    def clearly(rate: Column | float) -> Column:
-        """``rate``: how many counts of the toxic class go with one of the ordinary class."""
-        t, o = F.col("t"), F.col("o")
-        # at either class's scale, so that a class with few texts proves nothing by what it lacks
-        more = (t > ratio * rate * o + margin) & (t / rate > ratio * o + margin) & (F.col("dt") >= MIN_TEXTS)
-        less = (o > ratio / rate * t + margin) & (o * rate > ratio * t + margin) & (F.col("do") >= MIN_TEXTS)
-        return more | less
-
-    unigram = unigram.withColumn("own", clearly(kt / ko))
+    unigram = unigram.withColumn("own", _clearly(nt, no, ratio, word_proof))
     keep = lambda c: F.when(F.col("own"), F.greatest(F.col(c) - discount, F.lit(0.0))).otherwise(0.0)
     unigram = unigram.withColumns({"at": keep("t"), "ao": keep("o")}).withColumn("freed", F.col("t") + F.col("o") - F.col("at") - F.col("ao"))
     kept_t, kept_o, freed = (float(x or 0) for x in unigram.agg(F.sum("at"), F.sum("ao"), F.sum("freed")).first())
     freed = max(freed, 1.0)
-    context = pairs.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo"))
-    likely = pairs.where(F.greatest("t", "o") > margin).join(context, "u").join(texts, "w").where((F.col("ut") > 0) & (F.col("uo") > 0))
-    bigrams = likely.withColumn("own", clearly(F.col("ut") / F.col("uo"))).where("own").withColumns({"bt": keep("t") / F.col("ut"), "bo": keep("o") / F.col("uo")})
+    context = pairs.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo")).join(texts.select(F.col("w").alias("u"), F.col("dt").alias("nt"), F.col("do").alias("no")), "u")
+    # one text of n has a log-likelihood ratio of 2 log n + 2 at most, so pairs of one text can mostly go before the join
+    likely = pairs.where(F.col("dt") + F.col("do") > int(pair_proof > 2 * math.log(2 * max_docs) + 2)).join(context, "u").where((F.col("ut") > 0) & (F.col("uo") > 0))
+    bigrams = likely.withColumn("own", _clearly(F.col("nt"), F.col("no"), ratio, pair_proof)).where("own").withColumns({"bt": keep("t") / F.col("ut"), "bo": keep("o") / F.col("uo")})
     # only words and pairs that kept mass reach the driver, of a sample of bounded size
     unigrams = [(bytes(r["w"]), r["at"] / kt, r["ao"] / ko, max(r["freed"], discount) / freed) for r in unigram.where("own").collect()]
     shared_counts = unigram.select("w", F.col("freed"))
