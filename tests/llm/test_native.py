@@ -71,6 +71,35 @@ def test_license_rules_and_suppression(spark):
     assert len(licenses.rules()) > 300
 
 
+def spelled(parsed):
+    """All strings that a parsed pattern matches, with one letter for each class of letters that is no list."""
+    made = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                ways = [chr(arg)]
+            case "IN":
+                ways = [chr(x) for kind, x in arg if str(kind) == "LITERAL"] or ["x"]
+            case "MAX_REPEAT":
+                ways = [""] * (arg[0] == 0) + spelled(arg[2])
+            case "SUBPATTERN":
+                ways = spelled(arg[3])
+            case "BRANCH":
+                ways = [x for branch in arg[1] for x in spelled(branch)]
+        made = [a + b for a in made for b in ways]
+    return made
+
+
+def test_all_that_a_rule_matches_has_its_keywords(spark):
+    for rule in licenses.rules():
+        for text in spelled(re._parser.parse(rule.pattern)):
+            assert re.fullmatch(rule.pattern, text) and re.search(licenses.GATE, text)
+            assert rule.keyword in f" {text} " and rule.context in f" {text} ", (rule, text)
+    cases = {"FreeBSD license": "bsd-2-clause", "released under the FreeBSD Licence": "bsd-2-clause", "BSD Zero Clause License": "0bsd", "Open Data Commons Database License": "odbl-1.0", "runs on FreeBSD, licensed": ""}
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.license_scan(docs).collect()} == dict(enumerate(cases.values()))
+
+
 def test_tagged_patterns_match_what_plain_ones_do():
     r = random.Random(3)
     words = "gnu general public license version 3 0 mit the licence v3 apache beer ware beerware".split()

@@ -26,9 +26,9 @@ RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases that always count, and their labels (fixed values).
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label, keyword, how the license is named in prose, its SPDX identifier as words.
+#: label, keyword that every wording contains (at the start of a word, with * anywhere), how the license is named in prose, its SPDX identifier as words.
 LICENSES = [
-    ("0bsd", "zero clause bsd", "(?:bsd zero clause|zero clause bsd)", "0bsd"),
+    ("0bsd", "zero clause", "(?:bsd zero clause|zero clause bsd)", "0bsd"),
     ("afl-3.0", "academic free", "academic free licen[cs]e(?: v(?:ersion)? ?3(?: 0)?)?", "afl 3 0"),
     ("agpl-3.0", "affero", "gnu affero general public licen[cs]e(?: as published by the free software foundation)?(?: (?:either )?version 3(?: 0)?)?", "agpl 3 0(?: only| or later)?"),
     ("apache-1.1", "apache", "apache(?: software)? licen[cs]e (?:version )?1 1", "apache 1 1"),
@@ -39,7 +39,7 @@ LICENSES = [
     ("beerware", "beer", "beer ?ware licen[cs]e", "beerware"),
     ("blueoak-1.0.0", "blue oak", "blue oak model licen[cs]e(?: 1 0 0)?", "blueoak 1 0 0"),
     ("bsd-1-clause", "bsd", "bsd 1 clause(?: licen[cs]e)?", "bsd 1 clause"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)?", "bsd 2 clause"),
+    ("bsd-2-clause", "*bsd", "(?:(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)?|freebsd licen[cs]e)", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)?", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?", "bsd 4 clause"),
     ("bsl-1.0", "boost", "boost software licen[cs]e(?: version 1(?: 0)?)?", "bsl 1 0"),
@@ -84,7 +84,7 @@ LICENSES = [
     ("ms-pl", "microsoft public", "microsoft public licen[cs]e", "ms pl"),
     ("ms-rl", "microsoft reciprocal", "microsoft reciprocal licen[cs]e", "ms rl"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[cs]e", "ncsa"),
-    ("odbl-1.0", "open database", "open (?:data commons )?(?:open )?database licen[cs]e(?: v?1 0)?", "odbl 1 0"),
+    ("odbl-1.0", "database licen", "open (?:data commons )?(?:open )?database licen[cs]e(?: v?1 0)?", "odbl 1 0"),
     ("ofl-1.1", "open font", "(?:sil )?open font licen[cs]e(?: version 1 1)?", "ofl 1 1"),
     ("openssl", "openssl licen", "openssl licen[cs]e", "openssl"),
     ("osl-3.0", "open software", "open software licen[cs]e(?: (?:version |v)?3(?: 0)?)?", "osl 3 0"),
@@ -135,7 +135,7 @@ def rules() -> list[Rule]:
     """All signature rules in order; the phrases of ``BASE`` are the last."""
     made = [(label, p, own or "", spdx.split()[0] if "ID" in text else keyword, text.replace("NAME", name).replace("ID", spdx), c) for p, text, own, c in WORDINGS for label, keyword, name, spdx in LICENSES]
     made += [(label, LEVELS, "", phrase, phrase, 0.5) for phrase, label in BASE.items()]
-    return [Rule(i, label, p, f" {own}", f" {keyword}", pattern, c) for i, (label, p, own, keyword, pattern, c) in enumerate(made)]
+    return [Rule(i, label, p, f" {own}", f" {keyword}".replace(" *", ""), pattern, c) for i, (label, p, own, keyword, pattern, c) in enumerate(made)]
 
 
 def tagged(pattern: str) -> str:
