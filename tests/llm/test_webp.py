@@ -35,9 +35,9 @@ def test_back_references_and_colour_cache():
     expected += [colours[2]]
     width = 5
     expected.append(expected[len(expected) - width])
-    length = 8  # symbol 6: offset 6, two... value (2 + 0) << 2
-    tokens[-1] = ("ref", 6, 2, 0, 1, 0, 0)  # 8 + 0 + 1 = 9 pixels at distance 1
-    expected += [expected[-1]] * (length + 1)
+    # symbol 6 has two extra bits and starts at (2 << 2) + 1 = 9; with the extra value 1 it means 10 pixels, here at distance 1
+    tokens[-1] = ("ref", 6, 2, 1, 1, 0, 0)
+    expected += [expected[-1]] * 10
     assert len(expected) == 20
     (got,) = webp.decode_many([S.finish(S.start(width, 4), tokens, cache_bits=6)])
     assert S.argb(got) == expected

@@ -28,8 +28,6 @@ CAP = 3
 SEED = 17
 #: Rows that a bucket of hashes is meant to hold.
 BUCKET = 512
-#: The dynamic programme's table reaches this far at most (words).
-TABLE = 1 << 18
 
 
 def word_count(text: Column) -> Column:
@@ -59,10 +57,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = C
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come to ``budget`` or as near as found.
+    """How many documents of each length to take so that their words come to ``budget`` or as near as can be.
 
-    Proportional quotas first, then a greedy pass from the longest length down to a rest of a few documents, then
-    bounded-knapsack dynamic programming on that rest. Lengths are distinct; zero lengths are never taken.
+    Proportional quotas first, up to a rest of two of the longest documents; a greedy pass from the longest length down for what rounding left; then
+    bounded-knapsack dynamic programming on that rest. Lengths are distinct; zero lengths are never taken. Every
+    length takes part, however long.
     """
     taken = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -70,9 +69,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return taken
     if budget >= total:
         return np.where(lengths > 0, counts, 0)
-    reach = min(TABLE, 2 * int(lengths.max()))
+    reach = 2 * int(lengths.max())
     # integer arithmetic on Python numbers: counts times budget may pass 64 bits
-    taken = np.array([int(c) * budget // total if n else 0 for n, c in zip(lengths.tolist(), counts.tolist(), strict=True)], np.int64)
+    spread = max(budget - reach, 0)
+    taken = np.array([int(c) * spread // total if n else 0 for n, c in zip(lengths.tolist(), counts.tolist(), strict=True)], np.int64)
     rest = budget - int((lengths * taken).sum())
     for i in np.argsort(-lengths, kind="stable").tolist():
         n = int(lengths[i])
@@ -82,41 +82,50 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         taken[i] += more
         rest -= more * n
     # from a proportional start every length has documents left, so short ones are there for the fine fit
-    return taken + _knapsack(lengths, np.where(lengths > 0, counts - taken, 0), rest, reach)
+    return taken + _knapsack(lengths, np.where(lengths > 0, counts - taken, 0), rest)
 
 
-def _knapsack(lengths: np.ndarray, free: np.ndarray, rest: int, reach: int) -> np.ndarray:
+def _knapsack(lengths: np.ndarray, free: np.ndarray, rest: int) -> np.ndarray:
     """The multiset within ``free`` whose sum is nearest to ``rest`` (below wins ties).
 
-    Counts are split into powers of two. Reachable sums are the bits of one long integer; the item that first
-    reaches a sum is kept, and by following it a sum is taken apart again. It ends as soon as ``rest`` is met.
+    Lengths are divided by their greatest common divisor and counts split into powers of two. Reachable sums are the bits of one long
+    integer; the item that first reaches a sum is kept, and by following it a sum is taken apart again. It ends as soon
+    as no sum can be nearer. Taking nothing misses by ``rest``, so no sum of twice that or more matters: the table takes 4 bytes for each step of the
+    divisor up to ``rest`` and the longest length, or twice ``rest`` if that is less.
     """
-    size = rest + int(min(reach, lengths.max(initial=0))) + 1
+    usable = np.flatnonzero((free > 0) & (lengths < 2 * rest))
+    if not len(usable):
+        return np.zeros(len(lengths), np.int64)
+    step = int(np.gcd.reduce(lengths[usable]))
+    goal = (2 * rest + step - 1) // (2 * step)  # the step nearest to the rest, the lower one of two
+    size = min(rest // step + int(lengths[usable].max()) // step, 2 * rest // step) + 1
     mask, bits = (1 << size) - 1, 1
-    first = np.full(size, -1, np.int64)
+    first = np.full(size, -1, np.int32)
     items: list[tuple[int, int]] = []
-    order = np.argsort(-lengths, kind="stable")
-    for i in order[free[order] > 0].tolist():
-        n, left, k = int(lengths[i]), int(free[i]), 1
+    for i in usable[np.argsort(-lengths[usable], kind="stable")].tolist():
+        n, left, k = int(lengths[i]) // step, int(free[i]), 1
         while left and n * k < size:
             k = min(k, left)
             new = ((bits << (n * k)) & mask) & ~bits
             if new:
                 raw = np.frombuffer(new.to_bytes(size // 8 + 1, "little"), np.uint8)
-                first[np.flatnonzero(np.unpackbits(raw, bitorder="little"))] = len(items)
+                held = np.flatnonzero(raw)
+                which = np.unpackbits(raw[held, None], axis=1, bitorder="little")
+                row, bit = np.nonzero(which)
+                first[held[row] * 8 + bit] = len(items)
                 items.append((i, k))
                 bits |= new
             left -= k
             k *= 2
-        if bits >> rest & 1:
+        if bits >> goal & 1:
             break
     sums = np.flatnonzero(np.concatenate(([True], first[1:] >= 0)))
-    at = int(sums[np.lexsort((sums, np.abs(sums - rest)))[0]])
+    at = int(sums[np.lexsort((sums, np.abs(sums * step - rest)))[0]])
     taken = np.zeros(len(lengths), np.int64)
     while at:
         i, k = items[first[at]]
         taken[i] += k
-        at -= int(lengths[i]) * k
+        at -= int(lengths[i]) // step * k
     return taken
 
 
