@@ -148,22 +148,19 @@ def quotas(histogram: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
     return both.withColumn("_s", named).groupBy("_s").applyInPandas(lambda pdf: fit(pdf[["source", "size", "number", "source_size", "target"]]), "source string, size long, number long, source_size long, target double, passes long, extra long")
 
 
-def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """``(id, source, size, source_size, target, copies, taken)``, a row for each row of ``docs``.
-
-    ``copies`` (0 to ``cap``) is how often the mix takes the row, ``taken`` its words. Null and empty texts have size 0 and
-    are never drawn. Rows that repeat count each. A rerun on the same rows takes the same copies.
-    """
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+def _drawn(docs: DataFrame, text: str, id_col: str, source: str, weights: Sequence[float], cap: int, seed: int) -> DataFrame:
+    """``(_id, _text, source, size, source_size, target, copies)``, a row for each row of ``docs``; ``_text`` is the text's hash."""
+    sized = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_text"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     sized = materialize(sized, "mix-sizes")
     histogram = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("number")), "mix-histogram")
     goals = targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("number")).alias("source_size")), weights, cap)
     plan = materialize(quotas(histogram, goals, cap), "mix-quotas").withColumn("buckets", F.ceil(F.col("number") / BUCKET))
     p = plan.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "number", "passes", "extra", "source_size", "target", "buckets")
     drawn = sized.join(p, sized["source"].eqNullSafe(F.col("p_source")) & (sized["size"] == F.col("p_size"))).drop("p_source", "p_size")
-    drawn = drawn.withColumn("_hash", F.xxhash64(F.coalesce("_id", F.lit(-1)), F.lit(seed))).withColumn("_bucket", F.pmod("_hash", F.col("buckets")))
+    # the text's hash keeps rows apart that have no id
+    drawn = drawn.withColumn("_hash", F.xxhash64(F.coalesce("_id", F.lit(-1)), "_text", F.lit(seed))).withColumn("_bucket", F.pmod("_hash", F.col("buckets")))
     drawn = materialize(drawn, "mix-drawn")
-    result = ("_id", "source", "size", "source_size", "target", "copies")
+    result = ("_id", "_text", "source", "size", "source_size", "target", "copies")
     settled = drawn.where("extra = 0 or extra = number").withColumn("copies", F.col("passes") + (F.col("extra") > 0).cast("long"))
     open_ = drawn.where("extra > 0 and extra < number")
     small = open_.where("buckets = 1").withColumn("_before", F.lit(0).cast("long"))
@@ -172,25 +169,36 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     before = F.coalesce(F.sum("n").over(W.partitionBy("source", "size").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     filled = filled.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("_bucket").alias("b_bucket"), before.alias("_before"))
     large = large.join(filled, large["source"].eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("_bucket") == F.col("b_bucket"))).drop("b_source", "b_size", "b_bucket")
-    rank = F.row_number().over(W.partitionBy("source", "size", "_bucket").orderBy("_hash", "_id"))
+    rank = F.row_number().over(W.partitionBy("source", "size", "_bucket").orderBy("_hash", "_id", "_text"))
     ranked = small.unionByName(large).withColumn("copies", F.col("passes") + (rank + F.col("_before") <= F.col("extra")).cast("long"))
-    every = settled.select(*result).unionByName(ranked.select(*result))
-    return every.withColumn("taken", F.col("size") * F.col("copies")).withColumnRenamed("_id", id_col)
+    return settled.select(*result).unionByName(ranked.select(*result))
+
+
+def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """``(id, source, size, source_size, target, copies, taken)``, a row for each row of ``docs``.
+
+    ``copies`` (0 to ``cap``) is how often the mix takes the row, ``taken`` its words. Null and empty texts have size 0 and
+    are never drawn; of very long texts only the length counts. Rows that repeat count each. Ties of hashes go by id, then by text, so a rerun
+    on the same rows takes the same copies. Other columns of ``docs`` are not read, whatever their names; an empty table gives an empty one.
+    """
+    every = _drawn(docs, text, id_col, source, weights, cap, seed)
+    return every.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def take_mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **settings) -> DataFrame:  # noqa: ANN003
-    """The mix itself: rows of ``docs``, each as often as the mix takes it."""
-    chosen = mix(docs, text, id_col, source, **settings)
+def take_mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """The mix itself: rows of ``docs`` with all their columns, each as often as the mix takes it."""
+    chosen = _drawn(docs, text, id_col, source, weights, cap, seed)
 
-    def key(id_: Column, source_: Column, size: Column) -> Column:
+    def key(id_: Column, source_: Column, text_hash: Column) -> Column:
         """One join key of what tells rows apart for the mix, so that the texts are shuffled once, for join and window."""
-        return F.sha2(F.concat_ws("\x00", *(F.coalesce(c.cast("string"), F.lit("\x01")) for c in (id_, source_, size))), 256)
-
-    # rows that share id, source and length share a key: its copies are dealt out to them by a running number
-    c = chosen.groupBy(key(F.col(id_col), F.col("source"), F.col("size")).alias("__mix_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__mix_copies"))
-    c = materialize(c.where(F.get("__mix_copies", F.lit(0)) > 0), "mix-copies")
-    keyed = docs.withColumn("__mix_key", key(F.col(id_col), F.col(source), word_count(F.col(text)))).join(c, "__mix_key")
-    number = F.row_number().over(W.partitionBy("__mix_key").orderBy(F.xxhash64(F.col(text)))) - 1
-    times = F.get("__mix_copies", number)
-    taken = keyed.withColumn("__mix_times", times).where("__mix_times > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_times")))
+        return F.sha2(F.concat_ws("\x00", *(F.coalesce(c.cast("string"), F.lit("\x01")) for c in (id_, source_, text_hash))), 256)
+
+    # rows that share id, source and text share a key: how many of them are taken once, twice and so on is dealt out by a running number
+    times = [F.count_if(F.col("copies") >= k).alias(f"__mix_{k}") for k in range(1, cap + 1)]
+    c = chosen.groupBy(key(F.col("_id"), F.col("source"), F.col("_text")).alias("__mix_key")).agg(*times)
+    c = materialize(c.where("__mix_1 > 0"), "mix-copies")
+    keyed = docs.withColumn("__mix_key", key(F.col(id_col), F.col(source), F.xxhash64(F.col(text)))).join(c, "__mix_key")
+    number = F.row_number().over(W.partitionBy("__mix_key").orderBy("__mix_1"))
+    due = sum((number <= F.col(f"__mix_{k}")).cast("long") for k in range(1, cap + 1))
+    taken = keyed.withColumn("__mix_times", due).where("__mix_times > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_times")))
     return taken.select(*docs.columns)
