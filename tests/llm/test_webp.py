@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tests.llm import webp_streams as S
 from veilframe.llm import queries, webp
@@ -51,29 +53,50 @@ def test_several_groups_of_codes():
     assert (got == image).all()
 
 
+def predicted(mode, left, top, right, corner):
+    """The format's predictions for one channel each, as its specification words them (mode 11 looks at all channels)."""
+    average = lambda a, b: (a + b) // 2
+    clamp = lambda a: max(0, min(255, a))
+    if mode == 11:
+        estimate = [x + y - z for x, y, z in zip(left, top, corner, strict=True)]
+        to_left, to_top = (sum(abs(e - p) for e, p in zip(estimate, side, strict=True)) for side in (left, top))
+        return left if to_left < to_top else top
+    out = []
+    for k, (x, t, r, c) in enumerate(zip(left, top, right, corner, strict=True)):
+        half = average(x, t) - c
+        out.append(
+            [255 * (k == 0), x, t, r, c, average(average(x, r), t), average(x, c), average(x, t), average(c, t), average(t, r), average(average(x, c), average(t, r)), None, clamp(x + t - c), clamp(average(x, t) + int(half / 2))][mode]
+            if mode < 14
+            else 255 * (k == 0)
+        )
+    return out
+
+
 @pytest.mark.parametrize("mode", range(16))
 def test_predictor(mode):
-    image = random_image(mode, 6, 7)
-    pad = image.astype(int)
-    residual = pad.copy()
-    for y in range(6):
-        for x in range(7):
-            left, top = (pad[y, x - 1] if x else None), (pad[y - 1, x] if y else None)
-            if y == 0:
-                p = np.array([255, 0, 0, 0]) if x == 0 else left
-            elif x == 0:
-                p = top
-            else:
-                right = pad[y - 1, x + 1] if x < 6 else pad[y, 0]
-                p = webp._predict(mode, left, top, right, pad[y - 1, x - 1])
-            residual[y, x] = (pad[y, x] - p) & 255
-    w = S.start(7, 6)
-    w.put(1, 1)
-    w.put(webp.PREDICTOR, 2)
-    w.put(1, 3)  # blocks of 8
-    S.put_image(w, [0xFF000000 | mode << 8])
-    (got,) = webp.decode_many([S.finish(w, S.argb(residual.astype(np.uint8)))])
-    assert (got == image).all()
+    """Several images in lockstep, of several heights, against predictions pixel by pixel."""
+    images = [random_image(mode + 20 * k, height, 7) for k, height in enumerate((6, 1, 9))]
+    chunks = []
+    for image in images:
+        px = image.astype(int).tolist()
+        residual = image.astype(int)
+        for y in range(len(px)):
+            for x in range(7):
+                if y == 0:
+                    p = [255, 0, 0, 0] if x == 0 else px[0][x - 1]
+                elif x == 0:
+                    p = px[y - 1][0]
+                else:
+                    p = predicted(mode, px[y][x - 1], px[y - 1][x], px[y - 1][x + 1] if x < 6 else px[y][0], px[y - 1][x - 1])
+                residual[y, x] = (residual[y, x] - p) & 255
+        w = S.start(7, len(px))
+        w.put(1, 1)
+        w.put(webp.PREDICTOR, 2)
+        w.put(2, 3)  # blocks of 16
+        S.put_image(w, [0xFF000000 | mode << 8])
+        chunks.append(S.finish(w, S.argb(residual.astype(np.uint8))))
+    for got, image in zip(webp.decode_many(chunks), images, strict=True):
+        assert (got == image).all()
 
 
 def test_cross_colour_then_subtract_green():
@@ -153,6 +176,57 @@ def test_texts_round_trip_and_rows(spark):
     assert [r.a for r in broken.select(webp.pixel_arrays(broken).alias("a")).collect()] == [None, None]
 
 
-def test_query(spark, sf_dir):
-    rows = queries.op2_webp_media(spark, sf_dir)
-    assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+PATCH = st.one_of(st.binary(max_size=60), st.binary(min_size=1, max_size=9).map(lambda b: b * 40), st.sampled_from([b"\0" * 500, b" " * 700, b"abcabd" * 200, bytes(range(256))]))
+
+
+@given(st.lists(PATCH, min_size=1, max_size=12), st.integers(1, 70))
+@settings(max_examples=120, deadline=None)
+def test_writer_round_trip(parts, tile_rows):
+    data = b"".join(parts)
+    data = data.ljust(max(192, -(-len(data) // 192) * 192), b" ")
+    assert webp.load_bytes([webp.store_bytes(data, tile_rows)])[0][0] == data
+
+
+def used_features(media):
+    """What each stored file of ``media`` is made of."""
+    for chunk in webp.files(media):
+        reader = webp._open(chunk)
+        try:
+            while True:
+                webp.run_lanes([next(reader)])
+        except StopIteration as end:
+            image = end.value
+        green = np.frombuffer(image.lane.groups[0][0], np.int16)
+        yield {t[0] for t in image.transforms} | ({"cache"} if image.lane.cache_bits else set()) | ({"copies"} if green[256:280].any() else set())
+
+
+def test_query_stores_by_every_part_of_the_format_and_reads_it_back(spark, sf_dir):
+    """Every column against the library functions and plain arithmetic over the whole table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op2_webp_media(spark, sf_dir).collect()}
+    media = {r.doc_id: bytes(r.m) for r in docs.select("doc_id", webp.text_media(docs).alias("m")).collect()}
+    seen = {}
+    for doc in docs.collect():
+        raw, r = (doc.text or "").encode(), rows.pop(doc.doc_id)
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media[doc.doc_id]), hashlib.sha256(media[doc.doc_id]).hexdigest())
+        lines = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+        means = [sum(sum(x[c::3]) for x in lines) * 1000 // (64 * len(lines)) for c in range(3)]
+        sharp = sum(abs(a - b) > 32 for x in lines for a, b in zip(x[1::3], x[4::3], strict=False))
+        assert r.feature == f"64x{len(lines)} mean={means[0]},{means[1]},{means[2]} sharp={sharp * 1000 // (63 * len(lines))}"
+        for found in used_features(media[doc.doc_id]):
+            for x in found:
+                seen[x] = seen.get(x, 0) + 1
+    assert not rows
+    assert seen.keys() >= {webp.PREDICTOR, webp.CROSS_COLOUR, webp.PALETTE, "cache", "copies"}
+
+
+def test_rows_without_ids_and_empty_tables(spark):
+    docs = spark.createDataFrame([(None, "x"), (None, "x"), (3, None)], "doc_id long, text string")
+    rows = docs.select("doc_id", webp.stored_texts(docs).alias("m")).select("doc_id", "m.*").collect()
+    assert len(rows) == 3 and rows[0] == rows[1]
+    empty = docs.limit(0)
+    assert empty.select(webp.stored_texts(empty)).count() == empty.select(webp.text_media(empty).alias("media")).count() == 0
+    nothing = spark.createDataFrame([(b"",)], "media binary")
+    assert nothing.select(webp.pixel_arrays(nothing).alias("a")).first().a == []

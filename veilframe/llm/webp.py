@@ -3,7 +3,12 @@
 Decoding runs many images in lockstep. Each image is a lane with a bit position of its own; step ``i`` makes pixel ``i`` of every
 lane with a few vector operations: fetch 64 bits at each position, look prefix codes up in one concatenated table,
 or continue a back-reference, or take a colour-cache entry. Images are small where speed matters (the writer cuts long data into
-tiles), so lanes are many and of like length. Transforms are inverted afterwards for whole images.
+tiles), so lanes are many and of like length. Images inside a stream (palettes, transform blocks, code groups) are lanes too: files are
+opened as generators that hand out one inner image at a time, and those of all files run together. Transforms are inverted
+afterwards, the predictor's pixels in lockstep again.
+
+The writer picks for each tile a palette, or cross-colour multipliers and predictor modes for the blocks that gain by them, or none of
+these; then back-references, then the size of the colour cache by the entropy of what it leaves.
 """
 
 from __future__ import annotations
@@ -11,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -153,14 +159,18 @@ class Lane:
     pixels: np.ndarray | None = None
     end: int = 0
 
+    def plain(self) -> bool:
+        """Whether it has neither back-references nor a cache."""
+        return not self.cache_bits and not any(any(g[0][512:]) for g in self.groups)
+
 
 def _read_groups(bits: Bits, count: int, cache_bits: int) -> list[tuple[bytes, ...]]:
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
     return [tuple(read_lengths(bits, n).astype(np.int16).tobytes() for n in sizes) for _ in range(count)]
 
 
-def read_lane(bits: Bits, width: int, height: int, main: bool) -> Lane:
-    """Everything up to the pixels of an image; only the main image may have several groups of codes."""
+def read_lane(bits: Bits, width: int, height: int, main: bool) -> Generator[Lane, None, Lane]:
+    """Everything up to the pixels of an image; only the main image may have several groups of codes. Yields lanes to be run."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise BadImage("the colour cache is too large")
@@ -168,7 +178,7 @@ def read_lane(bits: Bits, width: int, height: int, main: bool) -> Lane:
     if main and bits.read(1):
         block = bits.read(3) + 2
         across, down = (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block
-        inner = read_image(bits, across, down)
+        inner = yield from read_image(bits, across, down)
         numbers = (inner >> 8 & 0xFFFF).astype(np.int64)
         count = int(numbers.max()) + 1
         group_of = numbers.reshape(down, across)[np.arange(height)[:, None] >> block, np.arange(width)[None, :] >> block].ravel()
@@ -176,22 +186,23 @@ def read_lane(bits: Bits, width: int, height: int, main: bool) -> Lane:
     return Lane(bits.data, bits.at, width, height, cache_bits, groups, group_of)
 
 
-def read_image(bits: Bits, width: int, height: int) -> np.ndarray:
-    """The ARGB values of an image inside the stream; the reader goes on after it."""
-    lane = read_lane(bits, width, height, main=False)
-    run_lanes([lane])
+def read_image(bits: Bits, width: int, height: int) -> Generator[Lane, None, np.ndarray]:
+    """The ARGB values of an image inside the stream, once its lane has been run; the reader goes on after it."""
+    lane = yield from read_lane(bits, width, height, main=False)
+    yield lane
     bits.at = lane.end
     return lane.pixels
 
 
 def run_lanes(lanes: list[Lane]) -> None:
     """Fill ``pixels`` and ``end`` of all lanes; batches by size bound memory."""
-    order = sorted(range(len(lanes)), key=lambda i: -lanes[i].width * lanes[i].height)
-    while order:
-        largest = max(1, lanes[order[0]].width * lanes[order[0]].height)
-        n = max(1, min(LANES, LANE_PIXELS // largest))
-        _run_batch([lanes[i] for i in order[:n]])
-        order = order[n:]
+    for plain in (True, False):  # images of literals take fewer operations a step
+        order = sorted((x for x in lanes if x.plain() == plain), key=lambda x: -x.width * x.height)
+        while order:
+            largest = max(1, order[0].width * order[0].height)
+            n = max(1, min(LANES, LANE_PIXELS // largest))
+            _run_batch(order[:n])
+            order = order[n:]
 
 
 def _prefix_value(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,60 +355,69 @@ def _blocks(values: np.ndarray, bits: int, width: int, height: int) -> np.ndarra
     return values.reshape(-1, across)[np.arange(height)[:, None] >> bits, np.arange(width)[None, :] >> bits]
 
 
-def _predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
-    """The prediction of one mode; channels as int arrays (``right`` is the pixel above to the right)."""
-    mean = lambda x, y: (x + y) >> 1
-    if mode == 1:
-        return left
-    if mode == 2:
-        return top
-    if mode == 3:
-        return right
-    if mode == 4:
-        return corner
-    if mode == 5:
-        return mean(mean(left, right), top)
-    if mode == 6:
-        return mean(left, corner)
-    if mode == 7:
-        return mean(left, top)
-    if mode == 8:
-        return mean(corner, top)
-    if mode == 9:
-        return mean(top, right)
-    if mode == 10:
-        return mean(mean(left, corner), mean(top, right))
-    if mode == 11:
-        return left if np.abs(top - corner).sum() < np.abs(left - corner).sum() else top
-    if mode == 12:
-        return np.clip(left + top - corner, 0, 255)
-    if mode == 13:
-        half = mean(left, top)
-        delta = half - corner
-        return np.clip(half + np.where(delta < 0, -(-delta >> 1), delta >> 1), 0, 255)
-    return np.array([255, 0, 0, 0])
-
-
-def invert_predictor(image: np.ndarray, modes: np.ndarray) -> np.ndarray:
-    """Adds predictions to the residuals ``image`` (height, width, ARGB). Pixels depend on their left neighbours, so rows of
-    modes that only look up are done at once and others pixel by pixel.
+def _mean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x + y) >> 1
+
+
+#: Predictions by mode from the pixels to the left, above, above to the right and above to the left; channels are the last axis.
+MODES = {
+    0: lambda left, top, right, corner: np.array([255, 0, 0, 0]),
+    1: lambda left, top, right, corner: left,
+    2: lambda left, top, right, corner: top,
+    3: lambda left, top, right, corner: right,
+    4: lambda left, top, right, corner: corner,
+    5: lambda left, top, right, corner: _mean(_mean(left, right), top),
+    6: lambda left, top, right, corner: _mean(left, corner),
+    7: lambda left, top, right, corner: _mean(left, top),
+    8: lambda left, top, right, corner: _mean(corner, top),
+    9: lambda left, top, right, corner: _mean(top, right),
+    10: lambda left, top, right, corner: _mean(_mean(left, corner), _mean(top, right)),
+    11: lambda left, top, right, corner: np.where((np.abs(top - corner).sum(-1) < np.abs(left - corner).sum(-1))[..., None], left, top),
+    12: lambda left, top, right, corner: np.clip(left + top - corner, 0, 255),
+    13: lambda left, top, right, corner: np.clip(_mean(left, top) + _towards_zero(_mean(left, top) - corner), 0, 255),
+}
+#: Modes that do not look to the left, so that whole rows go at once.
+UPWARD = (0, 2, 3, 4, 8, 9)
+
+
+def _towards_zero(x: np.ndarray) -> np.ndarray:
+    return np.where(x < 0, -(-x >> 1), x >> 1)
+
+
+def invert_predictors(images: list[np.ndarray], modes: list[np.ndarray]) -> list[np.ndarray]:
+    """Adds predictions to residuals (height, width, ARGB) of images of one width, the highest first.
+
+    Row by row for all images. In a row, modes that only look up are done at once unless what they look at is the row itself (the pixel
+    above to the right of the last column is the row's first, which is done by then); the others go pixel by pixel, in all images together.
     """
-    out = image.astype(np.int64)
-    height, width = modes.shape
-    out[0, 0] = (out[0, 0] + [255, 0, 0, 0]) & 255
-    if width > 1:
-        out[0] = np.cumsum(out[0], axis=0) & 255
-    for y in range(1, height):
-        above = out[y - 1]
-        out[y, 0] = (out[y, 0] + above[0]) & 255
-        for mode in (0, 2, 4, 8, 14, 15):
-            x = np.flatnonzero(modes[y, 1:] == mode) + 1
-            if len(x):
-                out[y, x] = (out[y, x] + _predict(mode, above[x], above[x], above[x], above[x - 1])) & 255
-        for x in (np.flatnonzero(~np.isin(modes[y, 1:], (0, 2, 4, 8, 14, 15))) + 1).tolist():
-            right = above[x + 1] if x + 1 < width else out[y, 0]
-            out[y, x] = (out[y, x] + _predict(int(modes[y, x]), out[y, x - 1], above[x], right, above[x - 1])) & 255
-    return out.astype(np.uint8)
+    heights = np.array([len(x) for x in images])
+    width = images[0].shape[1]
+    out = np.zeros((len(images), int(heights[0]), width, 4), np.int16)
+    kind = np.zeros(out.shape[:3], np.int8)
+    for i, (x, m) in enumerate(zip(images, modes, strict=True)):
+        out[i, : len(x)], kind[i, : len(x)] = x, np.where(m > 13, 0, m)
+    out[:, 0, 0] += np.array([255, 0, 0, 0], np.int16)
+    out[:, 0] = np.cumsum(out[:, 0], axis=1) & 255
+    upward = np.isin(kind, UPWARD)
+    for y in range(1, out.shape[1]):
+        k = int((heights > y).sum())
+        row, above = out[:k, y], out[:k, y - 1]
+        row[:, 0] = (row[:, 0] + above[:, 0]) & 255
+        mode = kind[:k, y].copy()
+        mode[:, 0] = -1
+        beyond = np.concatenate((above[:, 1:], row[:, :1]), axis=1)
+        for m in UPWARD:
+            who, x = np.nonzero(mode == m)
+            if len(who):
+                row[who, x] = (row[who, x] + MODES[m](None, above[who, x], beyond[who, x], above[who, x - 1])) & 255
+        waiting = np.flatnonzero((~upward[:k, y, 1:]).any(axis=0)) + 1
+        for x in waiting.tolist():
+            at = mode[:, x]
+            for m in np.unique(at).tolist():
+                if m not in UPWARD:
+                    who = np.flatnonzero(at == m)
+                    row[who, x] = (row[who, x] + MODES[m](row[who, x - 1], above[who, x], beyond[who, x], above[who, x - 1])) & 255
+    return [out[i, : len(x)].astype(np.uint8) for i, x in enumerate(images)]
 
 
 def invert_cross_colour(image: np.ndarray, elements: np.ndarray) -> np.ndarray:
@@ -446,7 +466,8 @@ class _Open:
     lane: Lane | None = None
 
 
-def _open(chunk: bytes) -> _Open:
+def _open(chunk: bytes) -> Generator[Lane, None, _Open]:
+    """An image ready for its main lane; yields the lanes of images inside it."""
     bits = Bits(chunk)
     if bits.read(8) != SIGNATURE:
         raise BadImage("no lossless WebP data")
@@ -462,30 +483,45 @@ def _open(chunk: bytes) -> _Open:
         seen.add(kind)
         if kind in (PREDICTOR, CROSS_COLOUR):
             block = bits.read(3) + 2
-            inner = read_image(bits, (width + (1 << block) - 1) >> block, (found.height + (1 << block) - 1) >> block)
+            inner = yield from read_image(bits, (width + (1 << block) - 1) >> block, (found.height + (1 << block) - 1) >> block)
             found.transforms.append((kind, width, block, inner))
         elif kind == PALETTE:
             n = bits.read(8) + 1
-            colours = np.cumsum(_channels(read_image(bits, n, 1)).astype(np.int64), axis=0).astype(np.uint8)
+            inner = yield from read_image(bits, n, 1)
+            colours = np.cumsum(_channels(inner).astype(np.int64), axis=0).astype(np.uint8)
             found.transforms.append((kind, width, colours))
             per_byte = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             width = (width + (1 << per_byte) - 1) >> per_byte
         else:
             found.transforms.append((kind, width))
-    found.lane = read_lane(bits, width, found.height, main=True)
+    found.lane = yield from read_lane(bits, width, found.height, main=True)
     return found
 
 
-def _finish(image: _Open) -> np.ndarray:
-    pixels = _channels(image.lane.pixels).reshape(image.height, image.lane.width, 4)
-    for kind, width, *rest in reversed(image.transforms):
-        if kind == SUBTRACT_GREEN:
-            pixels = invert_subtract_green(pixels)
-        elif kind == PALETTE:
-            pixels = invert_palette(pixels, rest[0], width)
-        else:
-            inner = _blocks(rest[1], rest[0], width, image.height)
-            pixels = invert_predictor(pixels, inner >> 8 & 15) if kind == PREDICTOR else invert_cross_colour(pixels, inner)
+def _finish(images: list[_Open]) -> list[np.ndarray]:
+    """Inverts each image's transforms, the last one first; predictors of many images go together."""
+    pixels = [_channels(x.lane.pixels).reshape(x.height, x.lane.width, 4) for x in images]
+    for back in range(1, 1 + max((len(x.transforms) for x in images), default=0)):
+        predicted: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, x in enumerate(images):
+            if back > len(x.transforms):
+                continue
+            kind, width, *rest = x.transforms[-back]
+            if kind == SUBTRACT_GREEN:
+                pixels[i] = invert_subtract_green(pixels[i])
+            elif kind == PALETTE:
+                pixels[i] = invert_palette(pixels[i], rest[0], width)
+            elif kind == CROSS_COLOUR:
+                pixels[i] = invert_cross_colour(pixels[i], _blocks(rest[1], rest[0], width, x.height))
+            else:
+                predicted.setdefault(width, []).append((i, _blocks(rest[1], rest[0], width, x.height) >> 8 & 15))
+        for group in predicted.values():
+            group.sort(key=lambda g: -len(g[1]))
+            while group:
+                n = max(1, LANE_PIXELS // group[0][1].size)
+                for (i, _), done in zip(group[:n], invert_predictors([pixels[i] for i, _ in group[:n]], [m for _, m in group[:n]]), strict=True):
+                    pixels[i] = done
+                group = group[n:]
     return pixels
 
 
@@ -509,9 +545,19 @@ def files(data: bytes) -> Iterator[bytes]:
 
 def decode_many(chunks: Iterable[bytes]) -> list[np.ndarray]:
     """The (height, width, ARGB) byte arrays of many images, decoded together."""
-    opened = [_open(c) for c in chunks]
+    at_work = list(enumerate(_open(c) for c in chunks))
+    opened: list[_Open | None] = [None] * len(at_work)
+    while at_work:
+        asked = []
+        for i, reader in at_work:
+            try:
+                asked.append((i, reader, next(reader)))
+            except StopIteration as end:
+                opened[i] = end.value
+        run_lanes([lane for _, _, lane in asked])
+        at_work = [(i, reader) for i, reader, _ in asked]
     run_lanes([x.lane for x in opened])
-    return [_finish(x) for x in opened]
+    return _finish(opened)
 
 
 # -- writing ------------------------------------------------------------------------------------------------------
@@ -590,6 +636,8 @@ def put_lengths(w: Writer, lengths: np.ndarray) -> None:
                 m = 1
                 tokens.append((value, 0, 0))
             n -= m
+    if len(tokens) == 1:
+        tokens.append((0, 0, 0))
     own = code_lengths(np.bincount([t for t, _, _ in tokens], minlength=19), 7)
     if np.count_nonzero(own) == 1:  # a code of one symbol must still be complete
         own[0 if own[0] == 0 else 1] = 1
@@ -601,54 +649,274 @@ def put_lengths(w: Writer, lengths: np.ndarray) -> None:
     for s in LENGTH_ORDER[: max(last + 1, 4)]:
         w.put(own[s], 3)
     w.put(1, 1)
-    w.put(3, 3)  # the number of tokens takes 8 bits; 2 are counted already
-    w.put(len(tokens) - 2, 8) if 2 <= len(tokens) < 258 else _too_many()
+    n = max(1, -(-(len(tokens) - 2).bit_length() // 2))  # the number of tokens less 2, in 2n bits
+    w.put(n - 1, 3)
+    w.put(len(tokens) - 2, 2 * n)
     for t, extra, n in tokens:
         w.put(codes[t] | extra << own[t], own[t] + n)
 
 
-def _too_many() -> None:
-    raise ValueError("too few or too many code lengths for this writer")
-
-
 def riff(chunk: bytes) -> bytes:
     pad = b"\0" * (len(chunk) % 2)
     return b"RIFF" + (12 + len(chunk) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(chunk).to_bytes(4, "little") + chunk + pad
 
 
+BLOCK_BITS = 3
+#: Predictor modes and colour-cache sizes that the writer tries.
+WRITER_MODES = (1, 2, 11, 12)
+CACHE_SIZES = (6, 8)
+#: Shortest back-reference, in pixels, and the longest that the format has.
+SHORTEST, FURTHEST_COPY = 3, 4096
+
+
+def entropy(counts: np.ndarray) -> float:
+    """Bits that symbols with these counts take at least."""
+    used = counts[counts > 0].astype(float)
+    return float(used @ (np.log2(used.sum()) - np.log2(used))) if len(used) else 0.0
+
+
+def _literal_bits(image: np.ndarray) -> float:
+    return sum(entropy(np.bincount(image[..., c].ravel(), minlength=256)) for c in range(4))
+
+
+def _block_sums(values: np.ndarray) -> np.ndarray:
+    """Sums over the last two axes by blocks."""
+    step = 1 << BLOCK_BITS
+    down = np.add.reduceat(values, np.arange(0, values.shape[-2], step), axis=-2)
+    return np.add.reduceat(down, np.arange(0, values.shape[-1], step), axis=-1)
+
+
+def predictor_modes(image: np.ndarray) -> np.ndarray:
+    """For each block the mode that leaves most zeros, or 0 where none leaves them in over half of the samples."""
+    x = image.astype(np.int16)
+    left, top, corner = (np.zeros_like(x) for _ in range(3))
+    left[:, 1:], top[1:], corner[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
+    half = 3 * _block_sums(np.ones(image.shape[:2], np.int64)) // 2
+    sides = [_block_sums((image[..., 1:] == side[..., 1:]).sum(-1)) for side in (left, top)]
+    if (sides[0] + sides[1] <= half // 2).all():  # then blends of both are no better
+        return np.zeros(half.shape, np.int64)
+    zeros = np.stack([_block_sums(((MODES[m](left, top, None, corner) - x)[..., 1:] & 255 == 0).sum(-1)) for m in WRITER_MODES])
+    return np.where(zeros.max(axis=0) > half, np.array(WRITER_MODES)[zeros.argmax(axis=0)], 0)
+
+
+def subtract_prediction(image: np.ndarray, modes: np.ndarray) -> np.ndarray:
+    """What the predictor leaves of an image, by a mode for each block."""
+    x = image.astype(np.int16)
+    out, kind = x.copy(), _blocks(modes, BLOCK_BITS, x.shape[1], x.shape[0])
+    left, top, corner = (np.zeros_like(x) for _ in range(3))
+    left[:, 1:], top[1:], corner[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
+    for m in np.unique(kind).tolist():
+        at = kind == m
+        out[at] -= MODES[m](left[at], top[at], None, corner[at]).astype(np.int16)
+    out[:, 0], out[0] = x[:, 0] - top[:, 0], x[0] - left[0]
+    out[0, 0] = x[0, 0] - np.array([255, 0, 0, 0])
+    return (out & 255).astype(np.uint8)
+
+
+def colour_elements(image: np.ndarray) -> np.ndarray:
+    """For each block the cross-colour multipliers (ARGB values); a channel is taken off another that it equals in half of the pixels."""
+    red, green, blue = (image[..., c] for c in (1, 2, 3))
+    half = _block_sums(np.ones(image.shape[:2], np.int64))
+    same = lambda x, y: 2 * _block_sums((x == y).astype(np.int64)) > half
+    on_blue = same(blue, green)
+    # a multiplier of 32 is a factor of one
+    return (BLACK + (32 * (same(blue, red) & ~on_blue) << 16) + (32 * on_blue << 8) + 32 * same(red, green)).astype(np.int64)
+
+
+def subtract_colour(image: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """What cross-colour leaves of an image."""
+    signed = lambda x: x.astype(np.uint8).view(np.int8).astype(np.int64)
+    inner = _blocks(elements, BLOCK_BITS, image.shape[1], image.shape[0])
+    red_to_blue, green_to_blue, green_to_red = (signed(inner >> s & 255) for s in (16, 8, 0))
+    green, red, out = signed(image[..., 2]), signed(image[..., 1]), image.astype(np.int64)
+    out[..., 1] -= green_to_red * green >> 5
+    out[..., 3] -= (green_to_blue * green >> 5) + (red_to_blue * red >> 5)
+    return (out & 255).astype(np.uint8)
+
+
+def _values(image: np.ndarray) -> np.ndarray:
+    """ARGB values of bytes in that order."""
+    return np.ascontiguousarray(image).view(">u4")[..., 0].astype(np.int64)
+
+
+def back_references(pixels: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Where copies begin, how long they are and how far back their source is; greedily, each from the nearest equal run."""
+    n = len(pixels)
+    if n <= SHORTEST:
+        return [], [], []
+    p = pixels.astype(np.uint64)
+    key = p[:-2] * np.uint64(0x9E3779B97F4A7C15) + p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + p[2:] * np.uint64(0x165667B19E3779F9)
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    earlier = np.full(len(key), -1)
+    earlier[order[again + 1]] = order[again]
+    starts, lengths, distances, at = [], [], [], 0
+    for i in np.flatnonzero(earlier >= 0).tolist():
+        if i < at:
+            continue
+        far = i - int(earlier[i])
+        size, reach = 0, min(n - i, FURTHEST_COPY)
+        while size < reach:  # source and target may overlap: a copy repeats what it writes
+            m = min(reach, size + 64 + 7 * size)
+            differ = np.flatnonzero(pixels[i + size : i + m] != pixels[i + size - far : i + m - far])
+            if len(differ):
+                size += int(differ[0])
+                break
+            size = m
+        if size >= SHORTEST:
+            starts.append(i)
+            lengths.append(size)
+            distances.append(far)
+            at = i + size
+    return starts, lengths, distances
+
+
+def _prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, number of extra bits and their value of lengths or distances."""
+    u = value - 1
+    high = np.frexp(np.maximum(u, 1))[1].astype(np.int64) - 1
+    extra = np.where(u < 4, 0, high - 1)
+    return np.where(u < 4, u, 2 * high + (u >> np.maximum(high - 1, 0) & 1)), extra, u & ((1 << extra) - 1)
+
+
+def cache_hits(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's slot in a colour cache, and whether the last pixel with that slot was the same."""
+    slot = (pixels * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - bits)
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    before, after = order[:-1], order[1:]
+    hit[after] = (slot[before] == slot[after]) & (pixels[before] == pixels[after])
+    return slot, hit
+
+
+def put_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool) -> bytes | None:
+    """Write an entropy-coded image: size of the cache, prefix codes, pixels. The main image ends the data and is returned as such."""
+    n = len(pixels)
+    starts, lengths, distances = back_references(pixels) if main else ([], [], [])
+    steps = np.ones(n, bool)
+    if starts:
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, np.array(starts), 1)
+        np.add.at(edge, np.array(starts) + np.array(lengths), -1)
+        steps = np.cumsum(edge[:-1]) == 0
+        steps[starts] = True
+    is_copy = np.zeros(n, bool)
+    is_copy[starts] = True
+    single = steps & ~is_copy  # pixels that are written one by one
+    argb = [pixels >> s & 255 for s in (8, 16, 0, 24)]
+    cache_bits, slot, hit = 0, None, np.zeros(n, bool)
+    if main:
+        cost = sum(entropy(np.bincount(c[single], minlength=256)) for c in argb)
+        for bits in CACHE_SIZES:
+            at, found = cache_hits(pixels, bits)
+            plain = single & ~found
+            green = np.bincount(np.concatenate((argb[0][plain], 256 + at[single & found])))
+            # a symbol of the cache takes about 4 bits in the table of code lengths
+            bill = entropy(green) + sum(entropy(np.bincount(c[plain], minlength=256)) for c in argb[1:]) + 4 * np.count_nonzero(green[256:])
+            if bill < cost:
+                cost, cache_bits, slot, hit = bill, bits, at, single & found
+    w.put(1 | cache_bits << 1, 5) if cache_bits else w.put(0, 1)
+    if main:
+        w.put(0, 1)  # one group of codes
+    # four fields a step: green or cache symbol or length, red or extra bits, blue or distance, alpha or extra bits
+    step_at = np.flatnonzero(steps)
+    literal, copies = ~hit & single, np.array(starts, np.int64)
+    first = np.where(literal, argb[0], 0)
+    if cache_bits:
+        first[hit] = 256 + LENGTH_CODES + slot[hit]
+    far_symbol = np.zeros(0, np.int64)
+    if starts:
+        length_symbol, length_extra, length_value = _prefix_of(np.array(lengths))
+        short = {max(x + y * width, 1): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+        far_symbol, far_extra, far_value = _prefix_of(np.array([short.get(d, d + 120) for d in distances]))
+        first[copies] = 256 + length_symbol
+    alphabets = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
+    symbols = [first[step_at], *(c[literal] for c in argb[1:]), far_symbol]
+    tables = []
+    for found, size in zip(symbols, alphabets, strict=True):
+        code = code_lengths(np.bincount(found, minlength=size))
+        put_lengths(w, code)
+        tables.append((code_bits(code), code if np.count_nonzero(code) > 1 else np.zeros(size, np.int64)))
+    fields, sizes = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
+    fields[step_at, 0], sizes[step_at, 0] = tables[0][0][symbols[0]], tables[0][1][symbols[0]]
+    for k in (1, 2, 3):
+        fields[literal, k], sizes[literal, k] = tables[k][0][symbols[k]], tables[k][1][symbols[k]]
+    if starts:
+        fields[copies, 1], sizes[copies, 1] = length_value, length_extra
+        fields[copies, 2], sizes[copies, 2] = tables[4][0][far_symbol], tables[4][1][far_symbol]
+        fields[copies, 3], sizes[copies, 3] = far_value, far_extra
+    value, size = fields[step_at].ravel(), sizes[step_at].ravel()
+    if not main:
+        for v, b in zip(value.tolist(), size.tolist(), strict=True):
+            w.put(v, b)
+        return None
+    at = w.n + np.cumsum(size) - size
+    end = int(at[-1] + size[-1])
+    value = value.astype(np.uint64) << (at & 31).astype(np.uint64)
+    word, room = at >> 5, (end >> 5) + 2
+    # fields take bits of their own, so sums of 32-bit parts are exact in double precision
+    packed = np.bincount(word, (value & np.uint64(0xFFFFFFFF)).astype(float), room) + np.bincount(word + 1, (value >> np.uint64(32)).astype(float), room)
+    body = bytearray(packed.astype("<u4").tobytes()[: (end + 7) >> 3])
+    for i, b in enumerate(w.value.to_bytes((w.n + 7) >> 3, "little")):
+        body[i] |= b
+    return bytes(body)
+
+
+def _put_palette(w: Writer, pixels: np.ndarray, colours: np.ndarray, index: np.ndarray, width: int, height: int) -> tuple[np.ndarray, int]:
+    """Write a palette; the pixels of the image that then holds indices, several a pixel if they are few, and its width."""
+    w.put(1 | PALETTE << 1, 3)
+    w.put(len(colours) - 1, 8)
+    own = _channels(colours).astype(np.int64)
+    put_pixels(w, _values((np.diff(own, axis=0, prepend=np.zeros((1, 4), np.int64)) & 255).astype(np.uint8)), len(colours), False)
+    bits = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+    per, across = 1 << bits, (width + (1 << bits) - 1) >> bits
+    rows = np.zeros((height, across * per), np.int64)
+    rows[:, :width] = index.reshape(height, width)
+    packed = (rows.reshape(height, across, per) << np.arange(per) * (8 >> bits)).sum(-1)
+    return (BLACK | packed << 8).ravel(), across
+
+
 def encode_rgb(data: bytes, width: int) -> bytes:
-    """A lossless WebP file of opaque RGB rows. Red, green and blue share one prefix code, made from the counts of all bytes."""
-    raw = np.frombuffer(data, np.uint8)
-    height = len(raw) // (3 * width)
+    """A lossless WebP file of opaque RGB rows.
+
+    A palette is taken if indices and colours cost less than plain samples by their entropy. Else blocks take cross-colour multipliers and
+    then a predictor mode where those make most of their samples zero; a transform that no block wants is left out.
+    """
+    rgb = np.frombuffer(data, np.uint8).reshape(-1, width, 3)
+    height = len(rgb)
+    image = np.full((height, width, 4), 255, np.uint8)
+    image[..., 1:] = rgb
+    pixels = _values(image).ravel()
     w = Writer()
     w.put(SIGNATURE, 8)
     w.put(width - 1, 14)
     w.put(height - 1, 14)
-    w.put(0, 4 + 1 + 1 + 1)  # opaque, version 0; no transform; no colour cache; one group of codes
-    lengths = code_lengths(np.bincount(raw, minlength=256))
-    one = Writer()
-    put_lengths(one, lengths)
-    for _ in range(3):
-        w.put(one.value, one.n)
-    put_lengths(w, np.eye(1, 256, 255, dtype=np.int64)[0])  # alpha 255
-    put_lengths(w, np.zeros(DISTANCE_CODES, np.int64))
-    head, bits = w.value, w.n
-    if np.count_nonzero(lengths) > 1:
-        codes = code_bits(lengths)
-        symbols = raw.reshape(-1, 3)[:, (1, 0, 2)].ravel()  # green comes first in the stream
-        size = lengths[symbols]
-        at = bits + np.cumsum(size) - size
-        value = codes[symbols].astype(np.uint64) << (at & 31).astype(np.uint64)
-        end = int(at[-1] + size[-1])
-        n = (end >> 5) + 2
-        word = at >> 5
-        # codes take bits of their own, so sums of 32-bit parts are exact in double precision
-        packed = np.bincount(word, (value & np.uint64(0xFFFFFFFF)).astype(float), n) + np.bincount(word + 1, (value >> np.uint64(32)).astype(float), n)
-        body = bytearray(packed.astype("<u4").tobytes()[: (end + 7) >> 3])
-        for i, b in enumerate(head.to_bytes((bits + 7) >> 3, "little")):
-            body[i] |= b
-        return riff(bytes(body))
-    return riff(head.to_bytes((bits + 7) >> 3, "little"))
+    w.put(0, 4)  # opaque, version 0
+    choice = None
+    colours, index = np.unique(pixels, return_inverse=True)
+    if len(colours) <= 256:
+        packed = entropy(np.bincount(index)) / (8 if len(colours) <= 2 else 4 if len(colours) <= 4 else 2 if len(colours) <= 16 else 1) + 20 * len(colours)
+        if packed < _literal_bits(image):
+            choice = PALETTE
+    modes = elements = None
+    if choice is None:
+        elements = colour_elements(image)
+        left = subtract_colour(image, elements)
+        modes = predictor_modes(left)
+    across = width
+    if choice == PALETTE:
+        pixels, across = _put_palette(w, pixels, colours, index, width, height)
+    else:
+        if (elements != BLACK).any():
+            w.put(1 | CROSS_COLOUR << 1 | BLOCK_BITS - 2 << 3, 6)
+            put_pixels(w, elements.ravel(), elements.shape[1], False)
+        if modes.any():
+            w.put(1 | PREDICTOR << 1 | BLOCK_BITS - 2 << 3, 6)
+            put_pixels(w, (BLACK | modes << 8).ravel(), modes.shape[1], False)
+            left = subtract_prediction(left, modes)
+        pixels = _values(left).ravel()
+    w.put(0, 1)  # no further transform
+    return riff(put_pixels(w, pixels, across, True))
 
 
 # -- media columns ------------------------------------------------------------------------------------------------
@@ -667,10 +935,17 @@ def store_bytes(data: bytes, tile_rows: int = TILE_ROWS) -> bytes:
     return b"".join(encode_rgb(data[i : i + step], WIDTH) for i in range(0, len(data), step))
 
 
+def _decoded(chunks: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """Images in order, so many at a time as run together, which bounds memory however many files a row has."""
+    chunks = iter(chunks)
+    while part := list(islice(chunks, LANES)):
+        yield from decode_many(part)
+
+
 def load_bytes(media: list[bytes]) -> list[tuple[bytes, list[np.ndarray]]]:
     """What each of ``media`` stores, and its pixel arrays (height, width, RGB)."""
     cut = [list(files(m)) for m in media]
-    images = iter(decode_many(c for own in cut for c in own))
+    images = _decoded(c for own in cut for c in own)
     out = []
     for own in cut:
         arrays = [np.ascontiguousarray(next(images)[..., 1:]) for _ in own]
@@ -705,8 +980,9 @@ def _described(texts: list[str | None]) -> Iterator[tuple]:
 def stored_texts(docs: DataFrame, text: str = "text") -> Column:
     """A struct column (``MEDIA``): every whole text as UTF-8, padded with spaces, stored as WebP, read back and described.
 
-    Null and empty texts store one row of spaces. What is stored depends on the text alone. Rows are taken in groups of about
-    ``GROUP_BYTES``, which bounds memory; a longer text is a group by itself.
+    Null and empty texts store one row of spaces. What is stored depends on the text alone, so repeated rows have equal
+    values, whatever their ids (null ones too). Rows are taken in groups of about ``GROUP_BYTES``, which bounds memory; a longer text is a group by itself
+    and is decoded ``LANES`` tiles at a time. An empty table gives an empty column; no other column is read, so names cannot clash.
     """
     ship(docs.sparkSession)
 
@@ -742,7 +1018,7 @@ def text_media(docs: DataFrame, text: str = "text") -> Column:
 
 
 def pixel_arrays(docs: DataFrame, media: str = "media") -> Column:
-    """``array<struct<width, height, argb binary>>`` of each row's WebP files; null for null or broken data."""
+    """``array<struct<width, height, argb binary>>`` of each row's WebP files; null for null or broken data, empty for empty data."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("array<struct<width:int,height:int,argb:binary>>")
@@ -752,7 +1028,7 @@ def pixel_arrays(docs: DataFrame, media: str = "media") -> Column:
         out = []
         for row in rows:
             try:
-                out.append(None if row is None else [{"width": a.shape[1], "height": a.shape[0], "argb": a.tobytes()} for a in webp.decode_many(webp.files(bytes(row)))])
+                out.append(None if row is None else [{"width": a.shape[1], "height": a.shape[0], "argb": a.tobytes()} for a in webp._decoded(webp.files(bytes(row)))])
             except webp.BadImage:
                 out.append(None)
         return pd.Series(out, dtype="object")
