@@ -30,16 +30,58 @@ def test_held_out_accuracy(spark):
     assert sum(s >= 0.5 for s in clean) <= 0.03 * len(clean)
 
 
-def test_probabilities_of_the_model_sum_to_one():
-    """The tables hold log ratios; with the parts they are made of, both classes are distributions."""
-    words = [(bytes([97 + i]) * 3, i / 40, (4 - i) / 50, (i + 1) / 100) for i in range(5)]
-    model = toxicity.Model()
-    kept_t, kept_o = sum(w[1] for w in words), sum(w[2] for w in words)
-    toxicity.assemble(model, words, [], 1 - kept_t, 1 - kept_o)
-    other = 1 - sum(w[3] for w in words)
-    for kept, rest in ((1, 1 - kept_t), (2, 1 - kept_o)):
-        assert abs(sum(w[kept] + rest * w[3] for w in words) + rest * other - 1) < 1e-9
-    assert model.evidence("EEE 9")[0] == model.word[model.vocabulary[b"eee"]]
+def kneser_ney(texts):
+    """Both classes' word probabilities straight from the definition; ``texts`` are (label, set of words)."""
+    vocabulary = sorted(set().union(*(w for _, w in texts)))
+    number = {y: {v: sum(v in w for label, w in texts if label == y) for v in vocabulary} for y in (0, 1)}
+
+    def discount(counts):
+        n1, n2 = sum(c == 1 for c in counts), sum(c == 2 for c in counts)
+        return (n1 + 0.5) / (n1 + 2 * n2 + 1.5)
+
+    classes = {v: (number[0][v] > 0) + (number[1][v] > 0) for v in vocabulary}
+    d, k = discount(classes.values()), sum(classes.values())
+    lower = lambda v: max(classes.get(v, 0) - d, 0) / k + d * len(vocabulary) / k / (len(vocabulary) + 1)
+    out = {}
+    for y in (0, 1):
+        d_y, k_y = discount(number[y].values()), sum(number[y].values())
+        free = d_y * sum(c > 0 for c in number[y].values()) / k_y
+        out[y] = {v: max(number[y].get(v, 0) - d_y, 0) / k_y + free * lower(v) for v in [*vocabulary, None]}
+    return out
+
+
+TINY = [(0, "the cat sat on the mat"), (0, "the dog and the cat"), (0, "a dog sat"), (1, "the bad dog"), (1, "bad bad cat"), (1, "ugly bad mat"), (0, "one more plain text here"), (1, "the ugly end")]
+
+
+def test_probabilities_against_the_definition(spark):
+    expected = kneser_ney([(y, set(t.encode().split())) for y, t in TINY])
+    for y in (0, 1):
+        assert abs(sum(expected[y].values()) - 1) < 1e-12
+    counts = toxicity._count(spark.createDataFrame(TINY, "toxic int, body string")).toPandas()
+    model = toxicity.assemble(counts["w"].to_numpy(), counts["o"].to_numpy(), counts["t"].to_numpy())
+    for v in expected[0]:
+        (at,) = model.places("unheard" if v is None else v.decode())
+        c = model.counts[:, [at]] if v else np.zeros((2, 1), int)
+        for y in (0, 1):
+            assert abs(model.likelihood(y, c)[0] - expected[y][v]) < 1e-12
+        assert abs(model.ratios[at] - np.log(expected[1][v] / expected[0][v])) < 1e-5
+    whole, best = model.evidence("The BAD cat, unheard")
+    each = [np.log(expected[1][v] / expected[0][v]) for v in (b"the", b"bad", b"cat", None)]
+    assert abs(whole - np.mean(each)) < 1e-5 and abs(best - max(each)) < 1e-5
+    assert model.evidence("") == model.evidence(None) == (model.ratios[-1], model.ratios[-1])
+
+
+def test_leave_one_out_takes_a_text_off_its_own_words(spark):
+    counts = toxicity._count(spark.createDataFrame(TINY, "toxic int, body string")).toPandas()
+    model = toxicity.assemble(counts["w"].to_numpy(), counts["o"].to_numpy(), counts["t"].to_numpy())
+    places = model.places("ugly bad mat")
+    number = model.counts[:, places]
+    assert number.tolist() == [[0, 0, 1], [2, 3, 1]]
+    number[1] -= 1
+    d, k, free = model.discounts, model.total, model.rest
+    lower = [model.shared(np.array([n]))[0] for n in (1, 1, 1)]
+    each = [np.log((max(t - d[1], 0) / (k[1] - 3) + free[1] * p) / (max(o - d[0], 0) / k[0] + free[0] * p)) for o, t, p in zip(*number.tolist(), lower, strict=True)]
+    assert np.allclose(model.evidence("ugly bad mat", 1), (np.mean(each), max(each)))
 
 
 def test_toxicity_of_odd_tables(spark):
@@ -60,19 +102,19 @@ def test_labels_and_ids_are_no_inputs(spark):
 
 
 def test_rare_toxic_words_keep_mass_of_their_own(spark):
-    """A word in a few texts of a small class tells as much as its share of them does; chance and common words tell nothing."""
+    """A word in a few texts of a small class tells more than chance words; what both classes have tells little."""
     import random
 
     r, rows = random.Random(8), []
     for i in range(1200):
-        text = [r.choice("the of and to in is was for on that".split()) for _ in range(40)] + [f"w{r.randrange(300)}"]
+        text = [r.choice("the of and to in is was for on that".split()) for _ in range(40)] + [f"w{r.choice('abcdefghij')}{r.choice('klmnopqrst')}{r.choice('uvwxyz')}"]
         rows.append((i, " ".join(text + (["zorgle"] if i % 30 == 10 else ["both"] if i % 7 == 0 else [])), int(i % 10 == 0)))
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     for n in (1200, 400):  # a third of the rows says the same
         model = toxicity.train(docs.where(F.col("doc_id") < n), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
-        assert model.word[model.vocabulary[b"zorgle"]] > model.word[0]
-        assert not {b"both", b"the", b"w7"} & set(model.vocabulary)
-        assert model.score(rows[10][1]) > model.score(rows[11][1])
+        ratio = lambda w, model=model: model.ratios[model.places(w)[0]]
+        assert ratio("zorgle") > 2 + max(ratio("both"), ratio("the"), ratio("unheard"))
+        assert model.score(rows[10][1]) > 0.5 > model.score(rows[11][1])
 
 
 def test_rare_words_of_each_language_are_found(spark):

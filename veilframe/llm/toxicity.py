@@ -1,22 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 9).
 
-Each class (toxic, ordinary) has an interpolated Kneser-Ney bigram model over lower-cased words:
-
-    P_c(w|u) = kept_c(u,w) / c_c(u)  +  L_c(u) P_c(w)
-    P_c(w)   = kept_c(w)   / K_c     +  L_c    P(w)
-
-``kept`` is a count less its discount, ``L`` the mass that discounts free. ``P_c(w)`` rests on continuation counts, the
-number of different words before ``w`` in class ``c`` (``K_c`` is their sum). ``P(w)`` is the backoff that both classes share, made as Kneser and
-Ney ask from what the discounts took away in both. The discount is ``DISCOUNT`` where a class shows a word (or pair) in a share of its texts
-that differs from the other's by more than chance and ``RATIO`` times; any other count is discounted whole. The test weighs numbers of texts against
-those that each class has, so a rare expression of a small class keeps mass of its own as soon as chance does not explain it, while
-words that both classes share fall back to the shared counts and say nothing.
-
-A text's evidence is the difference of both log-likelihoods, divided by its number of words. Shared
-probabilities cancel in it wherever no own mass is left, so the model that is sent out holds only the words and pairs
-that kept some; what it is learnt from is a sample of at most ``max_docs`` labelled texts a class, which bounds
-it whatever the corpus. A quarter of the sample takes no part in the counts and fits the logistic regression that turns evidence
-into a score.
+Each class (toxic, ordinary) is an interpolated Kneser-Ney model over lower-cased words, a hierarchy of three levels:
+
+    P_c(w) = max(N_c(w) - D_c, 0) / K_c  +  L_c P(w)       L_c = D_c T_c / K_c
+    P(w)   = max(N(w) - D, 0) / K        +  L / (V + 1)    L   = D V / K
+
+Counts are continuation counts: ``N_c(w)`` is the number of *texts* of class ``c`` that hold ``w``, however often, and ``N(w)``, the count of the
+backoff that both classes share, is the number of *classes* that hold it (1 or 2). ``K`` are sums of counts, ``T_c`` and ``V`` numbers of
+different words. The one word more that ``V + 1`` counts stands for all unknown ones. Each level's absolute discount is
+estimated from its counts of counts, ``n1 / (n1 + 2 n2)``, and taken off every count. A rare expression thus rests on
+the shared backoff, which says the same in both classes, while one in many texts of a class weighs by their number.
+
+Evidence of a text is the difference of both log-likelihoods, normalised by length: over the whole text, and over its most toxic passage
+of ``PASSAGE`` words. A logistic regression turns it into a score. It is fitted on the same texts that are counted, each
+scored by the model without it (leave one out: its own words count one text less).
+
+Contexts of words were tried and left out. With a bigram level P_c(w|u) over these, in which a context that one text alone
+holds gives any chance pair a likelihood ratio of thousands, held-out rows of a 10,000-row table are told apart worse (README).
+The model is learnt from at most ``max_docs`` labelled texts a class, which bounds it whatever the corpus.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +38,12 @@ from veilframe.llm.shared import materialize, ship
 
 #: Labelled texts a class that the model learns from, those with the smallest hashes of their ids.
 MAX_DOCS = 4000
-DISCOUNT = 0.75
-#: A class shows a word clearly more often: in over ``RATIO`` times the other's share of texts, and a log-likelihood ratio over
-#: that which chance passes once in 10,000 words, or 1,000,000 pairs, of which there are more (chi-square, one degree of freedom).
-RATIO, WORD_PROOF, PAIR_PROOF = 3.0, 15.1, 23.9
+#: Words of the passage that the evidence looks for.
+PASSAGE = 1
 #: Rows of counts that leave a Python worker at once.
 SLICE = 1 << 17
 FOLDS = 5
+RIDGE = 1e-4
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -52,38 +53,79 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def hashed(text: str | None) -> np.ndarray:
+    """The words' 64-bit hashes, by which counts are kept."""
+    digest = xxhash.xxh3_64_intdigest
+    found = words(text)
+    return np.fromiter((digest(w) for w in found), np.uint64, len(found)).view(np.int64)
+
+
+def discount(n1: float, n2: float) -> float:
+    """From the numbers of words that are counted once and twice; half a word added to each keeps it between 0 and 1."""
+    return (n1 + 0.5) / (n1 + 2 * n2 + 1.5)
+
+
 @dataclass
 class Model:
-    """What scoring needs. Code 0 of ``vocabulary`` stands for all words without mass of their own."""
-
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    word: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    context: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_change: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    """Counts of each known word by class (0 ordinary, 1 toxic), sorted by hash, what they add up to, and the regression."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros((2, 0), np.int32))
+    total: tuple[float, float] = (1.0, 1.0)
+    discounts: tuple[float, float] = (0.5, 0.5)
+    rest: tuple[float, float] = (1.0, 1.0)
+    shared_total: float = 1.0
+    shared_discount: float = 0.5
     slopes: tuple[float, float] = (0.0, 0.0)
     offset: float = -20.0
-
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """Difference of the log-likelihoods (toxic less ordinary) a word, that of an unknown word for no words;
-        and, on a logarithmic scale, what the whole text's differs from as many unknown words by.
-        """
-        found = words(text)
-        if not found:
-            return float(self.word[0]), 0.0
-        get = self.vocabulary.get
-        codes = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
-        total = self.word[codes].sum() + self.context[codes[:-1]].sum()
-        if len(self.pairs):
-            at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
-            keys = codes[at] * len(self.word) + codes[at + 1]
-            place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            total += self.pair_change[place[self.pairs[place] == keys]].sum()
-        return float(total / len(found)), math.asinh(float(total - len(found) * self.word[0]))
+    ratios: np.ndarray | None = None
+
+    def shared(self, classes: np.ndarray) -> np.ndarray:
+        """``P`` of words that so many classes hold."""
+        v = len(self.keys)
+        return np.maximum(classes - self.shared_discount, 0) / self.shared_total + self.shared_discount * v / self.shared_total / (v + 1)
+
+    def likelihood(self, label: int, counts: np.ndarray, types_less: int = 0) -> np.ndarray:
+        """``P_c`` of words with these counts (a row a class); ``types_less``: of how many words the class has lost one text."""
+        own = np.maximum(counts[label] - self.discounts[label], 0) / max(self.total[label] - types_less, 1)
+        return own + self.rest[label] * self.shared((counts > 0).sum(axis=0))
+
+    def ratio(self, counts: np.ndarray, own: int | None = None, types: int = 0) -> np.ndarray:
+        """Logarithms of toxic over ordinary likelihood; with ``own``, a text of that class and so many different words is not counted."""
+        if own is not None:
+            counts = counts.copy()
+            counts[own] -= 1
+        return np.log(self.likelihood(1, counts, types * (own == 1))) - np.log(self.likelihood(0, counts, types * (own == 0)))
+
+    def prepare(self) -> Model:
+        """Ratios of all known words; the last is that of unknown ones."""
+        self.ratios = self.ratio(np.concatenate((self.counts, np.zeros((2, 1), np.int32)), axis=1)).astype(np.float32) if len(self.keys) else np.zeros(1, np.float32)
+        return self
+
+    def places(self, text: str | None) -> np.ndarray:
+        """Of each word its place in the tables, that after the last one if it is unknown."""
+        found = hashed(text)
+        if not len(self.keys):
+            return np.zeros(len(found), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        return np.where(self.keys[at] == found, at, len(self.keys))
+
+    def evidence(self, text: str | None, own: int | None = None) -> tuple[float, float]:
+        """Length-normalised difference of log-likelihoods of the text, and of its most toxic passage; an unknown word's for no words."""
+        at = self.places(text)
+        if not len(at):
+            at = np.array([len(self.keys)])
+            own = None
+        each = self.ratios[at].astype(float) if own is None else self.ratio(self.counts[:, at], own, len(np.unique(at)))
+        if len(each) <= PASSAGE:
+            return float(each.mean()), float(each.mean())
+        sums = np.cumsum(each)
+        best = max(float(sums[PASSAGE - 1]), float((sums[PASSAGE:] - sums[:-PASSAGE]).max()))
+        return float(each.mean()), best / PASSAGE
 
     def score(self, text: str | None) -> float:
-        x, whole = self.evidence(text)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slopes[0] * x + self.slopes[1] * whole + self.offset))))
+        x = self.evidence(text)
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slopes[0] * x[0] + self.slopes[1] * x[1] + self.offset))))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -92,7 +134,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, max_docs: int) -> tuple[DataFrame, dict[int, int]]:
-    """``(toxic, fits, text)`` of the sampled labelled rows, equal texts once; and each class's number of labelled rows."""
+    """``(toxic, body)`` of the sampled labelled rows, equal texts once; and each class's number of labelled rows."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.max(label).cast("int").alias("l_class"))
     known = known.where(~held_out("l_id"))
     totals = {r["l_class"]: r["count"] for r in known.groupBy("l_class").count().collect()}
@@ -102,44 +144,42 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: s
     # at most 2 * max_docs ids of 12 bytes: a proven bound
     sampled = rows.join(F.broadcast(chosen), rows["d_id"] == chosen["l_id"]).where("body is not null")
     sampled = sampled.groupBy(F.xxhash64("body").alias("h"), F.length("body").alias("n")).agg(F.max("l_class").alias("toxic"), F.max_by("body", "d_id").alias("body"))
-    return materialize(sampled.select("toxic", (F.pmod("h", F.lit(4)) == 0).alias("fits"), "body"), "toxicity-sample"), totals
+    return materialize(sampled.select("toxic", "body"), "toxicity-sample"), totals
 
 
 def _count(sample: DataFrame) -> DataFrame:
-    """``(u, w, t, o, dt, do)``: pairs of neighbouring words, how often each class has them, and in how many of its texts.
-
-    With ``u`` null: in how many texts of each class ``w`` stands.
-    """
+    """``(w, o, t)``: in how many ordinary and toxic texts each word stands."""
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from veilframe.llm.toxicity import SLICE, words as cut
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from veilframe.llm.toxicity import SLICE, hashed as cut
 
         for pdf in batches:
-            stood, again = Counter(), Counter()  # texts; and how often beyond once a text
+            stood = (Counter(), Counter())
             for toxic, body in zip(pdf["toxic"], pdf["body"], strict=True):
-                found = cut(body)
-                here = Counter(zip(found, found[1:], strict=False))
-                stood.update((int(toxic), None, w) for w in set(found))
-                stood.update((int(toxic), u, w) for u, w in here)
-                again.update({(int(toxic), u, w): n - 1 for (u, w), n in here.items() if n > 1})
-            left = iter(stood.items())
-            while part := [(u, w, *((n + again[c, u, w], 0, n, 0) if c else (0, n + again[c, u, w], 0, n))) for (c, u, w), n in islice(left, SLICE)]:
-                yield pd.DataFrame(part, columns=["u", "w", "t", "o", "dt", "do"])
-
-    counted = sample.where("not fits").select("toxic", "body").mapInPandas(pairs, "u binary, w binary, t long, o long, dt long, do long")
-    return materialize(counted.groupBy("u", "w").agg(*(F.sum(c).alias(c) for c in ("t", "o", "dt", "do"))), "toxicity-pairs")
-
-
-def _clearly(nt: Column, no: Column, ratio: float, proof: float) -> Column:
-    """Whether ``dt`` of ``nt`` toxic and ``do`` of ``no`` ordinary texts differ by over ``ratio`` times and more than chance."""
-    t, o = F.col("dt"), F.col("do")
-    share = F.try_divide(t + o, nt + no)
-    part = lambda x, n, p: F.coalesce(x * (F.log(x) - F.log(n * p)), F.lit(0.0))
-    likely = 2 * (part(t, nt, share) + part(o, no, share) + part(nt - t, nt, 1 - share) + part(no - o, no, 1 - share))
-    return (F.greatest(t * no, o * nt) > ratio * F.least(t * no, o * nt)) & (likely > proof)
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS, discount: float = DISCOUNT, ratio: float = RATIO, word_proof: float = WORD_PROOF, pair_proof: float = PAIR_PROOF) -> Model:
+                stood[int(toxic)].update(np.unique(cut(body)).tolist())
+            left = iter(stood[0].keys() | stood[1].keys())
+            while part := list(islice(left, SLICE)):
+                yield pd.DataFrame({"w": part, "o": [stood[0][w] for w in part], "t": [stood[1][w] for w in part]})
+
+    return materialize(sample.mapInPandas(each, "w long, o long, t long").groupBy("w").agg(F.sum("o").cast("int").alias("o"), F.sum("t").cast("int").alias("t")), "toxicity-words")
+
+
+def assemble(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Model:
+    """The model of counts by word: sums and discounts of each level."""
+    order = np.argsort(keys)
+    counts = np.stack([ordinary, toxic]).astype(np.int32)[:, order]
+    model = Model(keys=keys[order], counts=counts)
+    total = counts.sum(axis=1, dtype=np.int64)
+    model.total = tuple(float(max(x, 1)) for x in total)
+    model.discounts = tuple(discount(float((c == 1).sum()), float((c == 2).sum())) for c in counts)
+    model.rest = tuple(d * float((c > 0).sum()) / k if n else 1.0 for d, c, k, n in zip(model.discounts, counts, model.total, total, strict=True))
+    classes = (counts > 0).sum(axis=0)
+    model.shared_total = float(max(classes.sum(), 1))
+    model.shared_discount = discount(float((classes == 1).sum()), float((classes == 2).sum()))
+    return model.prepare()
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS) -> Model:
     """Learn from the labelled rows that are not held out.
 
     Without rows of one of the classes there is nothing to compare: every score is then the share of toxic rows, and 0
@@ -149,79 +189,40 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     ship(docs.sparkSession)
     sample, totals = _sample(docs, labels, id_col, text, label, max_docs)
     n = {c: totals.get(c, 0) for c in (0, 1)}
-    model = Model()
     if not n[0] or not n[1]:
-        model.offset = 500.0 if n[1] else -500.0
-        return model
-    counts = _count(sample)
-    pairs = counts.where("u is not null")
-    texts = counts.where("u is null").select("w", "dt", "do")
-    sizes = {r["toxic"]: r["count"] for r in sample.where("not fits").groupBy("toxic").count().collect()}
-    nt, no = (F.lit(sizes.get(c, 0)) for c in (1, 0))
-    unigram = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).join(texts, "w")
-    kt, ko = (float(x or 1) for x in unigram.agg(F.sum("t"), F.sum("o")).first())
-    unigram = unigram.withColumn("own", _clearly(nt, no, ratio, word_proof))
-    keep = lambda c: F.when(F.col("own"), F.greatest(F.col(c) - discount, F.lit(0.0))).otherwise(0.0)
-    unigram = unigram.withColumns({"at": keep("t"), "ao": keep("o")}).withColumn("freed", F.col("t") + F.col("o") - F.col("at") - F.col("ao"))
-    kept_t, kept_o, freed = (float(x or 0) for x in unigram.agg(F.sum("at"), F.sum("ao"), F.sum("freed")).first())
-    freed = max(freed, 1.0)
-    context = pairs.groupBy("u").agg(F.sum("t").alias("ut"), F.sum("o").alias("uo")).join(texts.select(F.col("w").alias("u"), F.col("dt").alias("nt"), F.col("do").alias("no")), "u")
-    # one text of n has a log-likelihood ratio of 2 log n + 2 at most, so pairs of one text can mostly go before the join
-    likely = pairs.where(F.col("dt") + F.col("do") > int(pair_proof > 2 * math.log(2 * max_docs) + 2)).join(context, "u").where((F.col("ut") > 0) & (F.col("uo") > 0))
-    bigrams = likely.withColumn("own", _clearly(F.col("nt"), F.col("no"), ratio, pair_proof)).where("own").withColumns({"bt": keep("t") / F.col("ut"), "bo": keep("o") / F.col("uo")})
-    # only words and pairs that kept mass reach the driver, of a sample of bounded size
-    unigrams = [(bytes(r["w"]), r["at"] / kt, r["ao"] / ko, max(r["freed"], discount) / freed) for r in unigram.where("own").collect()]
-    shared_counts = unigram.select("w", F.col("freed"))
-    bigrams = [(bytes(r["u"]), bytes(r["w"]), r["bt"], r["bo"], max(r["freed"], discount) / freed) for r in bigrams.join(shared_counts, "w").collect()]
-    assemble(model, unigrams, bigrams, 1 - kept_t / kt, 1 - kept_o / ko)
+        return Model(offset=500.0 if n[1] else -500.0).prepare()
+    # hashes and two counts of the words of a sample of bounded size reach the driver
+    found = _count(sample).toPandas()
+    model = assemble(found["w"].to_numpy(np.int64), found["o"].to_numpy(), found["t"].to_numpy())
     _calibrate(model, sample, n)
     return model
 
 
-def assemble(model: Model, unigrams: list[tuple], bigrams: list[tuple], rest_t: float, rest_o: float) -> None:
-    """Fill the tables of ``model``: log-ratios of words, of contexts' backoff, and what surviving pairs change."""
-    names = sorted({w for w, *_ in unigrams} | {x for u, w, *_ in bigrams for x in (u, w)})
-    model.vocabulary = {w: i + 1 for i, w in enumerate(names)}
-    code, size = model.vocabulary, len(names) + 1
-    own = {w: (t, o) for w, t, o, _ in unigrams}
-    model.word = np.full(size, math.log(max(rest_t, 1e-9) / max(rest_o, 1e-9)))
-    for w, t, o, p in unigrams:
-        model.word[code[w]] = math.log((t + max(rest_t, 1e-9) * p) / (o + max(rest_o, 1e-9) * p))
-    left = {u: [1.0, 1.0] for u, *_ in bigrams}
-    for u, _, t, o, _ in bigrams:
-        left[u][0] -= t
-        left[u][1] -= o
-    model.context = np.zeros(size)
-    for u, (t, o) in left.items():
-        model.context[code[u]] = math.log(max(t, 1e-9) / max(o, 1e-9))
-    changes = []
-    for u, w, t, o, p in bigrams:
-        at, ao = own.get(w, (0.0, 0.0))
-        full = math.log((t + max(left[u][0], 1e-9) * (at + max(rest_t, 1e-9) * p)) / (o + max(left[u][1], 1e-9) * (ao + max(rest_o, 1e-9) * p)))
-        changes.append((code[u] * size + code[w], full - model.word[code[w]] - model.context[code[u]]))
-    changes.sort()
-    model.pairs = np.array([a for a, _ in changes], np.int64)
-    model.pair_change = np.array([b for _, b in changes])
-
-
 def _calibrate(model: Model, sample: DataFrame, n: dict[int, int]) -> None:
-    """Logistic regression of the label on the evidence of the quarter that the counts have not seen.
+    """Logistic regression of the label on each sampled text's evidence by the model without that text.
 
     Rows weigh what their class has in the whole of the labels.
     """
     shared = sample.sparkSession.sparkContext.broadcast(model)
-    judged = sample.where("fits").select("toxic", evidence_column(shared)("body").alias("x")).collect()
+
+    @F.pandas_udf("array<double>")
+    def without_it(bodies: pd.Series, toxic: pd.Series) -> pd.Series:
+        known = shared.value
+        return pd.Series([list(known.evidence(x, int(y))) for x, y in zip(bodies, toxic, strict=True)], dtype="object")
+
+    judged = sample.select("toxic", without_it("body", "toxic").alias("x")).collect()
+    shared.unpersist()
     x, y = np.array([r["x"] for r in judged], float).reshape(-1, 2), np.array([r["toxic"] for r in judged], float)
     share = n[1] / (n[0] + n[1])
     model.offset = math.log(share / (1 - share))
     if not 0 < y.sum() < len(y):
         return
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-    middle, scale = np.median(x[y == 0], axis=0), np.maximum(x.std(axis=0), 1e-9)
+    middle, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = np.column_stack([(x - middle) / scale, np.ones(len(x))])
     beta = np.array([0.0, 0.0, model.offset])
-    ridge = np.array([1e-3, 1e-3, 1e-6]) * len(x)
-    for _ in range(100):
+    ridge = np.array([RIDGE, RIDGE, 1e-6]) * len(x)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (y - p)) - ridge * beta)
         beta += np.clip(step, -2, 2)
@@ -231,15 +232,6 @@ def _calibrate(model: Model, sample: DataFrame, n: dict[int, int]) -> None:
     model.slopes, model.offset = (float(slopes[0]), float(slopes[1])), float(beta[2] - slopes @ middle)
 
 
-def evidence_column(shared):  # noqa: ANN001, ANN201
-    @F.pandas_udf("array<double>")
-    def evidence(bodies: pd.Series) -> pd.Series:
-        model = shared.value
-        return pd.Series([list(model.evidence(x)) for x in bodies], dtype="object")
-
-    return evidence
-
-
 def toxicity_score(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A column with the score (0 to 1) of every whole text; null and empty texts get that of an unknown word."""
     ship(docs.sparkSession)
@@ -254,7 +246,11 @@ def toxicity_score(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, held_out, score, predicted)``, a row for each row of ``docs``."""
+    """``(id, held_out, score, predicted)``, a row for each row of ``docs``.
+
+    Only id and text are read, so other columns may have any name. Repeated rows get equal scores; a very long text is scored whole, in
+    time linear in its words; empty tables give empty ones.
+    """
     model = train(docs, labels, id_col, text)
     scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), toxicity_score(docs, model, text).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
