@@ -193,7 +193,8 @@ def used_features(media):
         reader = webp._open(chunk)
         try:
             while True:
-                webp.run_lanes([next(reader)])
+                asked = next(reader)
+                webp.run_codes([asked]) if isinstance(asked, webp.Codes) else webp.run_lanes([asked])
         except StopIteration as end:
             image = end.value
         green = np.frombuffer(image.lane.groups[0][0], np.int16)

@@ -13,8 +13,9 @@ these; then back-references, then the size of the colour cache by the entropy of
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import heapq
+import re
 import zlib
 from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -38,7 +39,7 @@ BLACK = 0xFF000000
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 #: Lanes that run together, and pixels they hold at most; both bound memory.
-LANES, LANE_PIXELS = 2048, 1 << 22
+LANES, LANE_PIXELS = 4096, 1 << 24
 
 
 class BadImage(ValueError):
@@ -107,39 +108,120 @@ class Bits:
         return value
 
 
-def read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
-    """The code lengths of one prefix code."""
-    lengths = np.zeros(alphabet, np.int64)
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
-        if max(symbols) >= alphabet:
-            raise BadImage("a symbol is outside its alphabet")
-        lengths[symbols] = 1
-        return lengths
-    own = np.zeros(19, np.int64)
-    for i in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[i]] = bits.read(3)
-    table = lookup_table(own).tolist()
-    width = len(table).bit_length() - 1
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    found, previous = [], 8
-    while len(found) < alphabet and left:
-        left -= 1
-        entry = table[bits.peek(width)]
-        bits.read(entry & 15)
-        code = entry >> 4
-        if code < 16:
-            found.append(code)
-            previous = code or previous
-        elif code == 16:
-            found += [previous] * (3 + bits.read(2))
-        else:
-            found += [0] * (3 + bits.read(3) if code == 17 else 11 + bits.read(7))
-    if len(found) > alphabet:
-        raise BadImage("code lengths run over their alphabet")
-    lengths[: len(found)] = found
-    return lengths
+@dataclass
+class Codes:
+    """Prefix codes one after the other: the reader that stands before them, their alphabets, and their code lengths once they are read."""
+
+    bits: Bits
+    alphabets: tuple[int, ...]
+    found: list[bytes] = field(default_factory=list)
+
+
+class Streams:
+    """Data of many lanes in one buffer, with a bit position for each."""
+
+    def __init__(self, data: list[bytes], at: list[int]) -> None:
+        sizes = np.array([len(d) for d in data], np.int64)
+        self.starts = np.cumsum(sizes + 16) - sizes - 16
+        self.pos, self.limits = np.array(at, np.int64), 8 * sizes
+        buffer = b"".join(x for d in data for x in (d, bytes(16)))  # with room to fetch beyond the end
+        self.words = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+
+    def fetch(self, which: np.ndarray | slice) -> np.ndarray:
+        """At least 57 bits from each position on."""
+        p = self.pos[which]
+        return (self.words[self.starts[which] + (np.minimum(p, self.limits[which]) >> 3)] >> (p & 7).view(np.uint64)).view(np.int64)
+
+    def check(self) -> None:
+        if (self.pos > self.limits).any():
+            raise BadImage("the data ends within an image")
+
+
+_ORDER = np.array(LENGTH_ORDER)
+
+
+def _length_tables(own: np.ndarray) -> np.ndarray:
+    """For rows of the 19 lengths of the code that tells code lengths: a table over the next 7 bits of ``symbol << 4 | length``."""
+    single = np.count_nonzero(own, axis=1) == 1
+    steps = np.where(own > 0, 128 >> own, 0)
+    steps[single] = np.where(own[single] > 0, 128, 0)
+    if (steps.sum(axis=1) != 128).any():
+        raise BadImage("a prefix code is not complete")
+    order = np.argsort(np.where(own > 0, own, 99), axis=1, kind="stable")
+    entry = order << 4 | np.where(single[:, None], 0, np.take_along_axis(own, order, axis=1))
+    return np.repeat(entry.ravel(), np.take_along_axis(steps, order, axis=1).ravel()).reshape(-1, 128)[:, _REVERSED[7]]
+
+
+def run_codes(asked: list[Codes]) -> None:
+    """Read the code lengths of all requests, the first codes of each together, then the second ones, and so on."""
+    s = Streams([x.bits.data for x in asked], [x.bits.at for x in asked])
+    for j in range(max(len(x.alphabets) for x in asked)):
+        who = np.array([i for i, x in enumerate(asked) if j < len(x.alphabets)])
+        alphabet = np.array([asked[i].alphabets[j] for i in who.tolist()])
+        lengths = np.zeros((len(who), int(alphabet.max())), np.int16)
+        window = s.fetch(who)
+        simple = np.flatnonzero(window & 1)
+        if len(simple):
+            head = window[simple]
+            two, wide = head >> 1 & 1, head >> 2 & 1
+            first, second = np.where(wide, head >> 3 & 255, head >> 3 & 1), head >> np.where(wide, 11, 4) & 255
+            if (np.maximum(first, second * two) >= alphabet[simple]).any():
+                raise BadImage("a symbol is outside its alphabet")
+            lengths[simple, first] = 1
+            pair = np.flatnonzero(two)
+            lengths[simple[pair], second[pair]] = 1
+            s.pos[who[simple]] += np.where(wide, 11, 4) + 8 * two
+        rest = np.flatnonzero(~window & 1)
+        if len(rest):
+            _read_lengths(s, who[rest], alphabet[rest], rest, lengths)
+        for k, i in enumerate(who.tolist()):
+            asked[i].found.append(lengths[k, : alphabet[k]].tobytes())
+    s.check()
+    for x, at in zip(asked, s.pos.tolist(), strict=True):
+        x.bits.at = at
+
+
+def _read_lengths(s: Streams, who: np.ndarray, alphabet: np.ndarray, row: np.ndarray, lengths: np.ndarray) -> None:
+    """Run-length coded code lengths of the lanes ``who`` into the rows ``row`` of ``lengths``, a token of each lane a step."""
+    told = 4 + (s.fetch(who) >> 1 & 15)
+    s.pos[who] += 5
+    window, own = s.fetch(who), np.zeros((len(who), 19), np.int64)
+    own[:, _ORDER] = np.where(np.arange(19) < told[:, None], window[:, None] >> 3 * np.arange(19) & 7, 0)
+    s.pos[who] += 3 * told
+    tables = _length_tables(own).ravel()
+    window = s.fetch(who)
+    wide = 2 + 2 * (window >> 1 & 7)
+    left = np.where(window & 1, 2 + (window >> 4 & ((1 << wide) - 1)), alphabet)
+    s.pos[who] += np.where(window & 1, 4 + wide, 1)
+    found, previous = np.zeros(len(who), np.int64), np.full(len(who), 8)
+    live = np.flatnonzero(left > 0)
+    while len(live):
+        own_who = who[live]
+        window = s.fetch(own_who)
+        entry = tables[live * 128 + (window & 127)]
+        n, code = entry & 15, entry >> 4
+        window >>= n
+        plain, repeat = code < 16, np.ones(len(live), np.int64)
+        at, value = live[plain], code[plain]
+        if (found[at] >= alphabet[at]).any():
+            raise BadImage("code lengths run over their alphabet")
+        lengths[row[at], found[at]] = value
+        previous[at] = np.where(value, value, previous[at])
+        runs = np.flatnonzero(~plain)
+        if len(runs):
+            kind, more = code[runs], window[runs]
+            extra = np.array([2, 3, 7])[kind - 16]
+            repeat[runs] = np.array([3, 3, 11])[kind - 16] + (more & ((1 << extra) - 1))
+            n[runs] += extra
+            for k in runs[kind == 16].tolist():
+                i = live[k]
+                lengths[row[i], found[i] : found[i] + repeat[k]] = previous[i]
+        s.pos[own_who] += n
+        found[live] += repeat
+        left[live] -= 1
+        if (found[live] > alphabet[live]).any():
+            raise BadImage("code lengths run over their alphabet")
+        live = live[(left[live] > 0) & (found[live] < alphabet[live])]
 
 
 # -- pixels, in lockstep ------------------------------------------------------------------------------------------
@@ -159,18 +241,17 @@ class Lane:
     pixels: np.ndarray | None = None
     end: int = 0
 
-    def plain(self) -> bool:
-        """Whether it has neither back-references nor a cache."""
-        return not self.cache_bits and not any(any(g[0][512:]) for g in self.groups)
+    def kind(self) -> int:
+        """2 with a colour cache, 1 with back-references but no cache, 0 with neither."""
+        return 2 if self.cache_bits else int(any(any(g[0][512:]) for g in self.groups))
 
 
-def _read_groups(bits: Bits, count: int, cache_bits: int) -> list[tuple[bytes, ...]]:
-    sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    return [tuple(read_lengths(bits, n).astype(np.int16).tobytes() for n in sizes) for _ in range(count)]
+#: What opening an image asks for: code lengths, or the pixels of an inner image.
+Asked = Codes | Lane
 
 
-def read_lane(bits: Bits, width: int, height: int, main: bool) -> Generator[Lane, None, Lane]:
-    """Everything up to the pixels of an image; only the main image may have several groups of codes. Yields lanes to be run."""
+def read_lane(bits: Bits, width: int, height: int, main: bool) -> Generator[Asked, None, Lane]:
+    """Everything up to the pixels of an image; only the main image may have several groups of codes. Yields what is to be run with that of other images."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise BadImage("the colour cache is too large")
@@ -182,11 +263,14 @@ def read_lane(bits: Bits, width: int, height: int, main: bool) -> Generator[Lane
         numbers = (inner >> 8 & 0xFFFF).astype(np.int64)
         count = int(numbers.max()) + 1
         group_of = numbers.reshape(down, across)[np.arange(height)[:, None] >> block, np.arange(width)[None, :] >> block].ravel()
-    groups = _read_groups(bits, count, cache_bits)
+    sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
+    codes = Codes(bits, sizes * count)
+    yield codes
+    groups = [tuple(codes.found[i : i + 5]) for i in range(0, 5 * count, 5)]
     return Lane(bits.data, bits.at, width, height, cache_bits, groups, group_of)
 
 
-def read_image(bits: Bits, width: int, height: int) -> Generator[Lane, None, np.ndarray]:
+def read_image(bits: Bits, width: int, height: int) -> Generator[Asked, None, np.ndarray]:
     """The ARGB values of an image inside the stream, once its lane has been run; the reader goes on after it."""
     lane = yield from read_lane(bits, width, height, main=False)
     yield lane
@@ -196,8 +280,8 @@ def read_image(bits: Bits, width: int, height: int) -> Generator[Lane, None, np.
 
 def run_lanes(lanes: list[Lane]) -> None:
     """Fill ``pixels`` and ``end`` of all lanes; batches by size bound memory."""
-    for plain in (True, False):  # images of literals take fewer operations a step
-        order = sorted((x for x in lanes if x.plain() == plain), key=lambda x: -x.width * x.height)
+    for kind in range(3):  # images of literals, and those without a cache, take fewer operations a step
+        order = sorted((x for x in lanes if x.kind() == kind), key=lambda x: -x.width * x.height)
         while order:
             largest = max(1, order[0].width * order[0].height)
             n = max(1, min(LANES, LANE_PIXELS // largest))
@@ -216,15 +300,8 @@ def _run_batch(lanes: list[Lane]) -> None:
     k = len(lanes)
     sizes = np.array([x.width * x.height for x in lanes])
     steps = int(sizes.max())
-    # data of all lanes in one buffer with room to fetch beyond the end
-    starts, parts, at = np.zeros(k, np.int64), [], 0
-    for i, x in enumerate(lanes):
-        starts[i] = at
-        parts += [x.data, bytes(16)]
-        at += len(x.data) + 16
-    buffer = b"".join(parts)
-    words = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
-    limits = np.array([8 * len(x.data) for x in lanes])
+    streams = Streams([x.data for x in lanes], [x.at for x in lanes])
+    pos, fetch = streams.pos, streams.fetch
     # tables of all codes, equal ones once
     offsets: dict[bytes, tuple[int, int]] = {}
     tables, total = [], 0
@@ -247,7 +324,7 @@ def _run_batch(lanes: list[Lane]) -> None:
             alpha_bits |= row[3][1] > 0
             widest = max(widest, span)
             rows.append(row)
-    table = np.concatenate(tables)
+    table = np.concatenate(tables).astype(np.int64)
     code_at = np.array([[o for o, _ in r] for r in rows], np.int64).T.copy()
     code_mask = np.array([[m for _, m in r] for r in rows], np.int64).T.copy()
     many_groups = any(x.group_of is not None for x in lanes)
@@ -258,19 +335,16 @@ def _run_batch(lanes: list[Lane]) -> None:
             if x.group_of is not None:
                 group_map[: len(x.group_of), i] = x.group_of
     out = np.zeros((steps, k), np.uint32)
-    pos = np.array([x.at for x in lanes], np.int64)
     active = np.searchsorted(-sizes, -np.arange(steps), side="left")  # lanes with more than i pixels; sizes fall
     copying, distance = np.zeros(k, np.int64), np.ones(k, np.int64)
     widths = np.array([x.width for x in lanes])
+    cached = lanes[0].cache_bits > 0  # then all of a batch have one
     cache_bits = np.array([x.cache_bits for x in lanes])
-    cache_at = np.concatenate(([0], np.cumsum(np.where(cache_bits > 0, 1 << cache_bits, 0))))
-    cache = np.zeros(max(1, int(cache_at[-1])), np.uint32)
+    cache_shift = (32 - cache_bits).astype(np.uint32)
+    cache_at = np.cumsum(1 << cache_bits) - (1 << cache_bits)
+    cache = np.zeros(int(cache_at[-1]) + (1 << lanes[-1].cache_bits) if cached else 1, np.uint32)
     near_x, near_y = np.array([p[0] for p in NEAR]), np.array([p[1] for p in NEAR])
 
-    def fetch(which: np.ndarray | slice) -> np.ndarray:
-        p = pos[which]
-        return (words[starts[which] + np.minimum(p, limits[which]) // 8] >> (p & 7).astype(np.uint64)).astype(np.int64)
-
     def decode(code: int, row: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         entry = table[code_at[code][row] + (window & code_mask[code][row])]
         n = entry & 15
@@ -296,52 +370,60 @@ def _run_batch(lanes: list[Lane]) -> None:
             else:
                 alpha = table[code_at[3][row]] >> 4
             pos[:a] += n1 + n2 + n3 + n4
-            out[i, :a] = (alpha.astype(np.int64) << 24 | red.astype(np.int64) << 16 | green.astype(np.int64) << 8 | blue).astype(np.uint32)
+            out[i, :a] = alpha << 24 | red << 16 | green << 8 | blue
             continue
         fresh = np.flatnonzero(copying[:a] == 0)
         if len(fresh):
             own = row[fresh]
-            symbol, _, n = decode(0, own, fetch(fresh))
-            pos[fresh] += n
-            kind = symbol < 256
-            lit, own_lit = fresh[kind], own[kind]
-            if len(lit):
-                red, window, n2 = decode(1, own_lit, fetch(lit))
+            symbol, window, n = decode(0, own, fetch(fresh))
+            literal = np.flatnonzero(symbol < 256)
+            lit, own_lit = fresh[literal], own[literal]
+            if widest > 56:  # the codes of a pixel may not fit in one window
+                pos[fresh] += n
+                n = np.zeros(len(fresh), np.int64)
+                red, _, n2 = decode(1, own_lit, fetch(lit))
                 pos[lit] += n2
-                blue, window, n3 = decode(2, own_lit, window)
-                pos[lit] += n3
-                alpha, _, n4 = decode(3, own_lit, fetch(lit))
-                pos[lit] += n4
-                out[i, lit] = (alpha.astype(np.int64) << 24 | red.astype(np.int64) << 16 | symbol[kind].astype(np.int64) << 8 | blue).astype(np.uint32)
-            kind = (symbol >= 256) & (symbol < 256 + LENGTH_CODES)
-            ref = fresh[kind]
-            if len(ref):
-                length, n = _prefix_value(symbol[kind].astype(np.int64) - 256, fetch(ref))
-                pos[ref] += n
-                far, _, n = decode(4, own[kind], fetch(ref))
-                pos[ref] += n
-                far, n = _prefix_value(far.astype(np.int64), fetch(ref))
-                pos[ref] += n
-                short = np.minimum(far, 120) - 1
-                distance[ref] = np.where(far > 120, far - 120, np.maximum(near_x[short] + near_y[short] * widths[ref], 1))
-                copying[ref] = length
-                if (distance[ref] > i).any():
-                    raise BadImage("a back-reference begins before the image")
-            kind = symbol >= 256 + LENGTH_CODES
-            hit = fresh[kind]
-            if len(hit):
-                out[i, hit] = cache[cache_at[hit] + symbol[kind] - 256 - LENGTH_CODES]
-        copied = np.flatnonzero(copying[:a] > 0)
+                window = fetch(lit)
+            else:
+                red, window, n2 = decode(1, own_lit, window[literal])
+                n[literal] += n2
+            blue, window, n3 = decode(2, own_lit, window)
+            n[literal] += n3
+            if alpha_bits:
+                alpha, _, n4 = decode(3, own_lit, window)
+                n[literal] += n4
+            else:
+                alpha = table[code_at[3][own_lit]] >> 4
+            out[i, lit] = alpha << 24 | red << 16 | symbol[literal] << 8 | blue
+            pos[fresh] += n
+            if len(lit) < len(fresh):
+                kind = (symbol >= 256) & (symbol < 256 + LENGTH_CODES)
+                ref = fresh[kind]
+                if len(ref):
+                    length, n = _prefix_value(symbol[kind] - 256, fetch(ref))
+                    pos[ref] += n
+                    far, _, n = decode(4, own[kind], fetch(ref))
+                    pos[ref] += n
+                    far, n = _prefix_value(far, fetch(ref))
+                    pos[ref] += n
+                    short = np.minimum(far, 120) - 1
+                    distance[ref] = np.where(far > 120, far - 120, np.maximum(near_x[short] + near_y[short] * widths[ref], 1))
+                    copying[ref] = length
+                    if (distance[ref] > i).any():
+                        raise BadImage("a back-reference begins before the image")
+                kind = symbol >= 256 + LENGTH_CODES
+                hit = fresh[kind]
+                if len(hit):
+                    out[i, hit] = cache[cache_at[hit] + symbol[kind] - 256 - LENGTH_CODES]
+        copied = np.flatnonzero(copying[:a])
         if len(copied):
             out[i, copied] = out[i - distance[copied], copied]
             copying[copied] -= 1
-        cached = np.flatnonzero(cache_bits[:a] > 0)
-        if len(cached):
-            value = out[i, cached]
-            slot = (value.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> (32 - cache_bits[cached]).astype(np.uint64)
-            cache[cache_at[cached] + slot.astype(np.int64)] = value
-    if (pos > limits).any():
-        raise BadImage("the data ends within an image")
+        if cached:
+            value = out[i, :a]
+            slot = (value * np.uint32(CACHE_MULTIPLIER)) >> cache_shift[:a]
+            cache[cache_at[:a] + slot] = value
+    streams.check()
     for i, x in enumerate(lanes):
         x.pixels, x.end = out[: sizes[i], i].copy(), int(pos[i])
 
@@ -466,7 +548,7 @@ class _Open:
     lane: Lane | None = None
 
 
-def _open(chunk: bytes) -> Generator[Lane, None, _Open]:
+def _open(chunk: bytes) -> Generator[Asked, None, _Open]:
     """An image ready for its main lane; yields the lanes of images inside it."""
     bits = Bits(chunk)
     if bits.read(8) != SIGNATURE:
@@ -554,7 +636,9 @@ def decode_many(chunks: Iterable[bytes]) -> list[np.ndarray]:
                 asked.append((i, reader, next(reader)))
             except StopIteration as end:
                 opened[i] = end.value
-        run_lanes([lane for _, _, lane in asked])
+        if codes := [x for _, _, x in asked if isinstance(x, Codes)]:
+            run_codes(codes)
+        run_lanes([x for _, _, x in asked if isinstance(x, Lane)])
         at_work = [(i, reader) for i, reader, _ in asked]
     run_lanes([x.lane for x in opened])
     return _finish(opened)
@@ -572,22 +656,28 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    weights = counts[used].tolist()
+    order = used[np.argsort(counts[used], kind="stable")]
+    weights, n = counts[order].tolist(), len(order)
     while True:
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, n = [0] * (2 * len(weights) - 1), len(weights)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heap[0]
-            parent[a[1]] = parent[b[1]] = n
-            heapq.heapreplace(heap, (a[0] + b[0], n))
-            n += 1
-        depth = [0] * n
-        for i in range(n - 2, -1, -1):
+        # leaves by rising weight and the inner nodes, which arise by rising weight: the two lightest are at the heads of both queues
+        tree, parent, leaf, inner = [], [0] * (2 * n - 1), 0, 0
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if inner == len(tree) or (leaf < n and weights[leaf] <= tree[inner]):
+                    total += weights[leaf]
+                    parent[leaf] = node
+                    leaf += 1
+                else:
+                    total += tree[inner]
+                    parent[n + inner] = node
+                    inner += 1
+            tree.append(total)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
-        found = depth[: len(weights)]
-        if max(found) <= longest:
-            lengths[used] = found
+        if max(depth) <= longest:
+            lengths[order] = depth[:n]
             return lengths
         weights = [(w + 1) // 2 for w in weights]
 
@@ -597,8 +687,7 @@ def code_bits(lengths: np.ndarray) -> np.ndarray:
     codes = np.zeros(len(lengths), np.int64)
     if np.count_nonzero(lengths) > 1:
         order, values = canonical(lengths)
-        widths = lengths[order]
-        codes[order] = [_REVERSED[w][v] for w, v in zip(widths.tolist(), values.tolist(), strict=True)]
+        codes[order] = _REVERSED[15][values] >> (15 - lengths[order])
     return codes
 
 
@@ -620,40 +709,44 @@ def put_lengths(w: Writer, lengths: np.ndarray) -> None:
         w.put(0b101, 3)
         w.put(int(used[0]) if len(used) else 0, 8)
         return
-    tokens: list[tuple[int, int, int]] = []
-    values, i = lengths[: used[-1] + 1].tolist(), 0
-    while i < len(values):
-        n = 1
-        while i + n < len(values) and values[i + n] == values[i]:
-            n += 1
-        i += n
-        value = values[i - 1]
-        while n:
-            if value == 0 and n >= 3:
-                m = min(n, 138)
-                tokens.append((17, m - 3, 3) if m <= 10 else (18, m - 11, 7))
-            else:
-                m = 1
-                tokens.append((value, 0, 0))
-            n -= m
+    tokens = _RUNS.findall(lengths[: used[-1] + 1].astype(np.uint8).tobytes())
+    symbols = [t[0] if t[0] or len(t) < 3 else 17 if len(t) < 11 else 18 for t in tokens]
     if len(tokens) == 1:
-        tokens.append((0, 0, 0))
-    own = code_lengths(np.bincount([t for t, _, _ in tokens], minlength=19), 7)
+        tokens.append(b"\0")
+        symbols.append(0)
+    own = code_lengths(np.bincount(symbols, minlength=19), 7)
     if np.count_nonzero(own) == 1:  # a code of one symbol must still be complete
         own[0 if own[0] == 0 else 1] = 1
-    codes = code_bits(own).tolist()
-    own = own.tolist()
-    last = max(i for i, s in enumerate(LENGTH_ORDER) if own[s])
+    # fields as binary numerals, which are joined from the last one to the first
+    names = [format(c, f"0{n}b") if n else "" for c, n in zip(code_bits(own).tolist(), own.tolist(), strict=True)]
+    parts = [(format(len(t) - 3, "03b") if s == 17 else format(len(t) - 11, "07b") if s == 18 else "") + names[s] for s, t in zip(symbols, tokens, strict=True)]
+    ordered = [int(own[i]) for i in LENGTH_ORDER]
+    told = max(4, max(i for i, n in enumerate(ordered) if n) + 1)
     w.put(0, 1)
-    w.put(max(last + 1, 4) - 4, 4)
-    for s in LENGTH_ORDER[: max(last + 1, 4)]:
-        w.put(own[s], 3)
+    w.put(told - 4, 4)
+    for n in ordered[:told]:
+        w.put(n, 3)
     w.put(1, 1)
-    n = max(1, -(-(len(tokens) - 2).bit_length() // 2))  # the number of tokens less 2, in 2n bits
-    w.put(n - 1, 3)
-    w.put(len(tokens) - 2, 2 * n)
-    for t, extra, n in tokens:
-        w.put(codes[t] | extra << own[t], own[t] + n)
+    wide = max(1, -(-(len(tokens) - 2).bit_length() // 2))  # the number of tokens less 2, in 2 * wide bits
+    w.put(wide - 1, 3)
+    w.put(len(tokens) - 2, 2 * wide)
+    body = "".join(reversed(parts))
+    w.put(int(body, 2), len(body))
+
+
+#: Code lengths are told one by one, but for runs of 3 to 138 zeros.
+_RUNS = re.compile(rb"\0{3,138}|(?s:.)")
+
+
+def pack(values: np.ndarray, sizes: np.ndarray, at: int) -> tuple[bytes, int]:
+    """Bit fields (32 bits each at most) in a row from bit ``at`` on, and the end."""
+    place = at + np.cumsum(sizes) - sizes
+    end = int(place[-1] + sizes[-1])
+    shifted = values.astype(np.uint64) << (place & 31).astype(np.uint64)
+    word, room = place >> 5, (end >> 5) + 2
+    # fields take bits of their own, so sums of 32-bit parts are exact in double precision
+    packed = np.bincount(word, (shifted & np.uint64(0xFFFFFFFF)).astype(float), room) + np.bincount(word + 1, (shifted >> np.uint64(32)).astype(float), room)
+    return packed.astype("<u4").tobytes()[: (end + 7) >> 3], end
 
 
 def riff(chunk: bytes) -> bytes:
@@ -662,9 +755,9 @@ def riff(chunk: bytes) -> bytes:
 
 
 BLOCK_BITS = 3
-#: Predictor modes and colour-cache sizes that the writer tries.
+#: Predictor modes that the writer tries; bits of the colour cache, and pixels from which on an image may gain by one.
 WRITER_MODES = (1, 2, 11, 12)
-CACHE_SIZES = (6, 8)
+CACHE_BITS, CACHE_FROM = 8, 512
 #: Shortest back-reference, in pixels, and the longest that the format has.
 SHORTEST, FURTHEST_COPY = 3, 4096
 
@@ -692,9 +785,6 @@ def predictor_modes(image: np.ndarray) -> np.ndarray:
     left, top, corner = (np.zeros_like(x) for _ in range(3))
     left[:, 1:], top[1:], corner[1:, 1:] = x[:, :-1], x[:-1], x[:-1, :-1]
     half = 3 * _block_sums(np.ones(image.shape[:2], np.int64)) // 2
-    sides = [_block_sums((image[..., 1:] == side[..., 1:]).sum(-1)) for side in (left, top)]
-    if (sides[0] + sides[1] <= half // 2).all():  # then blends of both are no better
-        return np.zeros(half.shape, np.int64)
     zeros = np.stack([_block_sums(((MODES[m](left, top, None, corner) - x)[..., 1:] & 255 == 0).sum(-1)) for m in WRITER_MODES])
     return np.where(zeros.max(axis=0) > half, np.array(WRITER_MODES)[zeros.argmax(axis=0)], 0)
 
@@ -734,6 +824,11 @@ def subtract_colour(image: np.ndarray, elements: np.ndarray) -> np.ndarray:
     return (out & 255).astype(np.uint8)
 
 
+def _pays(blocks: np.ndarray) -> bool:
+    """Whether enough blocks gain by a transform: a quarter."""
+    return 4 * np.count_nonzero(blocks) >= blocks.size
+
+
 def _values(image: np.ndarray) -> np.ndarray:
     """ARGB values of bytes in that order."""
     return np.ascontiguousarray(image).view(">u4")[..., 0].astype(np.int64)
@@ -789,77 +884,79 @@ def cache_hits(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return slot, hit
 
 
+@functools.cache
+def _short_codes(width: int) -> dict[int, int]:
+    """Distances that a short code names in an image of this width."""
+    return {max(x + y * width, 1): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
 def put_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool) -> bytes | None:
     """Write an entropy-coded image: size of the cache, prefix codes, pixels. The main image ends the data and is returned as such."""
     n = len(pixels)
     starts, lengths, distances = back_references(pixels) if main else ([], [], [])
-    steps = np.ones(n, bool)
-    if starts:
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, np.array(starts), 1)
-        np.add.at(edge, np.array(starts) + np.array(lengths), -1)
-        steps = np.cumsum(edge[:-1]) == 0
-        steps[starts] = True
-    is_copy = np.zeros(n, bool)
-    is_copy[starts] = True
-    single = steps & ~is_copy  # pixels that are written one by one
-    argb = [pixels >> s & 255 for s in (8, 16, 0, 24)]
-    cache_bits, slot, hit = 0, None, np.zeros(n, bool)
-    if main:
-        cost = sum(entropy(np.bincount(c[single], minlength=256)) for c in argb)
-        for bits in CACHE_SIZES:
-            at, found = cache_hits(pixels, bits)
-            plain = single & ~found
-            green = np.bincount(np.concatenate((argb[0][plain], 256 + at[single & found])))
-            # a symbol of the cache takes about 4 bits in the table of code lengths
-            bill = entropy(green) + sum(entropy(np.bincount(c[plain], minlength=256)) for c in argb[1:]) + 4 * np.count_nonzero(green[256:])
-            if bill < cost:
-                cost, cache_bits, slot, hit = bill, bits, at, single & found
+    # a step is a pixel that is written by itself, or a whole copy
+    begun = np.ones(n, bool)
+    for at, size in zip(starts, lengths, strict=True):
+        begun[at + 1 : at + size] = False
+    steps = np.flatnonzero(begun)
+    copies = np.searchsorted(steps, starts)
+    literal = np.ones(len(steps), bool)
+    literal[copies] = False
+    blue, green, red, alpha = np.ascontiguousarray(pixels[steps].astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    first, cache_bits = green.astype(np.int64), 0
+    if main and n >= CACHE_FROM:
+        slot, hit = cache_hits(pixels, CACHE_BITS)
+        hit = hit[steps] & literal
+        plain, slot = literal & ~hit, slot[steps]
+        counts = np.bincount(np.where(hit, 256 + slot, first)[literal], minlength=256)
+        bill = entropy(counts) + entropy(np.bincount(red[plain])) + entropy(np.bincount(blue[plain]))
+        # a symbol of the cache takes about 4 bits in the table of code lengths
+        if bill + 4 * np.count_nonzero(counts[256:]) < sum(entropy(np.bincount(c[literal])) for c in (green, red, blue)):
+            cache_bits, literal = CACHE_BITS, plain
+            first = np.where(hit, 256 + LENGTH_CODES + slot, first)
     w.put(1 | cache_bits << 1, 5) if cache_bits else w.put(0, 1)
     if main:
         w.put(0, 1)  # one group of codes
     # four fields a step: green or cache symbol or length, red or extra bits, blue or distance, alpha or extra bits
-    step_at = np.flatnonzero(steps)
-    literal, copies = ~hit & single, np.array(starts, np.int64)
-    first = np.where(literal, argb[0], 0)
-    if cache_bits:
-        first[hit] = 256 + LENGTH_CODES + slot[hit]
     far_symbol = np.zeros(0, np.int64)
     if starts:
         length_symbol, length_extra, length_value = _prefix_of(np.array(lengths))
-        short = {max(x + y * width, 1): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+        short = _short_codes(width)
         far_symbol, far_extra, far_value = _prefix_of(np.array([short.get(d, d + 120) for d in distances]))
         first[copies] = 256 + length_symbol
     alphabets = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    symbols = [first[step_at], *(c[literal] for c in argb[1:]), far_symbol]
+    symbols = [first, red[literal], blue[literal], alpha[literal], far_symbol]
+    counts = [np.bincount(found, minlength=size) for found, size in zip(symbols, alphabets, strict=True)]
+    counts[1] += counts[2]  # red and blue have a code in common
     tables = []
-    for found, size in zip(symbols, alphabets, strict=True):
-        code = code_lengths(np.bincount(found, minlength=size))
-        put_lengths(w, code)
-        tables.append((code_bits(code), code if np.count_nonzero(code) > 1 else np.zeros(size, np.int64)))
-    fields, sizes = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
-    fields[step_at, 0], sizes[step_at, 0] = tables[0][0][symbols[0]], tables[0][1][symbols[0]]
+    for k, size in enumerate(alphabets):
+        if k == 2:
+            told, table = tables_told, tables[1]
+        else:
+            code, head = code_lengths(counts[k]), Writer()
+            put_lengths(head, code)
+            told, table = head, (code_bits(code), code if np.count_nonzero(code) > 1 else np.zeros(size, np.int64))
+            tables_told = told
+        w.put(told.value, told.n)
+        tables.append(table)
+    fields, sizes = np.zeros((len(steps), 4), np.int64), np.zeros((len(steps), 4), np.int64)
+    fields[:, 0], sizes[:, 0] = tables[0][0][first], tables[0][1][first]
     for k in (1, 2, 3):
-        fields[literal, k], sizes[literal, k] = tables[k][0][symbols[k]], tables[k][1][symbols[k]]
+        if tables[k][1].any():
+            fields[literal, k], sizes[literal, k] = tables[k][0][symbols[k]], tables[k][1][symbols[k]]
     if starts:
         fields[copies, 1], sizes[copies, 1] = length_value, length_extra
         fields[copies, 2], sizes[copies, 2] = tables[4][0][far_symbol], tables[4][1][far_symbol]
         fields[copies, 3], sizes[copies, 3] = far_value, far_extra
-    value, size = fields[step_at].ravel(), sizes[step_at].ravel()
-    if not main:
-        for v, b in zip(value.tolist(), size.tolist(), strict=True):
-            w.put(v, b)
-        return None
-    at = w.n + np.cumsum(size) - size
-    end = int(at[-1] + size[-1])
-    value = value.astype(np.uint64) << (at & 31).astype(np.uint64)
-    word, room = at >> 5, (end >> 5) + 2
-    # fields take bits of their own, so sums of 32-bit parts are exact in double precision
-    packed = np.bincount(word, (value & np.uint64(0xFFFFFFFF)).astype(float), room) + np.bincount(word + 1, (value >> np.uint64(32)).astype(float), room)
-    body = bytearray(packed.astype("<u4").tobytes()[: (end + 7) >> 3])
+    value, size = fields.ravel(), sizes.ravel()
+    body, end = pack(value, size, w.n)
+    body = bytearray(body)
     for i, b in enumerate(w.value.to_bytes((w.n + 7) >> 3, "little")):
         body[i] |= b
-    return bytes(body)
+    if main:
+        return bytes(body)
+    w.value, w.n = int.from_bytes(body, "little"), end
+    return None
 
 
 def _put_palette(w: Writer, pixels: np.ndarray, colours: np.ndarray, index: np.ndarray, width: int, height: int) -> tuple[np.ndarray, int]:
@@ -880,7 +977,7 @@ def encode_rgb(data: bytes, width: int) -> bytes:
     """A lossless WebP file of opaque RGB rows.
 
     A palette is taken if indices and colours cost less than plain samples by their entropy. Else blocks take cross-colour multipliers and
-    then a predictor mode where those make most of their samples zero; a transform that no block wants is left out.
+    then a predictor mode where those make most of their samples zero; a transform that less than a quarter of the blocks wants is left out.
     """
     rgb = np.frombuffer(data, np.uint8).reshape(-1, width, 3)
     height = len(rgb)
@@ -893,24 +990,32 @@ def encode_rgb(data: bytes, width: int) -> bytes:
     w.put(height - 1, 14)
     w.put(0, 4)  # opaque, version 0
     choice = None
-    colours, index = np.unique(pixels, return_inverse=True)
-    if len(colours) <= 256:
+    if np.unique(pixels[:300]).size <= 256 and (colours := np.unique(pixels)).size <= 256:
+        index = np.searchsorted(colours, pixels)
         packed = entropy(np.bincount(index)) / (8 if len(colours) <= 2 else 4 if len(colours) <= 4 else 2 if len(colours) <= 16 else 1) + 20 * len(colours)
         if packed < _literal_bits(image):
             choice = PALETTE
     modes = elements = None
     if choice is None:
-        elements = colour_elements(image)
-        left = subtract_colour(image, elements)
-        modes = predictor_modes(left)
+        left = image
+        if 8 * max(np.count_nonzero(rgb[..., 0] == rgb[..., 1]), np.count_nonzero(rgb[..., 1] == rgb[..., 2]), np.count_nonzero(rgb[..., 0] == rgb[..., 2])) >= len(pixels):
+            elements = colour_elements(image)
+            if _pays(elements != BLACK):
+                left = subtract_colour(image, elements)
+            else:
+                elements = None
+        if 8 * (np.count_nonzero(pixels[1:] == pixels[:-1]) + np.count_nonzero(pixels[width:] == pixels[:-width])) >= len(pixels):
+            modes = predictor_modes(left)
+            if not _pays(modes > 0):
+                modes = None
     across = width
     if choice == PALETTE:
         pixels, across = _put_palette(w, pixels, colours, index, width, height)
     else:
-        if (elements != BLACK).any():
+        if elements is not None:
             w.put(1 | CROSS_COLOUR << 1 | BLOCK_BITS - 2 << 3, 6)
             put_pixels(w, elements.ravel(), elements.shape[1], False)
-        if modes.any():
+        if modes is not None:
             w.put(1 | PREDICTOR << 1 | BLOCK_BITS - 2 << 3, 6)
             put_pixels(w, (BLACK | modes << 8).ravel(), modes.shape[1], False)
             left = subtract_prediction(left, modes)
@@ -924,7 +1029,7 @@ def encode_rgb(data: bytes, width: int) -> bytes:
 WIDTH, TILE_ROWS = 64, 64
 UNIT = 3 * WIDTH
 #: Payload bytes that are stored and read back together.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 24 << 20
 
 
 def store_bytes(data: bytes, tile_rows: int = TILE_ROWS) -> bytes:
