@@ -70,7 +70,8 @@ def op10_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("p.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in pii.KINDS]
     every = F.concat("p.base", "p.added")
-    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("p.base")), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
+    n_spans = F.size(every).cast("long")
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("p.base")), 256).alias("base_sha256"), pii.span_text(every).alias("spans"), n_spans.alias("n_spans"), (n_spans > 0).alias("has_personal_data"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
