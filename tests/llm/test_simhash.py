@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veilframe.llm import queries, simhash
 
@@ -58,14 +59,26 @@ def test_every_vector_has_one_home_and_all_codewords_within_four():
         assert d[row[0]] == d.min() <= 3
 
 
-@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=3))
-@settings(max_examples=300, deadline=None)
-def test_linked_fingerprints_share_a_key(x, flips):
-    y = x
-    for b in flips:
-        y ^= 1 << b
-    home, near = simhash.keys(np.array([x, y], np.uint64))
-    assert set(home[0].tolist()) & set(near[1].tolist()) and set(home[1].tolist()) & set(near[0].tolist())
+def test_linked_fingerprints_share_a_key(spark):
+    """Every way that up to three errors fall on the segments, on random fingerprints; and few others share one."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(2500):
+        x = int(rng.integers(0, 2**64, dtype=np.uint64))
+        y = x
+        if i % 5:
+            cuts = [rng.choice(np.arange(at, at + n), 1)[0] for at, n in simhash.SEGMENTS] if i % 5 == 1 else rng.choice(64, int(rng.integers(0, 4)), replace=False)
+            for b in cuts:
+                y ^= 1 << int(b)
+        else:
+            y = int(rng.integers(0, 2**64, dtype=np.uint64))
+        words = simhash.codewords(np.array([x, y], np.uint64))
+        rows.append((i, *(v - (v >> 63 << 64) for v in (x, y)), *([w.tolist() for w in own] for own in words)))
+    frame = spark.createDataFrame(rows, "i int, x long, y long, nx array<array<int>>, ny array<array<int>>")
+    shares = lambda a, na, b, nb: F.arrays_overlap(simhash.keys(F.col(a), F.col(na), True), simhash.keys(F.col(b), F.col(nb), False))
+    got = frame.select("i", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("d"), F.size(simhash.keys(F.col("x"), F.col("nx"), True)).alias("n"), shares("x", "nx", "y", "ny").alias("one"), shares("y", "ny", "x", "nx").alias("other")).collect()
+    assert all(r.n == 7 for r in got)
+    assert all(r.one and r.other for r in got if r.d <= 3) and sum(r.d == 3 for r in got) > 800
+    assert not any(r.one or r.other for r in got if r.d > 8)
 
 
 def test_components_against_brute_force(spark):

@@ -5,11 +5,15 @@ A text's fingerprint has 64 bits: bit ``b`` is set if more than half of the XXH6
 
 Candidate search decodes instead of masking. A fingerprint is cut into segments of 21, 21 and 22 bits, each
 padded with zeros to the 23 bits of the perfect binary Golay code. Every 23-bit vector lies within distance 3 of
-exactly one codeword, so with a bit changed it lies within distance 4 of that same codeword. A fingerprint thus
-has one *home* codeword a segment, and one or six *near* ones (all within distance 4). Three errors over three
-segments leave at least two segments with one error at most (3+0+0, 2+1+0, 1+1+1), so linked fingerprints
-agree, for some pair of segments, in the home codewords of one and a near pair of the other. The join key
-is the pair of segments with two 12-bit codeword indices; the join's residual condition verifies the distance.
+exactly one codeword, so with a bit changed it lies within distance 4 of that same codeword. A segment thus
+has one *home* codeword, and one or six *near* ones (all within distance 4): of two segments that differ in one bit at most, each one's
+home is near the other.
+
+Three errors over three segments either leave one segment without an error and another with one at most (3+0+0, 2+1+0 and less), or
+they are one in each (1+1+1). So linked fingerprints agree in one of seven keys: a segment as it is (21 or 22 bits) with
+a codeword of another (12 bits), for six ordered pairs; or the codewords of all three (36 bits). One side of the join has home
+codewords, seven keys a fingerprint, the other all near ones, about 180. Among fingerprints that are alike by chance only, a key brings together one pair
+in 2^33 and more, at a sixth to a thirtieth for each home key's near ones. The join's residual condition verifies the distance.
 Equal fingerprints are one class before the join, so copies never make pairs.
 """
 
@@ -21,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.operators.graph import connected_components
@@ -33,7 +37,10 @@ SHINGLE = 3
 GENERATOR = 0b110001110101
 #: First bit and width of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Which segment a key holds as it is, and of which it holds a codeword.
+PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
+#: Bits below a key's number, and of a codeword's index.
+KEY_BITS, WORD_BITS = 36, 12
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -96,21 +103,33 @@ class Golay:
 _golay: Golay | None = None
 
 
-def keys(prints: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of each fingerprint the three home keys, and the near keys of all pairs of segments."""
+def codewords(prints: np.ndarray) -> list[list[np.ndarray]]:
+    """Of each fingerprint the indices of the near codewords of its three segments, home first."""
     global _golay
     _golay = _golay or Golay()
     prints = prints.astype(np.uint64)
     found = [_golay.near(((prints >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
-    home = np.stack([(k << 24) | (found[a][0][:, 0] << 12) | found[b][0][:, 0] for k, (a, b) in enumerate(PAIRS)], axis=1)
-    parts, masks = [], []
-    for k, (a, b) in enumerate(PAIRS):
-        (x, nx), (y, ny) = found[a], found[b]
-        parts.append(((k << 24) | (x[:, :, None] << 12) | y[:, None, :]).reshape(len(prints), -1))
-        slot = np.arange(6)
-        masks.append(((slot[None, :] < nx[:, None])[:, :, None] & (slot[None, :] < ny[:, None])[:, None, :]).reshape(len(prints), -1))
-    every, valid = np.concatenate(parts, axis=1), np.concatenate(masks, axis=1)
-    return home, [row[ok] for row, ok in zip(every, valid, strict=True)]
+    return [[x[i, : n[i]].astype(np.int32) for x, n in found] for i in range(len(prints))]
+
+
+def _segment(fp: Column, k: int) -> Column:
+    at, n = SEGMENTS[k]
+    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+
+
+def keys(fp: Column, near: Column, home_only: bool) -> Column:
+    """``array<long>``: the seven keys with home codewords, or all keys with near ones, of ``fp`` and its ``near`` codewords."""
+    words = [F.transform(F.slice(near[k], 1, 1) if home_only else near[k], lambda w: w.cast("long")) for k in range(3)]
+
+    def pair_keys(number: int, i: int, j: int) -> Column:
+        head = F.shiftleft(_segment(fp, i), WORD_BITS).bitwiseOR(F.lit(number << KEY_BITS).cast("long"))
+        return F.transform(words[j], lambda w: head.bitwiseOR(w))
+
+    made = [pair_keys(number, i, j) for number, (i, j) in enumerate(PAIRS)]
+    start = F.lit(len(PAIRS) << KEY_BITS).cast("long")
+    pair = F.flatten(F.transform(words[0], lambda x: F.transform(words[1], lambda y: start.bitwiseOR(F.shiftleft(x, 2 * WORD_BITS)).bitwiseOR(F.shiftleft(y, WORD_BITS)))))
+    made.append(F.flatten(F.transform(pair, lambda xy: F.transform(words[2], lambda z: xy.bitwiseOR(z)))))
+    return F.concat(*made)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -143,12 +162,11 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 4096):
                 fp = pdf["fp"].to_numpy()[at : at + 4096]
-                home, near = simhash.keys(fp)
-                yield pd.DataFrame({"fp": fp, "home": list(home.astype(np.int32)), "near": [x.astype(np.int32) for x in near]})
+                yield pd.DataFrame({"fp": fp, "near": simhash.codewords(fp)})
 
-    decoded = materialize(prints.select("fp").mapInPandas(decode, "fp long, home array<int>, near array<int>"), "golay-keys")
-    index = decoded.select(F.col("fp").alias("a"), F.explode("home").alias("key"))
-    probe = decoded.select(F.col("fp").alias("b"), F.explode("near").alias("key"))
+    decoded = materialize(prints.select("fp").mapInPandas(decode, "fp long, near array<array<int>>"), "golay-words")
+    index = decoded.select(F.col("fp").alias("a"), F.explode(keys(F.col("fp"), F.col("near"), True)).alias("key"))
+    probe = decoded.select(F.col("fp").alias("b"), F.explode(keys(F.col("fp"), F.col("near"), False)).alias("key"))
     near_enough = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) & (F.col("a") != F.col("b"))
     found = index.join(probe, (index["key"] == probe["key"]) & near_enough)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
