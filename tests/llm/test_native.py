@@ -251,8 +251,8 @@ def test_urls_against_all_rules(spark):
     pages += [(1, None, "x"), (2, "no scheme", "x"), (3, "://", "x"), (4, "http://a.com?x://y/en/", "x"), (4, "http://a.com/en/\nline", "x")]
     rules = [(h, p, r.choice(["allow", "block"])) for h in ("com", "a.com", "b.a.com", "A", "org") for p in ("", "/", "/e", "/en/", "/en/7", None)] + [(None, "/", "block"), ("com", "/e", "allow")]
     frame = spark.createDataFrame(pages, "page_id long, url string, host string")
-    for salt_rows in (20_000, 3):
-        got = urls.filter_urls(frame, spark.createDataFrame(rules, "host string, path string, action string"), salt_rows=salt_rows).collect()
+    for ranges in (None, 1, 90):
+        got = urls.filter_urls(frame, spark.createDataFrame(rules, "host string, path string, action string"), ranges=ranges).collect()
         assert len(got) == len(pages)
         best = {}
         for h, p, a in rules:
@@ -271,6 +271,22 @@ def test_urls_against_all_rules(spark):
     assert urls.filter_urls(frame.limit(0), spark.createDataFrame(rules, "host string, path string, action string")).count() == 0
 
 
+def test_hosts_beside_an_interval_and_a_hot_url(spark):
+    """Neighbours in the order of keys, labels that hold the separator, long hosts, and one URL in a third of the rows."""
+    hosts = ["a.com", "a-b.com", "a!.com", "b\x01a.com", "x.a.com", "a.com.", ".a.com", "acom", ".".join(["w"] * 5000) + ".a.com"]
+    pages = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("/q/1", "/q", "/" + "long/" * 3000))] + [(1000 + i, "http://hot.a.com/q/same") for i in range(3000)]
+    rules = [("a.com", "/q/", "block"), ("a.com", "", "allow"), ("hot.a.com", "/q/s", "block"), ("a", "", "block")]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r.page_id: r for r in urls.filter_urls(frame, spark.createDataFrame(rules, "host string, path string, action string"), ranges=40).collect()}
+    assert len(got) == len(pages)
+    for r in got.values():
+        fits = [(len(h) + len(p), len(h), h + p, a) for h, p, a in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
+    cut = frame.select("page_id", urls.url_host(F.col("url")).alias("host"), urls.url_path(F.col("url")).alias("path"))
+    points = cut.select(urls.host_key(F.col("host")).alias("key"), "path", F.xxhash64("page_id").alias("h"))
+    assert sum(k == "com\x01a\x01hot\x01" for k, *_ in urls._cuts(points, 40)) > 30  # the hot URL alone takes most of the ranges
+
+
 def test_url_query_against_sql(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")

@@ -1,18 +1,19 @@
 """URL filters as a sort-merge range join (operator 8).
 
-A rule is a host and a path; it fits its host and all subdomains, for paths that start with its own. The host is
-reversed by labels and joined with the path to a canonical key, so that all keys a rule covers for one host
-suffix form the interval of its key's extensions. A URL is one point for each suffix of its host that has
-rules. Points and rule starts are sorted by key together; a sweep keeps the stack of nested rules whose interval is
-open, and the top of the stack is a point's longest rule there. The longest over a URL's suffixes wins.
-
-Only different (host, path) pairs become points, and only for hosts that have rules. A host with many points is dealt to as
-many salts as it needs, with its rules copied to each.
+A rule is a host and a path; it fits its host and all subdomains, for paths that start with its own. A host's key has its labels
+in reverse, each closed by a separator below all others, so all hosts that a rule covers form one interval of keys: those
+that begin with the rule's. Rules and URLs are sorted by key together; a sweep keeps the stack of rule hosts whose interval is open,
+which are nested, and looks for each URL's path on every level of it. The longest rule wins.
+
+The order is cut into ranges at keys of a bounded sample of rows. Ranges are by key, path and a hash of the id, so a host, and
+even a single URL, that a third of all rows have is dealt to many of them. A rule goes to all ranges that its interval meets. One
+shuffle moves ids, hosts and paths; no suffix of a host is ever written out, and nothing is joined back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,13 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.shared import lower_ascii, materialize, ship
 
-#: Points of one host that a salt is meant to hold.
-SALT_ROWS = 20_000
 POINT, RULE = 1, 0
+SEPARATOR = "\x01"
+#: Ranges for each shuffle partition, sampled rows for each range, characters of a key or path that a cut keeps.
+RANGES, SAMPLED, CUT_CHARS = 4, 24, 200
+#: Above all keys that begin alike.
+LAST = "\U0010ffff"
+OUT_ROWS = 10_000
 
 
 def url_host(url: Column) -> Column:
@@ -35,72 +40,107 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def canonical_key(host: Column, path: Column) -> Column:
-    """Reversed labels, a separator that sorts below all host characters, the path."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit("\x01"), path)
+def host_key(host: Column) -> Column:
+    """The labels in reverse, each with a separator behind it."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), SEPARATOR), F.lit(SEPARATOR))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parents, the longest first."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+def sweep(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Of rows ``(range, key, kind, host, path, action, row)`` in order, each point's ``(row, host, path, rule host, rule path, action)``; None without a rule.
 
-
-def sweep(rows: Iterator[tuple[str, int, str, str]]) -> Iterator[tuple[str, str]]:
-    """Of rows ``(key, kind, rule, point)`` in order, each point that a rule covers with its longest rule."""
-    stack: list[tuple[str, str]] = []
-    for key, kind, rule, point in rows:
+    The stack holds an entry for each rule host that contains the current key: its paths' actions, and the paths' lengths, the longest first.
+    """
+    stack: list[tuple[str, str, dict[str, str], list[int]]] = []
+    now = None
+    for place, key, kind, host, path, action, row in rows:
+        if place != now:
+            now, stack = place, []
         while stack and not key.startswith(stack[-1][0]):
             stack.pop()
         if kind == RULE:
-            stack.append((key, rule))
-        elif stack:
-            yield point, stack[-1][1]
-
-
-def match_urls(urls: DataFrame, rules: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """``(host, path, rule_host, rule_path, action)`` for the different ``(host, path)`` of ``urls`` that a rule fits.
-
-    ``rules`` has host, path and action; of equal host and path the smallest action counts. Rules longer in host and path
-    together win, of equal lengths the one with the longer host.
+            if not stack or stack[-1][0] != key:
+                stack.append((key, host, {}, []))
+            _, _, actions, lengths = stack[-1]
+            if path not in actions:
+                actions[path] = action
+                if len(path) not in lengths:
+                    lengths.insert(bisect_left(lengths, -len(path), key=int.__neg__), len(path))
+            continue
+        best = None
+        for _, rule_host, actions, lengths in stack:
+            # a label may hold the separator, so the host itself decides
+            if host != rule_host and not host.endswith("." + rule_host):
+                continue
+            for n in lengths:
+                if n <= len(path) and path[:n] in actions:
+                    rank = (len(rule_host) + n, len(rule_host))
+                    if best is None or rank > best[0]:
+                        best = rank, rule_host, path[:n], actions[path[:n]]
+                    break
+        yield row, host, path, *(best[1:] if best else (None, None, None))
+
+
+def _cuts(points: DataFrame, ranges: int) -> list[tuple[str, str, int]]:
+    """Where ranges begin, but the first one: evenly spaced rows of a sample by hash, whose size is bounded."""
+    sample = points.select(F.substring("key", 1, CUT_CHARS).alias("key"), F.substring("path", 1, CUT_CHARS).alias("path"), "h").orderBy(F.xxhash64("h", "key", "path")).limit(SAMPLED * ranges).collect()
+    found = sorted(map(tuple, sample))
+    return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+
+
+def match_urls(urls: DataFrame, rules: DataFrame, id_col: str, ranges: int | None = None) -> DataFrame:
+    """``(id, host, path, rule_host, rule_path, action)`` for each row of ``urls(id, host, path)``, nulls where no rule fits.
+
+    ``rules`` has host, path and action; of equal host and path the smallest action counts, without a host a rule is void, and without a path it
+    fits all. Rules longer in host and path together win, of equal lengths the one with the longer host.
     """
-    ship(urls.sparkSession)
-    own = rules.where("host is not null").groupBy(lower_ascii(F.col("host")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path")).agg(F.min("action").alias("action"))
-    own = materialize(own, "url-rules")
-    points = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes(F.col("host"))).alias("suffix"))
-    counts = points.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).join(own.select(F.col("r_host").alias("suffix")).distinct(), "suffix")
-    salted = materialize(counts.select("suffix", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")), "url-salts")
-    placed = points.join(salted, "suffix").select("suffix", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"), canonical_key(F.col("suffix"), F.col("path")).alias("key"), F.lit(POINT).alias("kind"), F.lit("").alias("r_path"), F.lit("").alias("action"), "host", "path")
-    starts = own.join(salted, own["r_host"] == salted["suffix"]).select("suffix", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), canonical_key(F.col("r_host"), F.col("r_path")).alias("key"), F.lit(RULE).alias("kind"), "r_path", "action", F.lit("").alias("host"), F.lit("").alias("path"))
-    dealt = placed.unionByName(starts).repartition("suffix", "salt").sortWithinPartitions("suffix", "salt", "key", "kind")
+    spark = urls.sparkSession
+    ship(spark)
+    own = rules.where("host is not null").groupBy(lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).agg(F.min("action").alias("action"))
+    own = own.select(host_key(F.col("host")).alias("key"), "host", "path", "action")
+    points = urls.select(host_key(F.col("host")).alias("key"), "host", "path", F.xxhash64(id_col).alias("h"), F.col(id_col).alias("row"))
+    ranges = ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # at most SAMPLED * ranges rows of CUT_CHARS characters reach the driver, and fewer cuts the workers
+    cuts = spark.sparkContext.broadcast(_cuts(points, ranges))
+    columns = ["place", "key", "kind", "host", "path", "action", "row"]
+    schema = f"place int, key string, kind int, host string, path string, action string, row {points.schema['row'].dataType.simpleString()}"
+
+    def place_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["place"] = [bisect_right(cuts.value, p) for p in zip(pdf["key"], pdf["path"], pdf["h"], strict=True)]
+            yield pdf.assign(kind=POINT, action=None)[columns]
+
+    def place_rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, host, path, action in pdf.itertuples(index=False, name=None):
+                first, last = bisect_right(cuts.value, (key, "", -(1 << 63))), bisect_right(cuts.value, (key + LAST, "", 0))
+                yield pd.DataFrame({"place": range(first, last + 1), "key": key, "kind": RULE, "host": host, "path": path, "action": action, "row": None}, columns=columns)
+
+    dealt = points.mapInPandas(place_points, schema).unionByName(materialize(own, "url-rules").mapInPandas(place_rules, schema))
+    dealt = dealt.repartition("place").sortWithinPartitions("place", "key", "kind", "path")
 
     def swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from veilframe.llm.urls import sweep as run
 
-        def rows() -> Iterator[tuple]:
-            for pdf in batches:
-                for suffix, salt, key, kind, r_path, action, host, path in pdf.itertuples(index=False, name=None):
-                    # the group's name before the key closes all rules of the group before
-                    yield f"{suffix}\x02{salt}\x02{key}", kind, (suffix, r_path, action), (host, path)
-
         out: list[tuple] = []
-        for point, rule in run(rows()):
-            out.append((*point, *rule))
-            if len(out) == 10_000:
-                yield pd.DataFrame(out, columns=["host", "path", "rule_host", "rule_path", "action"])
+        names = ["row", "host", "path", "rule_host", "rule_path", "action"]
+        for found in run(row for pdf in batches for row in pdf.astype({"row": "object"}).itertuples(index=False, name=None)):
+            out.append(found)
+            if len(out) == OUT_ROWS:
+                yield pd.DataFrame(out, columns=names, dtype="object")
                 out = []
-        yield pd.DataFrame(out, columns=["host", "path", "rule_host", "rule_path", "action"])
+        yield pd.DataFrame(out, columns=names, dtype="object")
 
-    found = dealt.mapInPandas(swept, "host string, path string, rule_host string, rule_path string, action string")
-    longest = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))
-    best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule_host", "rule_path", "action"), longest).alias("best"))
-    return best.select("host", "path", "best.*")
+    found = dealt.mapInPandas(swept, f"row {points.schema['row'].dataType.simpleString()}, host string, path string, rule_host string, rule_path string, action string")
+    return found.withColumnRenamed("row", id_col)
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "page_id", otherwise: str = "allow", salt_rows: int = SALT_ROWS) -> DataFrame:
-    """``(id, host, path, rule, verdict)``, a row for each row of ``pages``; without a rule the verdict is ``otherwise``."""
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "page_id", otherwise: str = "allow", ranges: int | None = None) -> DataFrame:
+    """``(id, host, path, rule, verdict)``, a row for each row of ``pages``; without a rule the verdict is ``otherwise``.
+
+    A null url, or one without ``://``, has an empty host and path, which a rule for the empty host alone fits. Repeated rows and null ids stay as they are. Very
+    long hosts and paths are compared whole, though ranges are cut by their beginnings. Only id and url are read, so other columns may have any name; empty tables of
+    pages or rules give no rows and no rules.
+    """
     cut = pages.select(F.col(id_col), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    found = match_urls(cut, rules, salt_rows).select(F.col("host").alias("m_host"), F.col("path").alias("m_path"), F.concat("rule_host", "rule_path").alias("rule"), "action")
-    joined = cut.join(found, (F.col("host") == F.col("m_host")) & (F.col("path") == F.col("m_path")), "left")
-    return joined.select(id_col, "host", "path", "rule", F.coalesce("action", F.lit(otherwise)).alias("verdict"))
+    found = match_urls(cut, rules, id_col, ranges)
+    return found.select(id_col, "host", "path", F.concat("rule_host", "rule_path").alias("rule"), F.coalesce("action", F.lit(otherwise)).alias("verdict"))
