@@ -1,14 +1,19 @@
 """Exact term matching, rendering with span maps, and source scanners, for one text at a time.
 
-These routines run inside Arrow UDFs. Offsets are UTF-8 bytes. What a run becomes is remembered per matcher, since
-few different runs make up most of a corpus.
+These routines run inside Arrow UDFs. Offsets are UTF-8 bytes. What a run becomes is remembered by its matcher, and a matcher by its
+process (``matcher_for``), since few different runs make up most of a corpus.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 
 from veilframe.functions.text import KEYWORDS
 
@@ -85,49 +90,112 @@ class Matcher:
         self._seen[run] = kept
         return kept
 
-    def replace(self, text: str) -> str:
+    def cuts(self, raw: bytes, spared: frozenset[bytes] = frozenset()) -> list[tuple[int, int, int, str]]:
+        """``(start, end, term, replacement)`` of all selected hits of a text; runs in ``spared`` are left alone as well."""
+        known, found = self._seen, []
+        for m in _RUN.finditer(raw):
+            run = m[0]
+            kept = known.get(run)
+            if kept is None:
+                kept = self.selected(run)
+            if kept and run not in spared:
+                at = m.start()
+                found += [(at + a, at + b, k, new) for a, b, k, new in kept]
+        return found
+
+    def replace(self, text: str, spared: frozenset[bytes] = frozenset()) -> str:
         """The text with all selected hits replaced."""
         raw, out, at = text.encode(), [], 0
-        for m in _RUN.finditer(raw):
-            for a, b, _, new in self.selected(m[0]):
-                out += [raw[at : m.start() + a], new.encode()]
-                at = m.start() + b
+        for a, b, _, new in self.cuts(raw, spared):
+            out += [raw[at:a], new.encode()]
+            at = b
         return b"".join([*out, raw[at:]]).decode()
 
-    def render(self, text: str, language: str = "text") -> tuple[str, list[dict], list[dict]]:
+    def render(self, text: str, language: str = "text", spared: frozenset[bytes] = frozenset()) -> tuple[str, list[dict], list[dict]]:
         """The rendered text, its replacements, and spans that tile both texts.
 
         Unchanged stretches are spans with a null replacement. Line numbers count from 1.
         """
-        raw = text.encode()
-        strings = string_ranges(language, raw)
-        comments = comment_ranges(language, raw, strings)
-        out, replacements, spans = [], [], []
-        at = shift = 0
-        old_line = new_line = 1
-
-        def span(end: int, new: bytes, number: int | None) -> None:
-            nonlocal at, shift, old_line, new_line
-            if end == at and not new:
-                return
-            old = raw[at:end]
-            spans.append({"replacement_id": number, "original_start": at, "original_end": end, "sanitized_start": at + shift, "sanitized_end": at + shift + len(new), "original_line_start": old_line, "sanitized_line_start": new_line})
-            out.append(new)
-            old_line += old.count(b"\n")
-            new_line += new.count(b"\n")
-            shift += len(new) - len(old)
-            at = end
-
-        for m in _RUN.finditer(raw):
-            for a, b, k, new in self.selected(m[0]):
-                start, end = m.start() + a, m.start() + b
-                if start > at:
-                    span(start, raw[at:start], None)
-                category = "comment" if within(comments, start) else "string_literal" if within(strings, start) else "identifier"
-                replacements.append({"id": len(replacements), "category": category, "original_text": raw[start:end].decode(), "sanitized_text": new, "policy_source": self.terms[k].policy_source, "original_start": start, "original_end": end, "sanitized_start": start + shift, "sanitized_end": start + shift + len(new.encode())})
-                span(end, new.encode(), len(replacements) - 1)
-        span(len(raw), raw[at:], None)
-        return b"".join(out).decode(), replacements, spans
+        made = self.render_all([text], [language], [spared]).to_pylist()[0]
+        return made["rendered"], made["replacements"], made["spans"]
+
+    def render_all(self, texts: Iterable[str | None], languages: Iterable[str | None], spared: Iterable[frozenset[bytes]] | None = None) -> pa.StructArray:
+        """Rows ``(rendered, replacements, spans)`` as Arrow columns, whose values are appended flat; null texts give nulls."""
+        texts = list(texts)
+        spared = spared or [frozenset()] * len(texts)
+        rendered: list[str | None] = []
+        r_ends, s_ends = np.zeros(len(texts) + 1, np.int32), np.zeros(len(texts) + 1, np.int32)
+        categories, originals, aliases, sources, numbers = [], [], [], [], []
+        places: list[np.ndarray] = []
+        pieces: list[np.ndarray] = []
+        for i, (text, language, own) in enumerate(zip(texts, languages, spared, strict=True)):
+            if text is not None:
+                raw = text.encode()
+                found = self.cuts(raw, own)
+                n = len(found)
+                news = [new.encode() for *_, new in found]
+                start, end = (np.fromiter((c[k] for c in found), np.int64, n) for k in (0, 1))
+                grown = np.fromiter(map(len, news), np.int64, n) - (end - start)
+                shift = np.cumsum(grown)
+                out, at = [], 0
+                for (a, b, k, new), coded in zip(found, news, strict=True):
+                    out += [raw[at:a], coded]
+                    at = b
+                    originals.append(raw[a:b].decode())
+                    aliases.append(new)
+                    sources.append(self.terms[k].policy_source)
+                rendered.append(b"".join([*out, raw[at:]]).decode())
+                places.append(np.stack([np.arange(n), start, end, start + shift - grown, end + shift], axis=1))
+                categories += zones(language or "text", raw, start)
+                # spans: what lies before each replacement, the replacement, and what lies behind the last
+                edges = np.empty(2 * n + 2, np.int64)
+                edges[0], edges[-1], edges[1:-1:2], edges[2:-1:2] = 0, len(raw), start, end
+                moved = edges.copy()
+                moved[2:-1:2] += shift
+                moved[1:-1:2] += shift - grown
+                moved[-1] += shift[-1] if n else 0
+                kept = np.flatnonzero(np.diff(edges))
+                ends_of_lines = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+                # a replacement has no line end on either side
+                line = 1 + np.searchsorted(ends_of_lines, edges[kept])
+                pieces.append(np.stack([np.where(kept % 2, kept // 2, -1), edges[kept], edges[kept + 1], moved[kept], moved[kept + 1], line], axis=1))
+                r_ends[i + 1], s_ends[i + 1] = n, len(kept)
+            else:
+                rendered.append(None)
+        none = pa.array([t is None for t in texts])
+        numbers = np.concatenate(places) if places else np.zeros((0, 5), np.int64)
+        tiles = np.concatenate(pieces) if pieces else np.zeros((0, 6), np.int64)
+        replacements = pa.StructArray.from_arrays(
+            [pa.array(numbers[:, 0]), pa.array(categories, pa.string()), pa.array(originals, pa.string()), pa.array(aliases, pa.string()), pa.array(sources, pa.string()), *(pa.array(numbers[:, k]) for k in (1, 2, 3, 4))],
+            ["id", "category", "original_text", "sanitized_text", "policy_source", "original_start", "original_end", "sanitized_start", "sanitized_end"],
+        )
+        spans = pa.StructArray.from_arrays(
+            [pa.array(tiles[:, 0], mask=tiles[:, 0] < 0), *(pa.array(tiles[:, k]) for k in (1, 2, 3, 4)), pa.array(tiles[:, 5]), pa.array(tiles[:, 5])],
+            ["replacement_id", "original_start", "original_end", "sanitized_start", "sanitized_end", "original_line_start", "sanitized_line_start"],
+        )
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum(e, dtype=np.int32)), values, mask=none) for e, values in ((r_ends, replacements), (s_ends, spans))]
+        return pa.StructArray.from_arrays([pa.array(rendered, pa.string()), *lists], ["rendered", "replacements", "spans"])
+
+
+@lru_cache(maxsize=16)
+def matcher_for(terms: tuple[Term, ...], protected: frozenset[str] = frozenset(), exempt: bool = True) -> Matcher:
+    """One matcher a process for each policy, so that what it has seen is kept from one Arrow batch to the next."""
+    return Matcher(list(terms), protected, exempt)
+
+
+def zones(language: str, raw: bytes, at: np.ndarray) -> list[str]:
+    """``comment``, ``string_literal`` or ``identifier`` for each offset."""
+    strings = string_ranges(language, raw) if len(at) else []
+    comments = comment_ranges(language, raw, strings) if len(at) else []
+
+    def inside(ranges: list[tuple[int, int]]) -> np.ndarray:
+        if not ranges:
+            return np.zeros(len(at), bool)
+        bounds = np.array(ranges)
+        k = np.searchsorted(bounds[:, 0], at, side="right") - 1
+        return (k >= 0) & (at < bounds[np.maximum(k, 0), 1])
+
+    return np.where(inside(comments), "comment", np.where(inside(strings), "string_literal", "identifier")).tolist()
 
 
 def within(ranges: list[tuple[int, int]], at: int) -> bool:

@@ -3,43 +3,76 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from veilframe.functions.matcher import Matcher, Term
+from veilframe.functions.matcher import Term
 from veilframe.functions.text import digest, normalize_term, pieces, runs, term_pattern
-from veilframe.sources.scratch import ship
+from veilframe.sources.scratch import materialize, ship
 
 REPLACEMENT = "struct<id:long,category:string,original_text:string,sanitized_text:string,policy_source:string,original_start:long,original_end:long,sanitized_start:long,sanitized_end:long>"
 SPAN = "struct<replacement_id:long,original_start:long,original_end:long,sanitized_start:long,sanitized_end:long,original_line_start:long,sanitized_line_start:long>"
 RENDERED = f"rendered string, replacements array<{REPLACEMENT}>, spans array<{SPAN}>"
 
 
-def render(docs: DataFrame, terms: list[Term], text: str = "text", language: Column | None = None, protected: frozenset[str] = frozenset()) -> DataFrame:
+#: Protected names that are sent to the workers at most; a larger table is joined instead.
+SHIELD_ROWS = 200_000
+Protected = frozenset | DataFrame
+
+
+def _shield(docs: DataFrame, terms: list[Term], text: str, protected: Protected):  # noqa: ANN202
+    """How protected names reach the matcher: a set for all documents (a broadcast variable), or a column with each document's own.
+
+    A table of names (``name``) grows with the corpus. Up to ``SHIELD_ROWS`` it is broadcast; beyond, each document's runs that hold a term
+    are joined with it, and only those that are protected go along with the text.
+    """
+    sc = docs.sparkSession.sparkContext
+    if isinstance(protected, frozenset):
+        return docs, sc.broadcast(protected), None
+    few = protected.select("name").distinct().limit(SHIELD_ROWS + 1).collect()
+    if len(few) <= SHIELD_ROWS:
+        return docs, sc.broadcast(frozenset(r["name"] for r in few)), None
+    row = "__shield_row"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "shield-rows")
+    suspects = F.filter(F.array_distinct(runs(F.col(text))), lambda r: r.rlike("|".join(term_pattern(t.normalized) for t in terms)))
+    held = numbered.select(row, F.explode(suspects).alias("name")).join(protected.select("name").distinct(), "name").groupBy(row).agg(F.collect_list("name").alias("__shield"))
+    return numbered.join(held, row, "left").drop(row), sc.broadcast(frozenset()), "__shield"
+
+
+def render(docs: DataFrame, terms: list[Term], text: str = "text", language: Column | None = None, protected: Protected = frozenset()) -> DataFrame:
     """Adds ``map``: the rendered text, its replacements, and the spans that tile both texts. Null texts give null.
 
-    One Arrow pass over each text and no shuffle. Different runs are matched once a worker and remembered.
+    One Arrow pass over each text and no shuffle, unless ``protected`` is a table too large to send. Different runs are matched once a worker
+    process and remembered; maps leave it as Arrow arrays.
     """
     ship(docs.sparkSession)
+    policy, (shielded, names, own) = tuple(terms), _shield(docs, terms, text, protected)
 
-    @F.pandas_udf(RENDERED)
-    def rendered(bodies: pd.Series, languages: pd.Series) -> pd.DataFrame:
-        matcher = Matcher(terms, protected)
-        rows = [(None, None, None) if b is None else matcher.render(b, lang or "text") for b, lang in zip(bodies, languages, strict=True)]
-        return pd.DataFrame(rows, columns=["rendered", "replacements", "spans"])
+    @F.arrow_udf(RENDERED)
+    def rendered(bodies: pa.Array, languages: pa.Array, spared: pa.Array) -> pa.Array:
+        from veilframe.functions.matcher import matcher_for
 
-    return docs.withColumn("map", rendered(F.col(text), language if language is not None else F.lit("text")))
+        own_names = [frozenset(x.encode() for x in s or ()) for s in spared.to_pylist()]
+        return matcher_for(policy, names.value).render_all(bodies.to_pylist(), languages.to_pylist(), own_names)
+
+    spared = F.col(own) if own else F.lit(None).cast("array<string>")
+    made = shielded.withColumn("map", rendered(F.col(text), language if language is not None else F.lit("text"), spared))
+    return made.drop(own) if own else made
 
 
 def replace_terms(docs: DataFrame, terms: list[Term], text: str = "text", exempt: bool = True, protected: frozenset[str] = frozenset()) -> Column:
     """A column with all terms replaced and no map. ``exempt=False`` spares neither keywords nor protected names."""
     ship(docs.sparkSession)
+    policy, names = tuple(terms), docs.sparkSession.sparkContext.broadcast(protected)
+
+    @F.arrow_udf("string")
+    def replaced(bodies: pa.Array) -> pa.Array:
+        from veilframe.functions.matcher import matcher_for
 
-    @F.pandas_udf("string")
-    def replaced(bodies: pd.Series) -> pd.Series:
-        matcher = Matcher(terms, protected, exempt)
-        return pd.Series([None if b is None else matcher.replace(b) for b in bodies], dtype="object")
+        matcher = matcher_for(policy, names.value, exempt)
+        return pa.array([None if b is None else matcher.replace(b) for b in bodies.to_pylist()], pa.string())
 
     return replaced(F.col(text))
 
@@ -95,18 +128,24 @@ def leaks(docs: DataFrame, terms: list[Term], text: str, id_col: str = "doc_id",
     if not terms:
         return docs.select(id_col).limit(0).selectExpr(id_col, "0L as byte_offset", "'' as term", "'' as run")
 
-    @F.pandas_udf("array<struct<byte_offset:long,term:string,run:string>>")
-    def found(bodies: pd.Series) -> pd.Series:
-        from veilframe.functions.matcher import _RUN
+    policy, names = tuple(terms), docs.sparkSession.sparkContext.broadcast(protected)
+
+    @F.arrow_udf("array<struct<byte_offset:long,term:string,run:string>>")
+    def found(bodies: pa.Array) -> pa.Array:
+        from veilframe.functions.matcher import _RUN, matcher_for
 
-        matcher, out = Matcher(terms, protected), []
-        for b in bodies:
-            rows = []
+        matcher, ends, at, term, held = matcher_for(policy, names.value), [0], [], [], []
+        for b in bodies.to_pylist():
             for m in _RUN.finditer((b or "").encode()):
                 if matcher.selected(m[0]):
-                    rows += [{"byte_offset": m.start() + a, "term": terms[k].raw, "run": m[0].decode()} for a, _, k in matcher.hits(m[0])]
-            out.append(rows)
-        return pd.Series(out, dtype="object")
+                    run = m[0].decode()
+                    for a, _, k in matcher.hits(m[0]):
+                        at.append(m.start() + a)
+                        term.append(matcher.terms[k].raw)
+                        held.append(run)
+            ends.append(len(at))
+        rows = pa.StructArray.from_arrays([pa.array(at, pa.int64()), pa.array(term, pa.string()), pa.array(held, pa.string())], ["byte_offset", "term", "run"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     suspects = docs.where(F.col(text).rlike("|".join(term_pattern(t.normalized) for t in terms)))
     return suspects.select(id_col, F.explode(found(F.col(text))).alias("l")).select(id_col, "l.*")

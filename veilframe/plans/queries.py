@@ -163,9 +163,9 @@ def reverse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("leak_scan", "SELECT term, CAST(sum(len(regexp_extract_all(text, p))) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_after FROM documents, (VALUES ('the', '[tT]_*[hH]_*[eE]'), ('ation', '[aA]_*[tT]_*[iI]_*[oO]_*[nN]'), ('ing', '[iI]_*[nN]_*[gG]')) t(term, p) GROUP BY term")
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = _terms(spark)
-    before = render.leaks(_docs(spark, sf_dir), terms, "text").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    after = render.leaks(_rendered(spark, sf_dir).select("doc_id", "map.rendered"), terms, "rendered").groupBy("term").agg(F.count(F.lit(1)).alias("k"))
+    terms, docs = _terms(spark), spread(_docs(spark, sf_dir).select("doc_id", "text"))
+    before = render.leaks(docs, terms, "text").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    after = render.leaks(docs.select("doc_id", render.replace_terms(docs, terms).alias("rendered")), terms, "rendered").groupBy("term").agg(F.count(F.lit(1)).alias("k"))
     return before.join(after, "term", "left").select("term", "n", F.coalesce("k", F.lit(0)).cast("long").alias("n_after"))
 
 
