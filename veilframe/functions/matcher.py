@@ -54,7 +54,7 @@ class Matcher:
 
     def __post_init__(self) -> None:
         self._needles = [t.normalized.encode() for t in self.terms]
-        self._any = re.compile(b"|".join(map(re.escape, sorted(set(self._needles), key=len)))) if self._needles else None
+        self._any = re.compile(b"|".join(map(re.escape, sorted(set(self._needles), key=len)))) if any(self._needles) else None
         self._shielded = frozenset(p.encode() for p in self.protected)
 
     def hits(self, run: bytes) -> list[tuple[int, int, int]]:
@@ -177,6 +177,17 @@ class Matcher:
         return pa.StructArray.from_arrays([pa.array(rendered, pa.string()), *lists], ["rendered", "replacements", "spans"])
 
 
+class Placed(Matcher):
+    """Renders replacements that are given by place instead of found: each text's ``(start, end, source, replacement)`` in order."""
+
+    def __init__(self, sources: list[str], given: list[list[tuple[int, int, int, str]]]) -> None:
+        super().__init__([Term("", "", "", s) for s in sources])
+        self._given = iter(given)
+
+    def cuts(self, raw: bytes, spared: frozenset[bytes] = frozenset()) -> list[tuple[int, int, int, str]]:
+        return next(self._given)
+
+
 @lru_cache(maxsize=16)
 def matcher_for(terms: tuple[Term, ...], protected: frozenset[str] = frozenset(), exempt: bool = True) -> Matcher:
     """One matcher a process for each policy, so that what it has seen is kept from one Arrow batch to the next."""
@@ -264,8 +275,8 @@ def comment_ranges(language: str, raw: bytes, strings: list[tuple[int, int]]) ->
 
 
 # Words that make what follows public or foreign (fixed values).
-_IMPORTS = frozenset(b"use import from require package include using".split())
-_MARKERS = _IMPORTS | frozenset(b"mod pub export crate extern".split())
+_IMPORTS = frozenset((b"use", b"import", b"from", b"require", b"package", b"include", b"using"))
+_MARKERS = _IMPORTS | frozenset((b"mod", b"pub", b"export", b"crate", b"extern"))
 
 
 def protected_names(text: str, language: str) -> set[str]:

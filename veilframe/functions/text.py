@@ -13,9 +13,10 @@ LOSSLESS = "[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
 
 #: Runs that are never rewritten (a fixed value: keywords of common programming languages).
 KEYWORDS = (
-    "as async await break class const continue crate def else enum export extern false fn for from function if impl import in let loop match mod move mut pub ref return "
-    "self Self static struct super trait true type unsafe use var where while"
-).split()
+    "as", "async", "await", "break", "class", "const", "continue", "crate", "def", "else", "enum", "export", "extern", "false", "fn", "for", "from",
+    "function", "if", "impl", "import", "in", "let", "loop", "match", "mod", "move", "mut", "pub", "ref", "return", "self", "Self", "static",
+    "struct", "super", "trait", "true", "type", "unsafe", "use", "var", "where", "while",
+)
 
 #: Language labels by file extension (fixed values); other extensions are "text".
 LANGUAGES = {

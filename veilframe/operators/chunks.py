@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from veilframe.functions.text import lines
-from veilframe.sources.scratch import ship
+from veilframe.sources.scratch import materialize, ship
 
 
 def line_chunks(docs: DataFrame, size: int = 60, overlap: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -58,6 +58,23 @@ def byte_chunks(docs: DataFrame, target: int, overlap: int = 0, text: str = "tex
     return docs.select(key, F.explode(cut(F.col(text))).alias("c")).select(key, "c.*")
 
 
+def numbered(rows: DataFrame, by: Column, *order: str) -> DataFrame:
+    """Adds ``number``: each row's place in its group by order, from 0. A group of any size is spread over tasks.
+
+    Rows are dealt out by ranges of group and order and ranked within each range; what earlier ranges hold of a group is added.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__by", by).repartitionByRange(n, "__by", *order).withColumn("__range", F.spark_partition_id())
+    dealt = materialize(dealt, "numbered")
+    counts = dealt.groupBy("__by", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__by").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row for each group and range, at most as many a group as there are ranges
+    start = counts.select(F.col("__by").alias("__b"), F.col("__range").alias("__r"), before.alias("__before"))
+    local = dealt.withColumn("__local", F.row_number().over(W.partitionBy("__by", "__range").orderBy(*order)) - 1)
+    joined = local.join(start, F.col("__by").eqNullSafe(F.col("__b")) & (F.col("__range") == F.col("__r")))
+    return joined.withColumn("number", (F.col("__local") + F.col("__before")).cast("long")).drop("__by", "__range", "__b", "__r", "__before", "__local")
+
+
 def batches(rows: DataFrame, size: int, by: Column, *order: str) -> DataFrame:
     """Adds ``batch``: rows of each group in order, ``size`` at a time."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1) / size).cast("long"))
+    return numbered(rows, by, *order).withColumn("batch", F.floor(F.col("number") / size).cast("long")).drop("number")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,37 +50,69 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def component_of(edges: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
+def component_of(edges: DataFrame, seeds: DataFrame, rounds: int = 8) -> DataFrame:
     """``(node)``: everything reachable from ``seeds(node)`` over the undirected ``edges(a, b)``, seeds included.
 
-    Breadth first: only the frontier joins the edges, and what is visited never comes back.
+    Breadth first: only the frontier joins the edges, and what is visited never comes back. What is not exhausted in a few rounds has long paths: then
+    components of all edges, which take rounds by the logarithm, are joined with the seeds.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "reach-edges")
     visited = frontier = materialize(seeds.select("node").distinct(), "reach")
-    for _ in range(max_rounds):
+    for _ in range(rounds):
         step = both.join(frontier, both["a"] == frontier["node"], "left_semi").select(F.col("b").alias("node")).distinct()
         frontier = materialize(step.join(visited, "node", "left_anti"), "reach")
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)
-    raise RuntimeError(f"the component was not exhausted in {max_rounds} rounds")
+    found = materialize(connected_components(both.where("a < b")), "reach-components")
+    roots = found.join(visited, "node", "left_semi").select("root").distinct()
+    return found.join(roots, "root", "left_semi").select("node").union(visited.select("node")).distinct()
 
 
-def ancestors(nodes: DataFrame, starts: DataFrame, max_depth: int = 12) -> DataFrame:
+def ancestors(nodes: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(start, ancestor, depth)`` up the parent pointers of ``nodes(node_id, parent_id)``, each start itself at depth 0.
 
-    A tree has no cycle, so levels are joined one by one, ``max_depth`` of them at most, without deduplication between them.
+    Levels are joined one by one, for all starts together, until none has a parent left, or to ``max_depth`` where one is asked for. Each level is written once
+    and joins only the level before. Parent pointers that run in a circle never end, so a level that is deeper than there are nodes raises.
     """
-    level = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("ancestor")).distinct()
     parents = nodes.where("parent_id is not null").select(F.col("node_id").alias("child"), F.col("parent_id").alias("parent"))
-    found = level.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth):
-        level = level.join(parents, F.col("ancestor") == F.col("child")).select("start", F.col("parent").alias("ancestor"))
-        found = found.unionByName(level.withColumn("depth", F.lit(depth)))
-    return found
+    level = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("ancestor")).distinct().withColumn("depth", F.lit(0))
+    level = materialize(level, "ancestors")
+    found, depth, bound = [level], 0, None
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        level = materialize(level.join(parents, F.col("ancestor") == F.col("child")).select("start", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")), "ancestors")
+        if level.isEmpty():
+            break
+        found.append(level)
+        if depth % 64 == 0:
+            bound = bound if bound is not None else nodes.count()
+            if depth > bound:
+                raise ValueError("the parent pointers run in a circle")
+            found = [materialize(reduce(DataFrame.unionByName, found), "ancestors-so-far")]
+    return reduce(DataFrame.unionByName, found)
+
+
+def nearest_ancestor(closure: DataFrame, kinds: DataFrame, wanted: list[str], prefixes: list[str] = ()) -> DataFrame:
+    """``(start, ancestor, depth)``: of each start the nearest ancestor of a wanted kind, or of one that begins with a wanted prefix; ``kinds(node_id, kind)``."""
+    fits = reduce(lambda a, p: a | F.col("kind").startswith(p), prefixes, F.col("kind").isin(list(wanted)))
+    marked = closure.join(kinds.where(fits), F.col("ancestor") == F.col("node_id"), "left_semi")
+    return marked.groupBy("start").agg(F.min_by("ancestor", "depth").alias("ancestor"), F.min("depth").alias("depth"))
 
 
-def nearest_ancestor(closure: DataFrame, kinds: DataFrame, wanted: list[str]) -> DataFrame:
-    """``(start, ancestor, depth)``: of each start the nearest ancestor of a wanted kind; ``kinds(node_id, kind)``."""
-    marked = closure.join(kinds.where(F.col("kind").isin(wanted)), F.col("ancestor") == F.col("node_id"), "left_semi")
-    return marked.groupBy("start").agg(F.min_by("ancestor", "depth").alias("ancestor"), F.min("depth").alias("depth"))
+def closures(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """``(start, node)``: all nodes that each start reaches along the directed ``edges(a, b)``, itself included, for all starts together.
+
+    Breadth first: a round joins only what the round before reached for the first time; it ends when nothing new comes, so circles are harmless.
+    """
+    seen = frontier = materialize(starts.select(F.col("node").alias("start"), "node").distinct(), "closures")
+    steps = materialize(edges.select("a", "b").distinct(), "closure-edges")
+    for number in range(1, max_rounds + 1):
+        new = frontier.join(steps, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
+        frontier = materialize(new.join(seen, ["start", "node"], "left_anti"), "closures")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+        if number % 16 == 0:
+            seen = materialize(seen, "closures-so-far")
+    raise RuntimeError(f"the closure was not exhausted in {max_rounds} rounds")

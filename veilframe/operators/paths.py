@@ -44,14 +44,21 @@ def resolve(requests: DataFrame, mapped: DataFrame, asked: str = "asked") -> Dat
     return joined.withColumn("real", F.coalesce("p_real", "r_real")).drop("p_key", "p_real", "r_real")
 
 
-def resolve_new(requests: DataFrame, mapped: DataFrame, asked: str = "asked") -> DataFrame:
+def resolve_new(requests: DataFrame, mapped: DataFrame, asked: str = "asked", terms: list[Term] | None = None) -> DataFrame:
     """``(asked, real)`` for paths that do not exist yet: the real spelling of the longest known directory, and the rest as it is.
 
-    Paths below a known file are left out. A path without a known directory stays as it is.
+    Paths below a known file are left out. A path without a known directory stays as it is. With ``terms``, the rest must be neutral: a path whose new
+    part would be projected to something else has no real one.
     """
     wanted = requests.select(asked).distinct()
     each = wanted.select(asked, F.explode(prefixes(F.col(asked))).alias("prefix"))
     keys = mapped.groupBy(F.lower("projected").alias("key")).agg(F.min("real").alias("real"), F.min("kind").alias("kind"))
     hits = each.join(keys, F.lower("prefix") == F.col("key")).groupBy(asked).agg(F.max_by(F.struct("prefix", "real", "kind"), F.length("prefix")).alias("b"))
     joined = wanted.join(hits, asked, "left").where(F.coalesce(F.col("b.kind") == "directory", F.lit(True)))
-    return joined.select(asked, F.when(F.col("b").isNull(), F.col(asked)).otherwise(F.concat(F.col("b.real"), F.substring(F.col(asked), F.length("b.prefix") + 1, F.length(asked)))).alias("real"))
+    tail = F.when(F.col("b").isNull(), F.col(asked)).otherwise(F.substring(F.col(asked), F.length("b.prefix") + 1, F.length(asked)))
+    parts = joined.withColumn("_tail", tail)
+    real = F.concat(F.coalesce("b.real", F.lit("")), "_tail")
+    if terms is None:
+        return parts.select(asked, real.alias("real"))
+    shown = project_paths(parts, terms, "_tail")
+    return shown.select(asked, F.when(F.col("projected") == F.col("_tail"), real).alias("real"))

@@ -52,6 +52,19 @@ def policy_violations(policy: DataFrame, salt: str = "") -> DataFrame:
     return bad_term.unionByName(bad_alias).unionByName(shared).unionByName(dirty)
 
 
+#: Settings of a policy and the range that each must be in (fixed values).
+RANGES = {"confidence_threshold": (0.0, 1.0), "max_file_bytes": (1.0, float(1 << 40)), "chunk_lines": (1.0, 100_000.0), "chunk_overlap": (0.0, 99_999.0)}
+
+
+def setting_violations(settings: DataFrame) -> DataFrame:
+    """``(check, raw, other)`` for ``settings(name, value)`` that are unknown, no number, or outside their range; settings are written by people and few."""
+    low = F.create_map(*(x for n, (a, _) in RANGES.items() for x in (F.lit(n), F.lit(a))))
+    high = F.create_map(*(x for n, (_, b) in RANGES.items() for x in (F.lit(n), F.lit(b))))
+    a, b, v = F.try_element_at(low, F.col("name")), F.try_element_at(high, F.col("name")), F.col("value").cast("double")
+    check = F.when(a.isNull(), "unknown setting").when(v.isNull() | F.isnan(v), "no number").when((v < a) | (v > b), "out of range")
+    return settings.select(check.alias("check"), F.col("name").alias("raw"), v.cast("string").alias("other")).where("check is not null")
+
+
 def ambiguous_aliases(pairs: DataFrame) -> DataFrame:
     """``(alias_norm, originals)`` for aliases that stand for more than one original."""
     known = pairs.groupBy(normalize_term(F.col("alias")).alias("alias_norm")).agg(F.array_sort(F.collect_set(normalize_term(F.col("original")))).alias("originals"))

@@ -14,7 +14,7 @@ from veilframe.sources.scratch import materialize, ship
 
 REPLACEMENT = "struct<id:long,category:string,original_text:string,sanitized_text:string,policy_source:string,original_start:long,original_end:long,sanitized_start:long,sanitized_end:long>"
 SPAN = "struct<replacement_id:long,original_start:long,original_end:long,sanitized_start:long,sanitized_end:long,original_line_start:long,sanitized_line_start:long>"
-RENDERED = f"rendered string, replacements array<{REPLACEMENT}>, spans array<{SPAN}>"
+MAP = f"struct<rendered:string,replacements:array<{REPLACEMENT}>,spans:array<{SPAN}>>"
 
 
 #: Protected names that are sent to the workers at most; a larger table is joined instead.
@@ -50,7 +50,7 @@ def render(docs: DataFrame, terms: list[Term], text: str = "text", language: Col
     ship(docs.sparkSession)
     policy, (shielded, names, own) = tuple(terms), _shield(docs, terms, text, protected)
 
-    @F.arrow_udf(RENDERED)
+    @F.arrow_udf(MAP)
     def rendered(bodies: pa.Array, languages: pa.Array, spared: pa.Array) -> pa.Array:
         from veilframe.functions.matcher import matcher_for
 
@@ -77,6 +77,91 @@ def replace_terms(docs: DataFrame, terms: list[Term], text: str = "text", exempt
     return replaced(F.col(text))
 
 
+def render_placed(docs: DataFrame, replacements: DataFrame, text: str = "text", key: str = "doc_id", language: Column | None = None) -> DataFrame:
+    """Adds ``map`` from replacements that are given: ``(key, start, end, replacement, policy_source)`` in bytes, none of which overlap.
+
+    A document with one that overlaps, is out of bounds, cuts a character or holds a line end has a null map (``placement_faults`` says why).
+    """
+    ship(docs.sparkSession)
+    faulty = placement_faults(docs, replacements, text, key).select(key).distinct()
+    given = replacements.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement", "policy_source"))).alias("__given"))
+    joined = docs.join(given, key, "left").join(faulty.withColumn("__faulty", F.lit(True)), key, "left")
+
+    @F.arrow_udf(MAP)
+    def placed(bodies: pa.Array, languages: pa.Array, rows: pa.Array) -> pa.Array:
+        from veilframe.functions.matcher import Placed
+
+        found = rows.to_pylist()
+        sources = sorted({r["policy_source"] or "" for own in found for r in own or ()})
+        number = {s: i for i, s in enumerate(sources)}
+        texts = bodies.to_pylist()
+        given = [[(r["start"], r["end"], number[r["policy_source"] or ""], r["replacement"]) for r in own or ()] for own, t in zip(found, texts, strict=True) if t is not None]
+        return Placed(sources, given).render_all(texts, languages.to_pylist())
+
+    body = F.when(F.col("__faulty").isNull(), F.col(text))
+    made = joined.withColumn("map", placed(body, language if language is not None else F.lit("text"), F.col("__given")))
+    return made.withColumn("map", F.when(body.isNotNull(), F.col("map"))).drop("__given", "__faulty")
+
+
+def placement_faults(docs: DataFrame, replacements: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(key, start, fault)`` of given replacements that cannot be made: overlap, out of bounds, no whole characters, another text than stated, line end.
+
+    ``replacements(key, start, end, replacement[, original_text])``.
+    """
+    raw = F.encode(F.col(text), "UTF-8")
+    part = F.substring(raw, (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    whole = F.is_valid_utf8(part.cast("string")) & F.is_valid_utf8(F.substring(raw, F.lit(1), F.col("start").cast("int")).cast("string"))
+    before = F.max("end").over(W.partitionBy(key).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
+    stated = (part.cast("string") != F.col("original_text")) if "original_text" in replacements.columns else F.lit(False)
+    fault = (
+        F.when((F.col("start") < 0) | (F.col("end") < F.col("start")) | (F.col("end") > F.octet_length(text)), "out of bounds")
+        .when(F.col("start") < F.col("_before"), "overlap")
+        .when(~whole, "no whole characters")
+        .when(stated, "another text")
+        .when(F.col("replacement").contains("\n"), "line end")
+    )
+    ranked = replacements.withColumn("_before", before)
+    return ranked.join(docs.select(key, text), key).select(key, "start", fault.alias("fault")).where("fault is not null")
+
+
+def store_maps(rendered: DataFrame) -> Column:
+    """Span maps as JSON documents, for exchange."""
+    return F.to_json("map")
+
+
+def load_maps(stored: Column) -> Column:
+    """Span maps from JSON documents; null where one does not parse or lacks its texts."""
+    found = F.from_json(stored, MAP)
+    return F.when(found["rendered"].isNotNull(), found)
+
+
+def project_ranges(rows: DataFrame, rendered: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows with byte ranges ``(key, start, end)`` of originals, such as nodes or occurrences, with the ranges of the render beside them.
+
+    Adds ``shown_start`` and ``shown_end``: an edge within a replacement moves to the replacement's edge.
+    """
+    joined = rows.join(rendered.select(F.col(key), F.col("map.spans").alias("__spans")), key)
+    inside = lambda at, end: F.get(F.filter("__spans", lambda s: (s["original_start"] <= at) & (at < s["original_end"]) if not end else (s["original_start"] < at) & (at <= s["original_end"])), F.lit(0))
+    edge = lambda at, s, side: F.when(at == 0, F.lit(0)).when(s["replacement_id"].isNull(), s["sanitized_start"] + at - s["original_start"]).otherwise(s[side])
+    begin = F.coalesce(edge(F.col("start"), inside(F.col("start"), False), "sanitized_start"), F.get("__spans", F.size("__spans") - 1)["sanitized_end"])
+    stop = edge(F.col("end"), inside(F.col("end"), True), "sanitized_end")
+    return joined.withColumns({"shown_start": begin.cast("long"), "shown_end": stop.cast("long")}).drop("__spans")
+
+
+def output_pairs(terms: list[Term], aliases: list[tuple[str, str]], protected: frozenset[str] = frozenset()) -> list[Term]:
+    """The table that output is redacted by: the policy's terms, and ``(original, alias)`` pairs of accepted names.
+
+    Pairs whose original is its alias, has fewer than two characters when normalised, or is protected are left out; a spelling that the policy has keeps its policy's alias.
+    """
+    plain = lambda s: s.replace("_", "").replace("-", "").lower()
+    made = {t.normalized: t for t in terms}
+    for original, alias in aliases:
+        n = plain(original)
+        if len(n) >= 2 and n != plain(alias) and original not in protected:
+            made.setdefault(n, Term(original, n, alias, "alias"))
+    return sorted(made.values(), key=lambda t: t.raw)
+
+
 def reverse(rendered: DataFrame) -> Column:
     """The original text from a ``map``: its spans in order, each replacement's own text in place of its alias."""
     raw = F.encode("map.rendered", "UTF-8")

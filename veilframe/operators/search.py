@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.text import lines, matches_glob
+from veilframe.operators.paths import resolve
 
 DEFAULT_LIMIT, HARD_LIMIT = 200, 1000
 
@@ -45,8 +46,22 @@ def search_capped(docs: DataFrame, query: str, limit: int | None = None, **setti
 
 
 def list_documents(docs: DataFrame, path: str, glob: str | None = None) -> DataFrame:
-    """Paths that the glob matches."""
-    return docs.where(matches_glob(F.col(path), glob)).select(path)
+    """Paths that the glob matches, all without one, in order."""
+    return (docs if glob is None else docs.where(matches_glob(F.col(path), glob))).select(path).orderBy(path)
+
+
+def lookup(rows: DataFrame, keys: list, key: str = "doc_id") -> DataFrame:
+    """Rows of some stated keys; the test reaches the scan."""
+    return rows.where(F.col(key).isin(list(keys)))
+
+
+def read_documents(tracked: DataFrame, mapped: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(asked, path, rendered)`` of asked paths: projected spellings first, then real ones; what is not tracked has no text.
+
+    ``tracked(path, rendered)``; ``mapped`` as ``paths.path_map``. Whether a path is tracked is settled before any text is read.
+    """
+    found = resolve(asked, mapped).select("asked", F.col("real").alias("path"))
+    return found.join(tracked.select("path", "rendered"), "path", "left").select("asked", "path", "rendered")
 
 
 def find_symbols(symbols: DataFrame, aliases: DataFrame, replacements: DataFrame, query: str, limit: int = HARD_LIMIT) -> DataFrame:
@@ -57,4 +72,5 @@ def find_symbols(symbols: DataFrame, aliases: DataFrame, replacements: DataFrame
     accepted = aliases.where("status = 'accepted'").select("symbol_id", "alias")
     shown = symbols.join(accepted, "symbol_id", "left").join(replacements.select("doc_id", F.col("original_start").alias("start"), "sanitized_text"), ["doc_id", "start"], "left")
     named = shown.withColumn("shown", F.coalesce("alias", "sanitized_text", "name"))
+    # ranges and qualified names are shown by render.project_ranges and symbols.project_qualified
     return named.where(F.contains(F.lower("shown"), F.lower(F.lit(query)))).select("symbol_id", "doc_id", "shown").orderBy("shown", "symbol_id").limit(min(max(limit, 1), HARD_LIMIT))

@@ -62,22 +62,49 @@ def parse_python(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def resolve(references: DataFrame, declarations: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Binds references to the visible declaration of their name: deepest scope first, then the latest before the reference.
+    """Binds references to declarations of their name, by tests in this order: visibility, kind, qualifier, arity, overload, deepest scope, latest before the reference.
 
     ``references(key, ref_id, name, scope, at)``, ``declarations(key, symbol_id, name, scope, at)``; scopes are arrays and a declaration is
-    visible where its scope is a prefix of the reference's. Result ``(key, ref_id, symbol_id, role)``: bound; unresolved if
-    several are as good; external if none is visible.
+    visible where its scope is a prefix of the reference's. Optional columns, each null where it does not matter: of references
+    ``kinds`` (those that fit), ``qualifier`` (labels that the declaration's ``labels`` end with; it makes declarations of any scope visible), ``enclosing_type`` and
+    ``receiver_type`` (declarations of this ``owner_type``; the latter is the only way to members), ``arity`` and ``argument_types``; of declarations ``kind``, ``labels``, ``owner_type``,
+    ``min_arity``, ``max_arity`` (null: any number), ``parameter_types``. An arity that no candidate takes decides nothing. Overloads are scored by equal types; a single best one wins.
+
+    Result ``(key, ref_id, symbol_id, role)``: bound; unresolved if several are as good; external if none is left.
     """
-    d = declarations.select(F.col(key).alias("d_key"), "symbol_id", F.col("name").alias("d_name"), F.col("scope").alias("d_scope"), F.col("at").alias("d_at"))
-    seen = references.join(d, (F.col(key) == F.col("d_key")) & (F.col("name") == F.col("d_name")) & (F.slice("scope", F.lit(1), F.size("d_scope")) == F.col("d_scope")))
+    r = _with(references, kinds="array<string>", qualifier="array<string>", enclosing_type="string", receiver_type="string", arity="int", argument_types="array<string>")
+    d = _with(declarations, kind="string", labels="array<string>", owner_type="string", min_arity="int", max_arity="int", parameter_types="array<string>")
+    d = d.select(*(F.col(c).alias(f"d_{c}") for c in (key, "symbol_id", "name", "scope", "at", "kind", "labels", "owner_type", "min_arity", "max_arity", "parameter_types")))
+    inside = F.slice("scope", F.lit(1), F.size("d_scope")) == F.col("d_scope")
+    member = F.col("d_owner_type").eqNullSafe(F.col("receiver_type"))
+    own = F.coalesce(F.col("d_owner_type") == F.col("enclosing_type"), F.lit(False))
+    seen = F.when(F.col("receiver_type").isNotNull(), member).when(F.col("qualifier").isNotNull(), True).otherwise(inside | own)
+    n = F.size("qualifier")
+    labelled = F.col("qualifier").isNull() | F.coalesce((F.size("d_labels") >= n) & (F.slice("d_labels", F.size("d_labels") - n + 1, n) == F.col("qualifier")), F.lit(False))
+    fits = seen & (F.col("kinds").isNull() | F.coalesce(F.array_contains("kinds", F.col("d_kind")), F.lit(False))) & labelled
+    # a qualifier longer than the labels would slice from a negative place, so the tests run after the join of names
+    named = r.join(d, (F.col(key) == F.col(f"d_{key}")) & (F.col("name") == F.col("d_name"))).where(fits)
+    each = W.partitionBy(key, "ref_id")
+    takes = F.coalesce((F.col("d_min_arity") <= F.col("arity")) & (F.col("d_max_arity").isNull() | (F.col("arity") <= F.col("d_max_arity"))), F.lit(False))
+    sized = named.withColumn("_takes", takes).withColumn("_any", F.max("_takes").over(each)).where("arity is null or _takes or not _any")
+    pairs = F.arrays_zip(F.col("argument_types").alias("a"), F.col("d_parameter_types").alias("p"))
+    same = F.when(F.size("d_parameter_types") >= F.size("argument_types"), F.size(F.filter(pairs, lambda x: x["a"] == x["p"])))
+    scored = sized.withColumn("_score", F.when(F.col("argument_types").isNotNull(), same)).withColumn("_best", F.max("_score").over(each))
+    alone = F.sum(F.when(F.col("_score") == F.col("_best"), 1).otherwise(0)).over(each) == 1
+    chosen = scored.withColumn("_alone", alone & (F.col("_best") > 0)).where("not coalesce(_alone, false) or _score = _best")
     before = F.when(F.col("d_at") <= F.col("at"), F.col("d_at")).otherwise(F.lit(-1))
-    best = seen.withColumn("_r", F.rank().over(W.partitionBy(key, "ref_id").orderBy(F.size("d_scope").desc(), before.desc()))).where("_r = 1")
-    found = best.groupBy(key, "ref_id").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("symbol_id"))
+    best = chosen.withColumn("_r", F.rank().over(each.orderBy(F.size("d_scope").desc(), before.desc()))).where("_r = 1")
+    found = best.groupBy(key, "ref_id").agg(F.count_distinct("d_symbol_id").alias("n"), F.min("d_symbol_id").alias("symbol_id"))
     joined = references.select(key, "ref_id").join(found, [key, "ref_id"], "left")
     role = F.when(F.col("n").isNull(), "external").when(F.col("n") > 1, "unresolved").otherwise("bound")
     return joined.select(key, "ref_id", F.when(F.col("n") == 1, F.col("symbol_id")).alias("symbol_id"), role.alias("role"))
 
 
+def _with(rows: DataFrame, **columns: str) -> DataFrame:
+    """The rows with columns that they lack as nulls."""
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in rows.columns})
+
+
 def stable_id(kind: str, *parts: str):  # noqa: ANN201
     return F.concat(F.lit(f"{kind}_"), F.substring(digest(F.lit(kind), *(F.col(p).cast("string") for p in parts)), 1, 16))
 
@@ -93,6 +120,11 @@ def references_of(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
     return symbols.join(counted, "symbol_id", "left").withColumns({"n_references": F.coalesce("n_references", F.lit(0)).cast("long"), "documents": F.coalesce("documents", F.lit(""))})
 
 
+def occurrences_of(occurrences: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All occurrences of wanted ``symbol_id``, in order of symbol, document and offset."""
+    return occurrences.join(wanted.select("symbol_id").distinct(), "symbol_id", "left_semi").orderBy("symbol_id", "doc_id", "start")
+
+
 def accepted_pairs(occurrences: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(original, alias)`` of accepted aliases that occur anywhere; aliases are the small side, which adaptive execution sees."""
     accepted = aliases.where("status = 'accepted'").select("symbol_id", "original", "alias")
@@ -157,10 +189,11 @@ def name_prefixes(head):  # noqa: ANN001, ANN201
 
 def linked_aliases(links: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(symbol_id, other_id, alias)``: accepted aliases of symbols that share a canonical one: ``links(canonical, linked)`` with itself."""
-    a, b = links.select("canonical", F.col("linked").alias("symbol_id")), links.select("canonical", F.col("linked").alias("other_id"))
-    pairs = a.join(b, "canonical").where("symbol_id <> other_id").select("symbol_id", "other_id").distinct()
     accepted = aliases.where("status = 'accepted'").select(F.col("symbol_id").alias("other_id"), "alias")
-    return pairs.join(accepted, "other_id").select("symbol_id", "other_id", "alias")
+    # only members with an alias are the other side, so a group of many members with few aliases stays linear
+    named = links.select("canonical", F.col("linked").alias("other_id")).distinct().join(accepted, "other_id")
+    members = links.select("canonical", F.col("linked").alias("symbol_id")).distinct()
+    return members.join(named, "canonical").where("symbol_id <> other_id").select("symbol_id", "other_id", "alias").distinct()
 
 
 def spread_aliases(components: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -43,27 +44,76 @@ def stale_embeddings(state: DataFrame, docs: DataFrame, key: str = "doc_id") ->
     return joined.select(F.coalesce(key, "s_key").alias(key), outcome.alias("outcome"))
 
 
-def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "chunk", batch: int = 64) -> DataFrame:
-    """Adds ``vector`` by a caller's model, a batch at a time; a failing call is tried three times."""
+class Busy(RuntimeError):
+    """A model's answer that it may be asked again, after ``retry_after`` seconds if it says so."""
+
+    def __init__(self, message: str = "busy", retry_after: float | None = None) -> None:
+        super().__init__(message)
+        self.retry_after = retry_after
+
+    def __reduce__(self):  # noqa: ANN204
+        return type(self), (str(self), self.retry_after)
+
+
+#: Tries of a batch, seconds before the second one (doubled for each further one), and the most that a model may make us wait.
+TRIES, FIRST_WAIT, LONGEST_WAIT = 3, 0.5, 30.0
+TRANSIENT = (Busy, TimeoutError, ConnectionError)
+
+
+def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "chunk", batch: int = 64, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Adds ``vector`` by a caller's model, a batch at a time.
+
+    A batch is tried three times where the failure may pass (``TRANSIENT``), after waiting as long as the model says (30 seconds at most) or half a second, then one. Other
+    errors are raised at once, and so is an answer with another number of vectors.
+    """
     ship(chunks.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", vector array<float>"
 
+    def ask(texts: list[str]) -> list[list[float]]:
+        for attempt in range(TRIES):
+            try:
+                found = model(texts)
+            except TRANSIENT as e:
+                if attempt == TRIES - 1:
+                    raise
+                asked = getattr(e, "retry_after", None)
+                wait(min(FIRST_WAIT * 2**attempt if asked is None else max(asked, 0.0), LONGEST_WAIT))
+            else:
+                if len(found) != len(texts):
+                    raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+                return found
+        raise AssertionError
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
-                for attempt in range(3):
-                    try:
-                        vectors = model(part[text].tolist())
-                        break
-                    except Exception:
-                        if attempt == 2:
-                            raise
-                yield part.assign(vector=vectors)
+                yield part.assign(vector=ask(part[text].tolist()))
 
     return chunks.mapInPandas(run, schema)
 
 
+def commit_embeddings(state: DataFrame, vectors: DataFrame, fresh: DataFrame, docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``(state, vectors)`` after an embedding run: ``fresh(key, sha, model, ...)`` counts only for documents whose hash is still that one.
+
+    Documents that are gone are swept from both tables, and a document's old rows go when its new ones come.
+    """
+    now = docs.select(F.col(key).alias("_key"), F.col("sha").alias("_sha"))
+    good = fresh.join(now, (F.col(key) == F.col("_key")) & (F.col("sha") == F.col("_sha")), "left_semi")
+    done = good.select(key, "sha", "model").distinct()
+    alive = lambda rows: rows.join(now, F.col(key) == F.col("_key"), "left_semi").join(done.select(key), key, "left_anti")
+    return alive(state).unionByName(done.select(state.columns)), alive(vectors).unionByName(good.select(vectors.columns))
+
+
+def search_gate(state: DataFrame, docs: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
+    """One row: how many documents have no vectors, vectors of another content, or of another model, and whether a search may go ahead."""
+    s = state.select(F.col(key).alias("_key"), F.col("sha").alias("_sha"), F.col("model").alias("_model"))
+    j = docs.select(key, "sha").join(s, F.col(key) == F.col("_key"), "left")
+    n = lambda c, name: F.count_if(c).alias(name)
+    counted = j.agg(n(F.col("_key").isNull(), "n_missing"), n(F.col("_key").isNotNull() & (F.col("_sha") != F.col("sha")), "n_stale"), n(F.col("_key").isNotNull() & (F.col("_model") != model), "n_other_model"))
+    return counted.withColumn("usable", (F.col("n_missing") == 0) & (F.col("n_stale") == 0) & (F.col("n_other_model") == 0))
+
+
 def semantic_search(chunks: DataFrame, query: Sequence[float], k: int, key: str = "chunk_id") -> DataFrame:
     """``(key, score, preview)``: vectors are scored first, texts fetched for the winners only (``k`` rows, so their side may be broadcast).
 

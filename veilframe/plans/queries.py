@@ -573,9 +573,9 @@ def latest_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("proposal_validation", """WITH p AS (SELECT doc_id, lang, source, text, CASE WHEN source = 'src1' THEN 'absentword' WHEN source = 'src2' THEN 'the' WHEN source = 'src3' THEN 'der' WHEN source = 'src4' THEN 'two words' ELSE regexp_extract(text, '[A-Za-z0-9_]+') END AS original_text,
    CASE WHEN source = 'src5' THEN 'wa_the_r' WHEN source = 'src6' THEN '9lives' WHEN source = 'src7' THEN 'fen' ELSE 'neutralname' END AS sanitized_text, CASE WHEN source = 'src8' THEN 'comment' WHEN source = 'src9' THEN 'string' ELSE 'identifier' END AS category, CASE WHEN source = 'src10' THEN 0.5 ELSE 0.9 END AS confidence FROM documents),
   n AS (SELECT *, replace(lower(original_text), '_', '') AS o, replace(lower(sanitized_text), '_', '') AS s FROM p),
-  r AS (SELECT doc_id, original_text, sanitized_text, confidence, CASE WHEN original_text = '' THEN 'empty original text' WHEN category = 'comment' THEN 'category is out of scope' WHEN NOT regexp_matches(original_text, '^[A-Za-z0-9_]+$') THEN 'original cannot be matched'
-    WHEN o = s THEN 'alias equals the original' WHEN NOT contains(text, original_text) THEN 'original does not occur' WHEN o = 'der' THEN 'allowlisted' WHEN o IN ('the', 'ation', 'ing') THEN 'already mapped' WHEN category = 'identifier' AND regexp_matches(sanitized_text, '^[0-9]') THEN 'alias is no identifier'
-    WHEN contains(s, 'the') OR contains(s, 'ation') OR contains(s, 'ing') THEN 'alias holds a term' WHEN s IN ('fen', 'mork', 'usk') THEN 'alias is taken' WHEN list_contains(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: replace(lower(x), '_', '')), s) THEN 'alias occurs in the text' END AS reason FROM n)
+  r AS (SELECT doc_id, original_text, sanitized_text, confidence, CASE WHEN original_text = '' THEN 'original is empty' WHEN category = 'comment' THEN 'only identifiers and strings are reviewed' WHEN NOT regexp_matches(original_text, '^[A-Za-z0-9_]+$') THEN 'original cannot be matched'
+    WHEN o = s THEN 'alias is the original again' WHEN NOT contains(text, original_text) THEN 'original does not occur' WHEN o = 'der' THEN 'allowlisted' WHEN o IN ('the', 'ation', 'ing') THEN 'already mapped' WHEN category = 'identifier' AND regexp_matches(sanitized_text, '^[0-9]') THEN 'alias is no identifier'
+    WHEN contains(s, 'the') OR contains(s, 'ation') OR contains(s, 'ing') THEN 'a term shows in the alias' WHEN s IN ('fen', 'mork', 'usk') THEN 'alias is taken' WHEN list_contains(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: replace(lower(x), '_', '')), s) THEN 'alias occurs in the text' END AS reason FROM n)
   SELECT doc_id, reason, CASE WHEN reason IS NULL THEN CASE WHEN original_text = 'The' THEN 'protected name' WHEN confidence < 0.8 THEN 'low confidence' ELSE 'clean' END END AS flag FROM r""")
 def proposal_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)

@@ -26,3 +26,26 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 def maintain(changes: DataFrame, one_pass: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Runs an index pass on each micro-batch of changed documents. A pass must be idempotent by its batch number."""
     return changes.writeStream.foreachBatch(one_pass).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def maintain_index(changes: DataFrame, state_root: str, terms: list[Term], checkpoint: str, salt: str = "", key: str = "doc_id") -> StreamingQuery:
+    """Keeps a versioned index state at ``state_root`` up to date with a stream of documents ``(key, text)``; a null text removes a document.
+
+    Each micro-batch is one index pass over the documents in it. The batch number is the state's version, so a batch that is run again after a failure finds its version
+    written and changes nothing.
+    """
+    from veilframe.operators import incremental, indexing
+    from veilframe.sources.corpus import current_version, read_snapshot, write_snapshot
+
+    def one(batch: DataFrame, number: int) -> None:
+        version = current_version(batch.sparkSession, state_root)
+        if version is not None and version >= number:
+            return
+        latest = batch.groupBy(key).agg(F.last("text").alias("text"))
+        listing = latest.where("text is not null").select(key, F.lit(0).cast("long").alias("mtime"), F.octet_length("text").cast("long").alias("length"))
+        state = indexing.empty_state(listing, key) if version is None else read_snapshot(batch.sparkSession, state_root)
+        touched = state.join(latest.select(key), key, "left_semi")
+        done = indexing.index_workspace(touched, listing, lambda due: latest.join(due, key, "left_semi"), terms, salt, key=key)
+        write_snapshot(incremental.merge(state, done.state, latest.select(key), key), state_root, number)
+
+    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
