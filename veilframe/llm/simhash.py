@@ -164,7 +164,9 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
                 fp = pdf["fp"].to_numpy()[at : at + 4096]
                 yield pd.DataFrame({"fp": fp, "near": simhash.codewords(fp)})
 
-    decoded = materialize(prints.select("fp").mapInPandas(decode, "fp long, near array<array<int>>"), "golay-words")
+    # a row of the decoded table becomes about 190 keys, so it is dealt out before
+    dealt = prints.select("fp").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    decoded = materialize(dealt.mapInPandas(decode, "fp long, near array<array<int>>"), "golay-words")
     index = decoded.select(F.col("fp").alias("a"), F.explode(keys(F.col("fp"), F.col("near"), True)).alias("key"))
     probe = decoded.select(F.col("fp").alias("b"), F.explode(keys(F.col("fp"), F.col("near"), False)).alias("key"))
     near_enough = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) & (F.col("a") != F.col("b"))
