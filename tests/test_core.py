@@ -14,12 +14,12 @@ from veilframe.operators import chunks, diffs, graph, incremental, paths, policy
 from veilframe.sources import corpus
 from veilframe.streaming import redact
 
-TERMS = [M.Term(*t) for t in (("AcmeClient", "acmeclient", "GadgetSvc", "dictionary"), ("shadowfax", "shadowfax", "sym_01", "denylist"), ("aa", "aa", "b_b", "dictionary"), ("ba", "ba", "q", "dictionary"))]
+TERMS = [M.Term(*t) for t in (("HarborMill", "harbormill", "PlainDock", "dictionary"), ("wrenlocke", "wrenlocke", "sym_01", "denylist"), ("aa", "aa", "b_b", "dictionary"), ("ba", "ba", "q", "dictionary"))]
 
 
 def test_matcher_cases():
     m = M.Matcher(TERMS[:2])
-    for a, b in {"AcmeClient": "GadgetSvc", "ACME_CLIENT": "GADGETSVC", "acmeClientFactory": "GadgetSvcFactory", "acmeclient": "gadgetsvc", "x_Acme_client9": "x_GadgetSvc9", "Shadowfax!": "Sym_01!", "shadow fax": "shadow fax", "é_acmeclient_é": "é_gadgetsvc_é"}.items():
+    for a, b in {"HarborMill": "PlainDock", "HARBOR_MILL": "PLAINDOCK", "harborMillFactory": "PlainDockFactory", "harbormill": "plaindock", "x_Harbor_mill9": "x_PlainDock9", "Wrenlocke!": "Sym_01!", "wren locke": "wren locke", "é_harbormill_é": "é_plaindock_é"}.items():
         assert m.replace(a) == b, a
     assert M.Matcher([M.Term("self", "self", "own", "d")], frozenset({"myself"})).replace("self myself yourself") == "self myself yourown"
     assert M.Matcher([M.Term("self", "self", "own", "d")], exempt=False).replace("self") == "own"
@@ -27,7 +27,7 @@ def test_matcher_cases():
     assert M.Matcher(TERMS).replace("baaa") == "qaa"
 
 
-words = st.lists(st.sampled_from(["Acme_Client", "ACMECLIENT", "shadow", "fax", "_", "é", "\n", " ", "aa", "ba", "b", "9", "🙂", "//", '"', "'", "#", "/*", "*/"]), max_size=30).map("".join)
+words = st.lists(st.sampled_from(["Harbor_Mill", "HARBORMILL", "wren", "locke", "_", "é", "\n", " ", "aa", "ba", "b", "9", "🙂", "//", '"', "'", "#", "/*", "*/"]), max_size=30).map("".join)
 
 
 @given(words, st.sampled_from(["text", "python", "go", "c", "markdown", "rust"]))
@@ -111,28 +111,28 @@ def test_globs():
 
 
 def test_text_functions(spark):
-    rows = spark.createDataFrame([("a\r\nb\r\n", "AcmeHTTPServer2_x", "./a//b/c.rs"), ("", "x", "../a"), ("one", "ABc", "/abs"), ("a\n\n", "", "node_modules/p.ts")], "t string, n string, p string")
+    rows = spark.createDataFrame([("a\r\nb\r\n", "HarborHTTPServer2_x", "./a//b/c.rs"), ("", "x", "../a"), ("one", "ABc", "/abs"), ("a\n\n", "", "node_modules/p.ts")], "t string, n string, p string")
     got = rows.select(T.lines(F.col("t")).alias("l"), T.dominant_eol(F.col("t")).alias("e"), T.identifier_tokens(F.col("n")).alias("k"), T.safe_path(F.col("p")).alias("s"), T.origin_of(F.col("p")).alias("o"), T.language_of(F.col("p")).alias("g"), T.is_run(F.col("n")).alias("r")).collect()
     assert [x.l for x in got] == [["a", "b"], [], ["one"], ["a", ""]] and got[0].e == "\r\n"
-    assert got[0].k == ["acme", "http", "server2", "x"] and got[2].k == ["a", "bc"]
+    assert got[0].k == ["harbor", "http", "server2", "x"] and got[2].k == ["a", "bc"]
     assert [x.s for x in got] == ["a/b/c.rs", None, None, "node_modules/p.ts"] and got[3].o == "dependency" and got[3].g == "typescript"
     assert [x.r for x in got] == [True, True, True, False]
 
 
 def test_render_frames(spark):
-    rows = [(1, "AcmeClient and ACME_CLIENT é"), (2, None), (3, ""), (4, "nothing"), (4, "nothing"), (None, "shadowfax")]
+    rows = [(1, "HarborMill and HARBOR_MILL é"), (2, None), (3, ""), (4, "nothing"), (4, "nothing"), (None, "wrenlocke")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     made = render.render(docs, TERMS)
     assert [tuple(r) for r in made.where("text is not null").select((render.reverse(made) == F.col("text")).alias("x")).distinct().collect()] == [(True,)]
     assert render.tiling_faults(made).count() == 0
-    assert {(r.doc_id, r.term) for r in render.leaks(docs, TERMS, "text").collect()} == {(1, "AcmeClient"), (None, "shadowfax")}
+    assert {(r.doc_id, r.term) for r in render.leaks(docs, TERMS, "text").collect()} == {(1, "HarborMill"), (None, "wrenlocke")}
     assert render.leaks(made.select("doc_id", "map.rendered"), TERMS[:2], "rendered").count() == 0
     one = made.where("doc_id = 1")
     spots = one.select(*(render.edit_conflicts(one, F.lit(a), F.lit(b)).alias(f"c{i}") for i, (a, b) in enumerate([(1, 2), (9, 9), (9, 14), (0, 0), (3, 3)]))).first()
     assert list(spots) == [True, False, False, False, True]
     offsets = one.select(render.project_offset(F.lit(10)).alias("a"), render.project_offset(F.lit(3)).alias("b"), render.project_offset(F.lit(3), end=True).alias("c")).first()
     assert list(offsets) == [9, 0, 9]
-    known = policy.term_table(policy.entries(spark, [("dictionary", "AcmeClient", "GadgetSvc")]), "s")
+    known = policy.term_table(policy.entries(spark, [("dictionary", "HarborMill", "PlainDock")]), "s")
     assert verify.verify_renders(made.where("doc_id = 1"), policy.collect_terms(known), known).count() == 0
     assert render.replace_longest(F.col("text"), []) is not None
     pairs = [("ab", "1"), ("abc", "2"), ("c", "3")]
@@ -146,16 +146,16 @@ def test_policies(spark):
 
 
 def test_paths(spark):
-    files = spark.createDataFrame([("acmeclient/shadowfax.rs",), ("acmeclient/x.shadowfax",), (".shadowfax",)], "path string")
+    files = spark.createDataFrame([("harbormill/wrenlocke.rs",), ("harbormill/x.wrenlocke",), (".wrenlocke",)], "path string")
     projected = paths.project_paths(files, TERMS[:2])
-    assert {r.projected for r in projected.collect()} == {"gadgetsvc/sym_01.rs", "gadgetsvc/x.shadowfax", ".sym_01"}
+    assert {r.projected for r in projected.collect()} == {"plaindock/sym_01.rs", "plaindock/x.wrenlocke", ".sym_01"}
     mapped = paths.path_map(projected)
     assert paths.path_collisions(mapped).count() == 0
     clash = paths.path_map(spark.createDataFrame([("a/X", "p/q"), ("b/y", "P/q")], "path string, projected string"))
     assert paths.path_collisions(clash).count() == 2
-    asked = spark.createDataFrame([("gadgetsvc/new/f.rs",), ("GadgetSvc/sym_01.rs",), ("gadgetsvc/sym_01.rs/below",)], "asked string")
-    assert {r.asked: r.real for r in paths.resolve_new(asked, mapped).collect()} == {"gadgetsvc/new/f.rs": "acmeclient/new/f.rs"}
-    assert {r.asked: r.real for r in paths.resolve(asked, mapped).collect()}["GadgetSvc/sym_01.rs"] == "acmeclient/shadowfax.rs"
+    asked = spark.createDataFrame([("plaindock/new/f.rs",), ("PlainDock/sym_01.rs",), ("plaindock/sym_01.rs/below",)], "asked string")
+    assert {r.asked: r.real for r in paths.resolve_new(asked, mapped).collect()} == {"plaindock/new/f.rs": "harbormill/new/f.rs"}
+    assert {r.asked: r.real for r in paths.resolve(asked, mapped).collect()}["PlainDock/sym_01.rs"] == "harbormill/wrenlocke.rs"
 
 
 def test_incremental_rerun_and_single_edit(spark):
@@ -250,8 +250,8 @@ def test_diff_cases(spark):
     got = diffs.apply_patches(rows).collect()
     assert [r.after for r in got] == [None, None, None, ""] and all(r.reason for r in got[:3])
     assert diffs.parse_patches(rows).select(F.explode_outer("files").alias("f")).count() == 4
-    planned = diffs.plan_modifications(spark.createDataFrame([("AcmeClient a\nx", "GadgetSvc a\nx", "GadgetSvc a\nGadgetSvc y"), ("a", "a\nb", "c")], "text string, rendered string, edited string"), TERMS[:1]).collect()
-    assert planned[0].planned == "AcmeClient a\nAcmeClient y" and planned[1].reason
+    planned = diffs.plan_modifications(spark.createDataFrame([("HarborMill a\nx", "PlainDock a\nx", "PlainDock a\nPlainDock y"), ("a", "a\nb", "c")], "text string, rendered string, edited string"), TERMS[:1]).collect()
+    assert planned[0].planned == "HarborMill a\nHarborMill y" and planned[1].reason
     docs = spark.createDataFrame([(1, "héllo"), (2, "abc"), (3, "abc")], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 1, 3, "e"), (2, 0, 2, "x"), (2, 1, 2, "y"), (3, 3, 3, "!"), (1, 6, 6, "."), (3, 0, 0, "")], "doc_id long, start long, end long, replacement string")
     assert {r.doc_id: (r.after, r.status) for r in diffs.apply_edits(docs, edits).collect()} == {1: ("hello.", "applied"), 2: (None, "conflict"), 3: ("abc!", "applied")}
@@ -284,11 +284,11 @@ def test_corpus_files(spark, tmp_path):
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    (source / "a.txt").write_text("AcmeClient at host.example\nplain\n")
+    (source / "a.txt").write_text("HarborMill at host.example\nplain\n")
     lines = spark.readStream.text(str(source))
     done = redact.write_stream(redact.redact_lines(lines, [("host.example", "H")], TERMS[:1]), str(tmp_path / "out"), str(tmp_path / "cp"))
     done.awaitTermination(60)
-    assert {r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"GadgetSvc at H", "plain"}
+    assert {r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"PlainDock at H", "plain"}
     batches = []
     redact.maintain(lines, lambda df, n: batches.append(df.count()), str(tmp_path / "cp2")).awaitTermination(60)
     assert batches == [2]

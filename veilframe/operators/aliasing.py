@@ -84,11 +84,12 @@ def accept_aliases(candidates: DataFrame, symbol_table: DataFrame, aliases: Data
     judged = materialize(validate_aliases(candidates, symbol_table, aliases, links, lexical), "alias-candidates")
     alike = equivalents(links, judged.where("reason is null"))
     originals = symbol_table.select(F.col("symbol_id").alias("other_id"), F.col("name").alias("original"))
-    spread = judged.where("reason is null").join(alike, "symbol_id").join(originals, "other_id")
+    own = symbol_table.select("symbol_id", normalize_term(F.col("name")).alias("_own"))
+    spread = judged.where("reason is null").join(own, "symbol_id").join(alike, "symbol_id").join(originals, "other_id")
     rank = F.struct((-F.col("confidence")).alias("c"), F.col("symbol_id").alias("s"))
-    owner = F.first(normalize_term(F.col("original"))).over(W.partitionBy(normalize_term(F.col("alias"))).orderBy(rank))
+    owner = F.first("_own").over(W.partitionBy(normalize_term(F.col("alias"))).orderBy(rank))
     ranked = spread.withColumns({"_owner": owner, "_n": F.row_number().over(W.partitionBy("other_id").orderBy(rank))})
-    fine = (F.col("_owner") == normalize_term(F.col("original"))) & (F.col("_n") == 1)
+    fine = (F.col("_owner") == F.col("_own")) & (F.col("_n") == 1)
     kept = materialize(ranked.where(fine).select(F.col("other_id").alias("symbol_id"), "original", "alias", F.lit("accepted").alias("status"), "source", "confidence", F.lit(revision).cast("long").alias("revision"), F.col("symbol_id").alias("_by")), "alias-accepted")
     after = aliases.join(kept.select("symbol_id"), "symbol_id", "left_anti").unionByName(kept.select(aliases.columns))
     won = kept.select(F.col("_by").alias("symbol_id"), "alias").distinct().withColumn("_won", F.lit(True))

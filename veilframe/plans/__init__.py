@@ -1 +1,3 @@
-"""Ready-made queries over the driver's tables."""
+"""Queries over the driver's tables."""
+
+from veilframe.plans import queries, workspace  # noqa: F401

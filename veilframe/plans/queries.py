@@ -24,7 +24,7 @@ SALT = "corpus"
 #: The policy of the text queries: no alias holds a term and no term's end begins another, so SQL may replace term by term.
 POLICY = [("dictionary", "the", "fen"), ("dictionary", "ation", "mork"), ("denylist", "ing", None), ("alias-registry", "ing", "usk"), ("allowlist", "und", None), ("denylist", "Und", None)]
 #: A policy with something wrong of every sort.
-FAULTY = [("dictionary", "acme_client", "widget"), ("dictionary", "shadowfax", "wid_get"), ("denylist", "!?", None), ("dictionary", "privatecorp", "not ok"), ("alias-registry", "north", "northwind"), ("denylist", "gull", None)]
+FAULTY = [("dictionary", "harbor_mill", "widget"), ("dictionary", "wrenlocke", "wid_get"), ("denylist", "!?", None), ("dictionary", "quietcorp", "not ok"), ("alias-registry", "north", "northwind"), ("denylist", "gull", None)]
 PAIRS = [("example.com", "host.invalid"), ("mail1.example.com", "relay.invalid"), ("Apache License", "LICENSE-A"), ("Apache License, Version 2.0", "LICENSE-A2"), ("the", "THE")]
 
 
@@ -81,7 +81,7 @@ def term_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.term_table(policy.entries(spark, POLICY), SALT)
 
 
-@query("policy_violations", "SELECT * FROM (VALUES ('unmatchable term', '!?', NULL), ('unmatchable alias', 'privatecorp', 'not ok'), ('shared alias', 'shadowfax', 'acme_client'), ('alias holds a term', 'north', 'north')) t(\"check\", raw, other)")
+@query("policy_violations", "SELECT * FROM (VALUES ('unmatchable term', '!?', NULL), ('unmatchable alias', 'quietcorp', 'not ok'), ('shared alias', 'wrenlocke', 'harbor_mill'), ('alias holds a term', 'north', 'north')) t(\"check\", raw, other)")
 def policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.policy_violations(policy.entries(spark, FAULTY), SALT)
 
@@ -175,9 +175,14 @@ def alias_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.alias_collisions(_docs(spark, sf_dir), terms)
 
 
-@query("audit", _PARTS + " SELECT lower(original_text) AS term, 'identifier' AS category, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM s GROUP BY 1")
+_LINE_BEFORE = "regexp_extract(array_to_string(list_transform(range(1, i + 1), lambda k: CASE WHEN k < i THEN hits[2 * k - 1] || hits[2 * k] ELSE hits[2 * k - 1] END), ''), '[^\\n]*$')"
+_ZONES = _PARTS.replace(" u AS (", " z AS (SELECT doc_id, list_concat(flatten(list_transform(range(1, len(hit) + 1), lambda k: [gap[k], hit[k]])), ['']) AS hits FROM m),\n u AS (")
+
+
+@query("audit", _ZONES + f", l AS (SELECT doc_id, i, lower(original_text) AS term, {_LINE_BEFORE} AS line FROM s JOIN z USING (doc_id)) SELECT term, CASE WHEN regexp_matches(line, '//|#') THEN 'comment' ELSE 'identifier' END AS category, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM l GROUP BY ALL")
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = render.audit(_rendered(spark, sf_dir)).withColumn("category", F.when(F.col("category") == "comment", "identifier").otherwise(F.col("category")))
+    """Replacements by term and zone: in texts without a language what stands behind ``//`` or ``#`` on a line is a comment."""
+    listed = render.audit(_rendered(spark, sf_dir))
     return listed.groupBy(F.lower("original_text").alias("term"), "category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_documents"))
 
 
@@ -342,7 +347,14 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.line_chunks(_docs(spark, sf_dir), 4, 1)
 
 
-@query("byte_chunks")
+_END = "list_min(list_filter(range({a} + 1, len(ls) + 1), lambda e: e = len(ls) OR list_sum(sz[{a} + 1 : e]) >= 600 OR list_sum(sz[{a} + 1 : e + 1]) > 600))"
+
+
+@query("byte_chunks", f"""WITH RECURSIVE p AS (SELECT doc_id, string_split(text, chr(10)) AS r FROM documents), d AS (SELECT doc_id, list_filter(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i < len(r) THEN r[i] || chr(10) ELSE r[i] END), lambda x: x <> '') AS ls FROM p),
+ q AS (SELECT doc_id, ls, list_transform(ls, lambda x: strlen(x)) AS sz FROM d),
+ c(doc_id, ls, sz, i, a, z, o) AS (SELECT doc_id, ls, sz, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(coalesce({_END.format(a="0")}, 1) AS BIGINT), CAST(0 AS BIGINT) FROM q
+  UNION ALL SELECT doc_id, ls, sz, i + 1, b, CAST({_END.format(a="b")} AS BIGINT), z FROM (SELECT *, z - least(1, (z - a) // 2) AS b FROM c WHERE z < len(ls)))
+ SELECT doc_id, i AS chunk_index, a + 1 AS start_line, z AS end_line, o + 1 AS core_start_line, coalesce(array_to_string(ls[a + 1 : z], ''), '') AS chunk FROM c""")
 def byte_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.byte_chunks(_docs(spark, sf_dir), 600, 1)
 
@@ -408,14 +420,14 @@ def ancestor_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared_lines(docs: DataFrame) -> DataFrame:
-    """Edges between documents of an equal long line, as a star around the smallest: a line's documents stay linear."""
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.length("line") >= 40)
+    """Edges between documents that share a line with a letter or digit, as a star around the smallest: a line's documents stay linear."""
+    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.col("line").rlike("[A-Za-z0-9]"))
     first = lines.groupBy(F.xxhash64("line").alias("h"), F.length("line").alias("n")).agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
     hashed = lines.select("doc_id", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
     return hashed.join(first, ["h", "n"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
 
 
-_LINKS = """WITH RECURSIVE l AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 40),
+_LINKS = """WITH RECURSIVE l AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[A-Za-z0-9]')),
  f AS (SELECT line, min(doc_id) AS a FROM l GROUP BY line), e AS (SELECT DISTINCT a, doc_id AS b FROM l JOIN f USING (line) WHERE doc_id > a), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  c(node, other) AS (SELECT a, a FROM g UNION SELECT node, g.b FROM c JOIN g ON other = g.a)"""
 
@@ -485,20 +497,18 @@ def containing_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.containing(points, _line_intervals(docs))
 
 
-@query("resolve_visible", """WITH r AS (SELECT conv_id, turn, role FROM conversations), c AS (SELECT r.conv_id, r.turn, d.turn AS dt, CASE WHEN d.turn <= r.turn THEN d.turn ELSE -1 END AS before FROM r JOIN r d ON r.conv_id = d.conv_id AND r.role = d.role AND d.role <> 'system' AND d.turn <> r.turn),
-  b AS (SELECT conv_id, turn, count(*) AS n, min(dt) AS dt FROM (SELECT *, rank() OVER (PARTITION BY conv_id, turn ORDER BY before DESC) AS k FROM c) WHERE k = 1 GROUP BY ALL)
+@query("resolve_visible", """WITH r AS (SELECT conv_id, turn, role FROM conversations WHERE turn % 2 = 0), d AS (SELECT conv_id, turn AS dt, role, CASE WHEN turn % 4 = 1 THEN turn // 4 END AS block, CASE WHEN turn % 3 = 0 THEN 'type' ELSE 'value' END AS kind FROM conversations WHERE turn % 2 = 1),
+  c AS (SELECT r.conv_id, r.turn, dt, CASE WHEN block IS NULL THEN 0 ELSE 1 END AS depth, CASE WHEN dt <= r.turn THEN dt ELSE -1 END AS before FROM r JOIN d ON r.conv_id = d.conv_id AND r.role = d.role AND (block IS NULL OR block = r.turn // 4) AND (r.turn % 8 <> 0 OR kind = 'value')),
+  b AS (SELECT conv_id, turn, count(DISTINCT dt) AS n, min(dt) AS dt FROM (SELECT *, rank() OVER (PARTITION BY conv_id, turn ORDER BY depth DESC, before DESC) AS k FROM c) WHERE k = 1 GROUP BY ALL)
   SELECT r.conv_id, r.turn AS ref_id, CASE WHEN n = 1 THEN dt END AS symbol_id, CASE WHEN n IS NULL THEN 'external' WHEN n > 1 THEN 'unresolved' ELSE 'bound' END AS role FROM r LEFT JOIN b ON r.conv_id = b.conv_id AND r.turn = b.turn""")
 def resolve_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns refer to turns of their role: the nearest before; several later ones are ambiguous."""
+    """Even turns refer to odd ones of their role: those of their block of four come before those that are global, then the latest before; every eighth turn takes values only."""
     turns = table(spark, sf_dir, "conversations")
-    references = turns.select("conv_id", F.col("turn").alias("ref_id"), F.concat("role", F.col("turn").cast("string")).alias("own"), F.col("role").alias("name"), F.array(F.lit(0)).alias("scope"), F.col("turn").alias("at"))
-    declared = turns.where("role <> 'system'").select("conv_id", F.col("turn").alias("symbol_id"), F.col("role").alias("name"), F.array(F.lit(0)).alias("scope"), F.col("turn").alias("at"))
-    # a turn is no antecedent of itself: its own declaration is put out of its reference's reach
-    own = references.select("conv_id", "ref_id", "name", "scope", F.col("at"))
-    pairs = own.join(declared.select("conv_id", "name", "symbol_id", F.col("at").alias("d_at")), ["conv_id", "name"]).where("symbol_id <> ref_id")
-    split = pairs.select("conv_id", "ref_id", "symbol_id", F.concat("name", F.lit("#"), F.col("ref_id").cast("string")).alias("name"), "scope", F.col("d_at").alias("at"))
-    named = own.withColumn("name", F.concat("name", F.lit("#"), F.col("ref_id").cast("string")))
-    return symbols.resolve(named, split, "conv_id")
+    block = F.floor(F.col("turn") / 4)
+    references = turns.where("turn % 2 = 0").select("conv_id", F.col("turn").alias("ref_id"), F.col("role").alias("name"), F.array(block, F.col("turn")).alias("scope"), F.col("turn").alias("at"), F.when(F.col("turn") % 8 == 0, F.array(F.lit("value"))).alias("kinds"))
+    scope = F.when(F.col("turn") % 4 == 1, F.array(block)).otherwise(F.array().cast("array<bigint>"))
+    declared = turns.where("turn % 2 = 1").select("conv_id", F.col("turn").alias("symbol_id"), F.col("role").alias("name"), scope.alias("scope"), F.col("turn").alias("at"), F.when(F.col("turn") % 3 == 0, "type").otherwise("value").alias("kind"))
+    return symbols.resolve(references, declared, "conv_id")
 
 
 @query("references_agg", "SELECT p_partkey AS symbol_id, coalesce(n, 0) AS n_references, coalesce(d, '') AS documents FROM (SELECT DISTINCT p_partkey FROM part) p LEFT JOIN (SELECT l_partkey, count(*) AS n, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS d FROM lineitem GROUP BY 1) l ON l_partkey = p_partkey")
@@ -525,13 +535,14 @@ def alias_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.ambiguous_aliases(pairs)
 
 
-@query("find_symbols", "SELECT p_partkey AS symbol_id, p_size AS doc_id, CASE WHEN p_size > 25 THEN 'Alias_' || p_partkey ELSE p_name END AS shown FROM part WHERE contains(lower(CASE WHEN p_size > 25 THEN 'Alias_' || p_partkey ELSE p_name END), 'as_1') ORDER BY 3, 1 LIMIT 1000")
+@query("find_symbols", "SELECT p_partkey AS symbol_id, p_partkey AS doc_id, shown FROM (SELECT p_partkey, CASE WHEN p_size > 25 THEN 'Alias_' || p_partkey WHEN p_partkey % 3 = 0 THEN 'Text_as_1' || p_partkey ELSE p_name END AS shown FROM part) WHERE contains(lower(shown), 'as_1') ORDER BY 3, 1 LIMIT 1000")
 def find_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted aliases come before lexical replacements at a symbol's place, these before its own name; replacements elsewhere and stale aliases do not count."""
     part = table(spark, sf_dir, "part")
-    known = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_size").alias("doc_id"), F.col("p_name").alias("name"), F.lit(0).alias("start"))
-    aliases = part.where("p_size > 25").select(F.col("p_partkey").alias("symbol_id"), F.concat(F.lit("Alias_"), F.col("p_partkey").cast("string")).alias("alias"), F.lit("accepted").alias("status"))
-    none = part.where("false").select(F.col("p_size").alias("doc_id"), F.lit(0).alias("original_start"), F.lit("").alias("sanitized_text"))
-    return search.find_symbols(known, aliases, none, "AS_1")
+    known = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"), F.lit(4).alias("start"))
+    aliases = part.select(F.col("p_partkey").alias("symbol_id"), F.concat(F.lit("Alias_"), F.col("p_partkey").cast("string")).alias("alias"), F.when(F.col("p_size") > 25, "accepted").otherwise("stale").alias("status"))
+    replaced = part.select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_partkey") % 3 == 0, 4).otherwise(5).alias("original_start"), F.concat(F.lit("Text_as_1"), F.col("p_partkey").cast("string")).alias("sanitized_text"))
+    return search.find_symbols(known, aliases, replaced, "AS_1")
 
 
 @query("rebind", "SELECT o.l_orderkey AS doc_id, o.l_linenumber AS \"start\", CASE WHEN o.l_returnflag = 'R' THEN 'sym' || o.l_partkey ELSE NULL END AS symbol_id, CASE WHEN o.l_returnflag = 'R' THEN 'reference' ELSE 'unresolved' END AS role FROM lineitem o")
@@ -549,7 +560,8 @@ def declaration_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.declaration_ordinals(rows).select("l_orderkey", "l_linenumber", "ordinal")
 
 
-@query("python_symbols")
+@query("python_symbols", """SELECT p_partkey AS doc_id, kind, CASE name WHEN '*' THEN 'part_' || p_partkey ELSE name END AS name, role, start_line
+  FROM part, (VALUES ('FunctionDef', '*', 'declaration', 1), ('arg', 'size', 'declaration', 1), ('Name', 'size', 'reference', 2), ('Name', 'print', 'reference', 4), ('Name', '*', 'reference', 4)) t(kind, name, role, start_line)""")
 def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated Python sources, one a part, through the parser."""
     name = F.concat(F.lit("part_"), F.col("p_partkey").cast("string"))
@@ -618,12 +630,14 @@ def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEXT = "(SELECT a.conv_id, a.turn, a.text AS old, b.text AS new FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
-@query("diff_apply", f"SELECT conv_id, turn, sha256(rtrim(new, chr(10))) AS digest, CAST(NULL AS VARCHAR) AS reason FROM {_NEXT}")
+@query("diff_apply", f"SELECT conv_id, turn, sha256(new || chr(10)) AS digest, CAST(NULL AS VARCHAR) AS reason FROM {_NEXT}")
 def diff_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _turn_pairs(spark, sf_dir).withColumn("path", F.lit("turn.txt"))
+    """Texts whose last line is ended, since lines that a patch adds always are."""
+    ended = lambda c: F.concat(c, F.lit("\n")).alias(c)
+    pairs = _turn_pairs(spark, sf_dir).select("conv_id", "turn", ended("old"), ended("new"), F.lit("turn.txt").alias("path"))
     patched = pairs.withColumn("patch", diffs.diff_texts(pairs, "old", "new", "path"))
     done = diffs.apply_patches(patched, "old", "patch")
-    return done.select("conv_id", "turn", F.sha2(F.regexp_replace("after", "\n+$", ""), 256).alias("digest"), "reason")
+    return done.select("conv_id", "turn", F.sha2("after", 256).alias("digest"), "reason")
 
 
 @query("diff_parse", f"SELECT conv_id, turn, CASE WHEN old = new THEN 0 ELSE 1 END AS n_files, CAST(CASE WHEN old = new THEN 0 ELSE 1 END AS BIGINT) AS changed FROM {_NEXT}")
@@ -662,11 +676,11 @@ def overlapping_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.overlapping_edits(edits.where(F.col("end") >= F.col("start")))
 
 
-@query("translate_edits", "SELECT doc_id, sha256(text || chr(10) || 'added line') AS digest, CAST(NULL AS VARCHAR) AS reason FROM documents")
+@query("translate_edits", "SELECT doc_id, sha256(text || chr(10) || 'See the tradING') AS digest, CAST(NULL AS VARCHAR) AS reason FROM documents")
 def translate_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A neutral line is added to every render and told back; texts that already hold an alias word may come with a reason."""
+    """A line with aliases in two casings is added to every render and told back."""
     made = _rendered(spark, sf_dir).select("doc_id", "text", F.col("map.rendered").alias("rendered"))
-    edited = made.withColumn("edited", F.concat("rendered", F.lit("\nadded line")))
+    edited = made.withColumn("edited", F.concat("rendered", F.lit("\nSee fen tradUSK")))
     return diffs.plan_modifications(edited, _terms(spark)).select("doc_id", F.sha2("planned", 256).alias("digest"), "reason")
 
 
