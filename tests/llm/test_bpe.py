@@ -31,6 +31,14 @@ def test_long_pieces(text):
     assert encode(text) == LIBRARY.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("pattern", [r"\S+|\s+", r"[a-z]+ ?|(?:[^a-z])", r"\p{L}+|\p{N}{1,3}|\s+|[^\s\p{L}\p{N}]+"])
+def test_other_patterns(pattern):
+    own = bpe.Encoder(bpe.read_ranks(DATA), pattern)
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.read_ranks(DATA), special_tokens={})
+    texts = ["the quick brown fox", "a b  c\n d 1234 é", " lead", "trail ", ""]
+    assert [x.tolist() for x in own.encode_batch(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_a_forgetful_worker_gives_the_same_ids(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     monkeypatch.setattr(bpe, "GROUP_CHARS", 10)

@@ -293,6 +293,16 @@ def test_url_query_against_sql(spark, sf_dir):
     assert same_rows(queries.op8_url_rules(spark, sf_dir), con.sql(queries.ORACLE_SQL["op8_url_rules"]))
 
 
+def test_native_operators_on_empty_and_clashing_tables(spark):
+    docs = spark.createDataFrame([(1, "MIT License " * 20, "en", "s", "x", 1, 2), (None, None, None, None, None, None, None), (1, "MIT License " * 20, "en", "s", "x", 1, 2)], "doc_id long, text string, lang string, source string, kept string, norm int, _text int")
+    empty = docs.limit(0)
+    assert quality.quality(empty).count() == licenses.license_scan(empty).count() == licenses.license_detections(empty).count() == 0
+    assert quality.quality(docs).count() == licenses.license_scan(docs).count() == 3
+    turns = spark.createDataFrame([(i // 2, i % 2, "assistant", "long " * 30_000 if i < 2 else f"t{i}", 1, "x") for i in range(6)], "conv_id long, turn long, role string, text string, pair_id int, c string")
+    pairs = lambda t: chat.preference_pairs(t, F.floor(F.col("conv_id") / 2).cast("long"), F.col("conv_id") % 2 == 0)
+    assert pairs(turns.limit(0)).count() == 0 and [r.n_common for r in pairs(turns).collect()] == [0]
+
+
 def test_native_operators_plan_no_python(spark, sf_dir, capsys):
     for q in (queries.op4_license_rules, queries.op5_adaptive_quality, queries.op7_preference_chat):
         plan = json.dumps(str(q(spark, sf_dir)._jdf.queryExecution().executedPlan()))

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,8 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pairs = ranks, PairTable(ranks)
         self.pattern = regex.compile(pattern)
+        # only of the published pattern is it known where a space begins a match
+        self.space_led = pattern == public_tokenizers.PATTERN
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.token_bytes = {r: t for t, r in ranks.items()}
         size = max(self.token_bytes) + 1
@@ -182,15 +185,19 @@ class Encoder:
     def chunks(self, text: str) -> list[str]:
         """Stretches of the text that may be encoded one by one.
 
-        A single space between characters that are not white space always begins a match of the pattern: the matches
+        A single space between characters that are not white space always begins a match of the published pattern: the matches
         that may hold a space hold it in front or within white space. A text whose spaces are all such is cut
-        there, so that most chunks are words; any other text is cut into the pattern's matches at once.
+        there, so that most chunks are words; any other text, and any text by another pattern, is cut into the pattern's matches at once.
         """
-        if self._odd_space.search(text):
-            return self.pattern.findall(text)
+        if not self.space_led or self._odd_space.search(text):
+            return self.matches(text)
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
+    def matches(self, text: str) -> list[str]:
+        """The pattern's matches; what it does not match is left out, as the library does."""
+        return [m[0] for m in self.pattern.finditer(text)]
+
     def encode_batch(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Token ids of whole texts, as int32 arrays, in their order; null texts count as empty.
 
@@ -217,7 +224,7 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         names = sorted(chunks)
-        pieces = [[p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for c in names]
+        pieces = [[p.encode("utf-8", "surrogatepass") for p in self.matches(c)] for c in names]
         different = sorted({p for own in pieces for p in own})
         ids = dict(zip(different, self.encode_pieces(different), strict=True))
         for c, own in zip(names, pieces, strict=True):
@@ -317,7 +324,8 @@ def _map_texts(docs: DataFrame, shared, text: str, keep: tuple[str, ...], result
 def round_trip(docs: DataFrame, shared, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:  # noqa: ANN001
     """The kept columns with ``n_tokens``, and digests of the ids as little-endian uint32 and of the bytes decoded from them.
 
-    A row for each row. Null and empty texts have no ids and the digests of no bytes. Special tokens' strings are ordinary text.
+    A row for each row. Null and empty texts have no ids and the digests of no bytes. Special tokens' strings are ordinary text. Repeated rows and null ids stay as they are; a very
+    long text is one row's work, in time near its length (pieces over ``MATRIX_BYTES`` take a heap). An empty table gives an empty one. Columns that are not kept are not read; kept ones must not be named like a result.
     """
 
     def build(own: Encoder, texts: list[str | None], ids: list[np.ndarray]) -> dict[str, pa.Array]:

@@ -49,7 +49,8 @@ def preference_pairs(conversations: DataFrame, pair: Column, chosen: Column) ->
     ``pair`` gives each turn's pair (turns of none: null), ``chosen`` whether it belongs to the pair's chosen
     conversation. Turns are ordered by ``turn``, ties by role and text, nulls first; a null role or text renders as
     nothing. Pairs of which a side has no turn are left out, as there is nothing to prefer. One shuffle brings a
-    pair's turns together: they are the row that is returned.
+    pair's turns together: they are the row that is returned, so a very long conversation takes the memory of its own row several times over. Repeated turns stay,
+    as turns that tie. Columns but turn, role, text and what ``pair`` and ``chosen`` use are not read, whatever their names; an empty table gives an empty one.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sides = conversations.select(pair.alias("pair_id"), chosen.alias("_chosen"), turn.alias("_turn")).where(F.col("pair_id").isNotNull() & F.col("_chosen").isNotNull())

@@ -136,7 +136,9 @@ def fences(sketches: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)``, a row for each row of ``docs``.
 
-    Null languages and sources are cells as any other. Texts that the fixed rules fail take no part in the sketches.
+    Null languages and sources are cells as any other. Texts that the fixed rules fail take no part in the sketches. Null and empty texts have no words, which the fixed rules
+    fail. A very long text is measured whole; its words are held as one array, and windows are only sorted where a hash repeats. Rows that tie at a fence are kept; repeated rows, and rows
+    without ids, are judged each by itself and all count in the sketches. Columns but id, text, lang and source are not read, whatever their names; an empty table gives an empty one.
     """
     measured = measure(docs.select(F.col(id_col).alias("_id"), F.col("lang"), F.col("source"), F.col(text).alias("_body")), "_body", ("_id", "lang", "source"))
     measured = materialize(with_measures(measured).withColumn("base_failed", base_failed()), "quality-measures")
