@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import matcher as M
 from veilframe.operators import aliasing, chunks, diffs, graph, indexing, patching, paths, policy, render, review, symbols, transactions, vectors, verify
-from veilframe.sources import corpus
+from veilframe.sources import corpus, scratch
 from veilframe.streaming import redact
 
 TERMS = [M.Term("Northwind", "northwind", "PlainDock", "dictionary"), M.Term("zephyr", "zephyr", "sym_01", "denylist")]
@@ -60,6 +60,22 @@ def test_snapshots_by_expected_version(spark, tmp_path):
     assert corpus.read_snapshot(spark, root).count() == 7
 
 
+def test_scratch_tables_go_with_their_space(spark):
+    with scratch.scratch_space(spark) as outer:
+        kept = scratch.materialize(spark.range(3), "outer")
+        with scratch.scratch_space(spark) as made:
+            inner = scratch.materialize(spark.range(4), "inner")
+            saved = scratch.materialize(spark.range(5), "saved")
+            made.remove(next(p for p in made if "/saved-" in p))
+            where = [scratch.written_by(x) for x in (kept, inner, saved)]
+        assert saved.count() == 5 and kept.count() == 3
+        with pytest.raises(Exception, match="(?i)not.*exist"):
+            inner.count()
+        assert len(outer) == 3 and all(len(w) == 1 for w in where)
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        saved.count()
+
+
 # -- index ------------------------------------------------------------------------------------------------------------
 
 

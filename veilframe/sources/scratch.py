@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import io
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,13 +40,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and return a frame that reads it.
 
     It cuts lineage as ``checkpoint()`` does, but computes ``df`` once instead of twice and keeps
-    columns prunable. A lost executor loses nothing: the files are in shared storage.
+    columns prunable. A lost executor loses nothing: the files are in shared storage. They stay until ``scratch_space`` ends around the call, or
+    the folder does.
     """
     path = f"{scratch_dir(df.sparkSession)}/veilframe/{name}-{uuid.uuid4().hex}"
+    for made in _spaces.get():
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The lists of scratch tables of the spaces that are open, the innermost last.
+_spaces: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch spaces", default=())
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end the scratch tables that were made inside, but those that are taken off the list it gives.
+
+    What reads such a table must be written before: ``with scratch_space(spark): query(...).write.parquet(out)``.
+    """
+    made: list[str] = []
+    token = _spaces.set((*_spaces.get(), made))
+    try:
+        yield made
+    finally:
+        _spaces.reset(token)
+        remove(spark, made)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables by the file system they are in."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        place = jvm.org.apache.hadoop.fs.Path(p)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def written_by(df: DataFrame) -> set[str]:
+    """The folders that a frame of ``materialize`` reads."""
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
 _shipped: set[str] = set()
 
 
