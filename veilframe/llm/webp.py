@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Generator, Iterable, Iterator
@@ -657,29 +658,27 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
         lengths[used] = 1
         return lengths
     order = used[np.argsort(counts[used], kind="stable")]
-    weights, n = counts[order].tolist(), len(order)
+    weights, n = [*counts[order].tolist(), math.inf], len(order)
     while True:
         # leaves by rising weight and the inner nodes, which arise by rising weight: the two lightest are at the heads of both queues
-        tree, parent, leaf, inner = [], [0] * (2 * n - 1), 0, 0
-        for node in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if inner == len(tree) or (leaf < n and weights[leaf] <= tree[inner]):
-                    total += weights[leaf]
-                    parent[leaf] = node
-                    leaf += 1
-                else:
-                    total += tree[inner]
-                    parent[n + inner] = node
-                    inner += 1
-            tree.append(total)
+        tree, parent, leaf, inner = [math.inf] * n, [0] * (2 * n - 1), 0, 0
+        for k in range(n - 1):
+            if weights[leaf] <= tree[inner]:
+                total, parent[leaf], leaf = weights[leaf], n + k, leaf + 1
+            else:
+                total, parent[n + inner], inner = tree[inner], n + k, inner + 1
+            if weights[leaf] <= tree[inner]:
+                total, parent[leaf], leaf = total + weights[leaf], n + k, leaf + 1
+            else:
+                total, parent[n + inner], inner = total + tree[inner], n + k, inner + 1
+            tree[k] = total
         depth = [0] * (2 * n - 1)
         for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
         if max(depth) <= longest:
             lengths[order] = depth[:n]
             return lengths
-        weights = [(w + 1) // 2 for w in weights]
+        weights = [*((w + 1) // 2 for w in weights[:n]), math.inf]
 
 
 def code_bits(lengths: np.ndarray) -> np.ndarray:
@@ -757,7 +756,7 @@ def riff(chunk: bytes) -> bytes:
 BLOCK_BITS = 3
 #: Predictor modes that the writer tries; bits of the colour cache, and pixels from which on an image may gain by one.
 WRITER_MODES = (1, 2, 11, 12)
-CACHE_BITS, CACHE_FROM = 8, 512
+CACHE_BITS, CACHE_FROM = 8, 1024
 #: Shortest back-reference, in pixels, and the longest that the format has.
 SHORTEST, FURTHEST_COPY = 3, 4096
 
@@ -990,7 +989,7 @@ def encode_rgb(data: bytes, width: int) -> bytes:
     w.put(height - 1, 14)
     w.put(0, 4)  # opaque, version 0
     choice = None
-    if np.unique(pixels[:300]).size <= 256 and (colours := np.unique(pixels)).size <= 256:
+    if len(set(pixels[:300].tolist())) <= 256 and (colours := np.unique(pixels)).size <= 256:
         index = np.searchsorted(colours, pixels)
         packed = entropy(np.bincount(index)) / (8 if len(colours) <= 2 else 4 if len(colours) <= 4 else 2 if len(colours) <= 16 else 1) + 20 * len(colours)
         if packed < _literal_bits(image):
