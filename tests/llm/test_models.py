@@ -329,6 +329,41 @@ def test_pipeline_against_brute_force(spark, sf_dir):
         assert r.exact and r.ids == LIBRARY.encode_ordinary(expected[r.doc_id]) and r.n_tokens == len(r.ids)
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null texts and ids, repeated rows, long texts, columns that are named like results, no ``n_chars``; and an empty table."""
+    long = "the quick brown fox jumps over it all " * 6000
+    rows = [(1, None, "en", "a", [1], 1), (2, "", "en", "a", [1], 2), (None, "a text without any id at all", None, None, [1], 3), (4, long, "de", "b", [1], 4), (5, "write to jo@example.org now, please do", "en", "a", [1], 5), (5, "write to jo@example.org now, please do", "en", "a", [1], 5), (7, "another one that is not like the others", "fr", "b", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, ids array<int>, `__extra` int")
+    spark.createDataFrame([(900 + i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, now, str(tmp_path))
+            if name != "byte_bpe":
+                assert after.columns == docs.columns, name
+            after.write.parquet(str(tmp_path / f"{name}-{start is docs}"))
+            now = spark.read.parquet(str(tmp_path / f"{name}-{start is docs}"))
+        got = now.collect()
+        assert now.columns == ["doc_id", "lang", "source", "__extra", "ids", "n_tokens", "exact"] and all(r.exact for r in got)
+        if start is docs:
+            assert {r.doc_id for r in got} <= {None, 4, 5, 7} and {5, 7} & {r.doc_id for r in got}
+            (clean,) = [r.text for r in spark.read.parquet(str(tmp_path / "personal_data-True")).where("doc_id = 5").collect()]
+            assert clean == "write to [EMAIL] now, please do"
+        else:
+            assert not got
+
+
+def test_the_pipeline_leaves_its_last_table_only(spark, sf_dir):
+    from pathlib import Path
+
+    from veilframe.sources.scratch import scratch_dir
+
+    folder = Path(scratch_dir(spark).removeprefix("file://")) / "veilframe"
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    last = corpus_pipeline.run(spark, sf_dir)
+    assert last.count() > 0 and [x.rpartition("-")[0] for x in {p.name for p in folder.iterdir()} - before] == ["stage-byte_bpe"]
+
+
 def test_the_rest_does_not_need_this_subpackage():
     import subprocess
 

@@ -140,7 +140,7 @@ def quotas(histogram: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
         goal, whole = round(float(pdf["target"].iloc[0])), int(pdf["source_size"].iloc[0])
         passes = min(goal // whole, cap) if whole else 0
         extra = solve(pdf["size"].to_numpy(np.int64), pdf["number"].to_numpy(np.int64), goal - passes * whole if passes < cap else 0)
-        return pdf.assign(passes=passes, extra=extra)
+        return pdf.assign(passes=(pdf["size"] > 0) * passes, extra=extra)  # texts without words are never taken
 
     named = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     g = goals.select(F.col("source").alias("g_source"), "source_size", "target")

@@ -182,15 +182,14 @@ def assemble(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Model
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS) -> Model:
     """Learn from the labelled rows that are not held out.
 
-    Without rows of one of the classes there is nothing to compare: every score is then the share of toxic rows, and 0
-    if there are no labels at all. Labels other than 0 and 1, null ids and null texts are left out; of several labels
+    Without labelled texts of both classes there is nothing to compare: every score is 0 then, so that no text is rejected without evidence. Labels other than 0 and 1, null ids and null texts are left out; of several labels
     of an id, and of equal texts, the toxic one counts.
     """
     ship(docs.sparkSession)
     sample, totals = _sample(docs, labels, id_col, text, label, max_docs)
     n = {c: totals.get(c, 0) for c in (0, 1)}
     if not n[0] or not n[1]:
-        return Model(offset=500.0 if n[1] else -500.0).prepare()
+        return Model(offset=-500.0).prepare()
     # hashes and two counts of the words of a sample of bounded size reach the driver
     found = _count(sample).toPandas()
     model = assemble(found["w"].to_numpy(np.int64), found["o"].to_numpy(), found["t"].to_numpy())
@@ -213,10 +212,11 @@ def _calibrate(model: Model, sample: DataFrame, n: dict[int, int]) -> None:
     judged = sample.select("toxic", without_it("body", "toxic").alias("x")).collect()
     shared.unpersist()
     x, y = np.array([r["x"] for r in judged], float).reshape(-1, 2), np.array([r["toxic"] for r in judged], float)
-    share = n[1] / (n[0] + n[1])
-    model.offset = math.log(share / (1 - share))
     if not 0 < y.sum() < len(y):
+        model.offset = -500.0
         return
+    share = n[1] / (n[0] + n[1])
+    model.offset = math.log(share / (1 - share))
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
     middle, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = np.column_stack([(x - middle) / scale, np.ones(len(x))])
