@@ -22,8 +22,9 @@ MAX_REPEAT_PERCENT = 20
 FENCE = 8
 #: Rows that a cell needs for quartiles of its own.
 SUPPORT = 50
-#: Measures in thousandths and the least quartile range each is given, so that a constant measure makes no fence of width 0.
-MEASURES = {"symbols": 25, "repeats": 25, "dup_lines": 50, "word_length": 500}
+#: Measures in thousandths (repeated lines in ten-thousandths) and the least quartile range each is given, so that a constant measure makes no fence of width 0. With
+#: ``FENCE`` they leave each measure room to reject what the fixed rules let through: these allow 200 of repeats, a fence begins at 80.
+MEASURES = {"symbols": 25, "repeats": 10, "dup_lines": 10, "word_length": 300}
 TWO_SIDED = ("word_length",)
 
 

@@ -125,7 +125,7 @@ q2 AS (SELECT measure, max(n) AS n, min(b) FILTER (4 * up >= n) AS q1, min(b) FI
   (SELECT *, count(*) OVER (PARTITION BY measure) AS n, count(*) OVER (PARTITION BY measure ORDER BY b) AS up FROM v) GROUP BY ALL),
 fence AS (
   SELECT lang, source, measure, lo - width AS low, hi + width AS high FROM (
-    SELECT *, 8 * greatest(hi - lo, CASE measure WHEN 'symbols' THEN 25 WHEN 'repeats' THEN 25 WHEN 'dup_lines' THEN 50 ELSE 500 END) AS width FROM (
+    SELECT *, 8 * greatest(hi - lo, CASE measure WHEN 'symbols' THEN 25 WHEN 'repeats' THEN 10 WHEN 'dup_lines' THEN 10 ELSE 300 END) AS width FROM (
       SELECT a.lang, a.source, a.measure, CASE WHEN a.n >= 50 THEN a.q1 WHEN b.n >= 50 THEN b.q1 ELSE c.q1 END AS lo, CASE WHEN a.n >= 50 THEN a.q3 WHEN b.n >= 50 THEN b.q3 ELSE c.q3 END AS hi
       FROM q0 a JOIN q1 b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN q2 c ON a.measure = c.measure))),
 wide AS (SELECT lang, source, max(high) FILTER (measure = 'symbols') AS s, max(high) FILTER (measure = 'repeats') AS p, max(high) FILTER (measure = 'dup_lines') AS l,
