@@ -119,8 +119,11 @@ class Matcher:
         made = self.render_all([text], [language], [spared]).to_pylist()[0]
         return made["rendered"], made["replacements"], made["spans"]
 
-    def render_all(self, texts: Iterable[str | None], languages: Iterable[str | None], spared: Iterable[frozenset[bytes]] | None = None) -> pa.StructArray:
-        """Rows ``(rendered, replacements, spans)`` as Arrow columns, whose values are appended flat; null texts give nulls."""
+    def render_all(self, texts: Iterable[str | None], languages: Iterable[str | None], spared: Iterable[frozenset[bytes]] | None = None, whole: bool = True) -> pa.Array:
+        """Rows ``(rendered, replacements, spans)`` as Arrow columns, whose values are appended flat; null texts give nulls.
+
+        Without ``whole`` only the lists of replacements are made.
+        """
         texts = list(texts)
         spared = spared or [frozenset()] * len(texts)
         rendered: list[str | None] = []
@@ -137,16 +140,20 @@ class Matcher:
                 start, end = (np.fromiter((c[k] for c in found), np.int64, n) for k in (0, 1))
                 grown = np.fromiter(map(len, news), np.int64, n) - (end - start)
                 shift = np.cumsum(grown)
-                out, at = [], 0
-                for (a, b, k, new), coded in zip(found, news, strict=True):
-                    out += [raw[at:a], coded]
-                    at = b
+                for a, b, k, new in found:
                     originals.append(raw[a:b].decode())
                     aliases.append(new)
                     sources.append(self.terms[k].policy_source)
-                rendered.append(b"".join([*out, raw[at:]]).decode())
                 places.append(np.stack([np.arange(n), start, end, start + shift - grown, end + shift], axis=1))
                 categories += zones(language or "text", raw, start)
+                r_ends[i + 1] = n
+                if not whole:
+                    continue
+                out, at = [], 0
+                for (a, b, *_), coded in zip(found, news, strict=True):
+                    out += [raw[at:a], coded]
+                    at = b
+                rendered.append(b"".join([*out, raw[at:]]).decode())
                 # spans: what lies before each replacement, the replacement, and what lies behind the last
                 edges = np.empty(2 * n + 2, np.int64)
                 edges[0], edges[-1], edges[1:-1:2], edges[2:-1:2] = 0, len(raw), start, end
@@ -159,7 +166,7 @@ class Matcher:
                 # a replacement has no line end on either side
                 line = 1 + np.searchsorted(ends_of_lines, edges[kept])
                 pieces.append(np.stack([np.where(kept % 2, kept // 2, -1), edges[kept], edges[kept + 1], moved[kept], moved[kept + 1], line], axis=1))
-                r_ends[i + 1], s_ends[i + 1] = n, len(kept)
+                s_ends[i + 1] = len(kept)
             else:
                 rendered.append(None)
         none = pa.array([t is None for t in texts])
@@ -169,12 +176,14 @@ class Matcher:
             [pa.array(numbers[:, 0]), pa.array(categories, pa.string()), pa.array(originals, pa.string()), pa.array(aliases, pa.string()), pa.array(sources, pa.string()), *(pa.array(numbers[:, k]) for k in (1, 2, 3, 4))],
             ["id", "category", "original_text", "sanitized_text", "policy_source", "original_start", "original_end", "sanitized_start", "sanitized_end"],
         )
+        listed = lambda e, values: pa.ListArray.from_arrays(pa.array(np.cumsum(e, dtype=np.int32)), values, mask=none)
+        if not whole:
+            return listed(r_ends, replacements)
         spans = pa.StructArray.from_arrays(
             [pa.array(tiles[:, 0], mask=tiles[:, 0] < 0), *(pa.array(tiles[:, k]) for k in (1, 2, 3, 4)), pa.array(tiles[:, 5]), pa.array(tiles[:, 5])],
             ["replacement_id", "original_start", "original_end", "sanitized_start", "sanitized_end", "original_line_start", "sanitized_line_start"],
         )
-        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum(e, dtype=np.int32)), values, mask=none) for e, values in ((r_ends, replacements), (s_ends, spans))]
-        return pa.StructArray.from_arrays([pa.array(rendered, pa.string()), *lists], ["rendered", "replacements", "spans"])
+        return pa.StructArray.from_arrays([pa.array(rendered, pa.string()), listed(r_ends, replacements), listed(s_ends, spans)], ["rendered", "replacements", "spans"])
 
 
 class Placed(Matcher):

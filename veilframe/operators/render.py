@@ -169,6 +169,21 @@ def reverse(rendered: DataFrame) -> Column:
     return F.array_join(F.transform("map.spans", lambda s: F.when(s["replacement_id"].isNull(), part(s)).otherwise(F.get("map.replacements", s["replacement_id"].cast("int"))["original_text"])), "")
 
 
+def replacements_of(docs: DataFrame, terms: list[Term], text: str = "text", id_col: str = "doc_id", language: Column | None = None, protected: frozenset[str] = frozenset()) -> DataFrame:
+    """What ``audit`` of a render lists, without rendering: one row for each replacement that the terms would make."""
+    ship(docs.sparkSession)
+    policy, names = tuple(terms), docs.sparkSession.sparkContext.broadcast(protected)
+
+    @F.arrow_udf(f"array<{REPLACEMENT}>")
+    def listed(bodies: pa.Array, languages: pa.Array) -> pa.Array:
+        from veilframe.functions.matcher import matcher_for
+
+        return matcher_for(policy, names.value).render_all(bodies.to_pylist(), languages.to_pylist(), whole=False)
+
+    found = listed(F.col(text), language if language is not None else F.lit("text"))
+    return docs.select(id_col, F.explode(found).alias("r")).select(id_col, "r.*")
+
+
 def audit(rendered: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each replacement, keyed by document and ordinal."""
     return rendered.select(id_col, F.explode("map.replacements").alias("r")).select(id_col, "r.*")

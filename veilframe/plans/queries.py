@@ -139,7 +139,8 @@ _PARTS = f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{_ANY}') AS hit
 
 @query("span_map", _PARTS + " SELECT doc_id, CAST(i - 1 AS BIGINT) AS id, original_text, sanitized_text, original_start, sanitized_start FROM s")
 def span_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.audit(_rendered(spark, sf_dir)).select("doc_id", "id", "original_text", "sanitized_text", "original_start", "sanitized_start")
+    docs = spread(_docs(spark, sf_dir).select("doc_id", "text"))
+    return render.replacements_of(docs, _terms(spark)).select("doc_id", "id", "original_text", "sanitized_text", "original_start", "sanitized_start")
 
 
 @query("running_offsets", _PARTS + " SELECT doc_id, CAST(i - 1 AS BIGINT) AS id, sanitized_start AS shifted_start, true AS same FROM s")
@@ -182,7 +183,7 @@ _ZONES = _PARTS.replace(" u AS (", " z AS (SELECT doc_id, list_concat(flatten(li
 @query("audit", _ZONES + f", l AS (SELECT doc_id, i, lower(original_text) AS term, {_LINE_BEFORE} AS line FROM s JOIN z USING (doc_id)) SELECT term, CASE WHEN regexp_matches(line, '//|#') THEN 'comment' ELSE 'identifier' END AS category, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM l GROUP BY ALL")
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacements by term and zone: in texts without a language what stands behind ``//`` or ``#`` on a line is a comment."""
-    listed = render.audit(_rendered(spark, sf_dir))
+    listed = render.replacements_of(spread(_docs(spark, sf_dir).select("doc_id", "text")), _terms(spark))
     return listed.groupBy(F.lower("original_text").alias("term"), "category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_documents"))
 
 
