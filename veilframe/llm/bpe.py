@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -100,15 +101,15 @@ class Encoder:
 
     # -- pieces -----------------------------------------------------------------------------------------------
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each piece. A piece that is a token itself is that token."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of each piece, as the bytes of int32. A piece that is a token itself is that token."""
+        out: list[bytes | None] = [None] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if p in self.ranks:
-                out[i] = np.array([self.ranks[p]], np.int32)
+                out[i] = self.ranks[p].to_bytes(4, sys.byteorder)
             elif len(p) > MATRIX_BYTES:
-                out[i] = self._merge_heap(p)
+                out[i] = self._merge_heap(p).tobytes()
             else:
                 buckets.setdefault(max(4, -(-len(p) // 4) * 4), []).append(i)
         for width, members in buckets.items():
@@ -119,7 +120,7 @@ class Encoder:
                     out[i] = ids
         return out
 
-    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         n = len(pieces)
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
         size = np.array([len(p) for p in pieces])
@@ -132,8 +133,12 @@ class Encoder:
             best = ranks[lines, at] if ranks.shape[1] else np.full(len(rows), NONE)
             ended = best == NONE
             if ended.any():
-                for k in np.flatnonzero(ended).tolist():
-                    done[rows[k]] = ids[k][ids[k] >= 0]
+                over = ids[ended]
+                real = over >= 0
+                flat, edge = over[real].tobytes(), 0
+                for k, n_ids in zip(rows[ended].tolist(), real.sum(axis=1).tolist(), strict=True):
+                    done[k] = flat[edge : edge + 4 * n_ids]
+                    edge += 4 * n_ids
                 ids, ranks, rows, at, best = ids[~ended], ranks[~ended], rows[~ended], at[~ended], best[~ended]
                 lines = np.arange(len(rows))
                 if not len(rows):
@@ -223,12 +228,19 @@ class Encoder:
             yield np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32)
 
     def _learn(self, chunks: set[str]) -> None:
-        names = sorted(chunks)
-        pieces = [[p.encode("utf-8", "surrogatepass") for p in self.matches(c)] for c in names]
-        different = sorted({p for own in pieces for p in own})
+        whole, cut = [], {}
+        for c in chunks:
+            # a space and letters are one match of the published pattern; below U+0590 all versions of Unicode agree on letters
+            word = c[1:] if c[0] == " " else c
+            if self.space_led and word.isalpha() and (word.isascii() or max(word) < "\u0590"):
+                whole.append(c)
+            else:
+                cut[c] = [p.encode("utf-8", "surrogatepass") for p in self.matches(c)]
+        self.known.update(zip(whole, self.encode_pieces([c.encode("utf-8", "surrogatepass") for c in whole]), strict=True))
+        different = list({p for own in cut.values() for p in own})
         ids = dict(zip(different, self.encode_pieces(different), strict=True))
-        for c, own in zip(names, pieces, strict=True):
-            self.known[c] = ids[own[0]].tobytes() if len(own) == 1 else b"".join(ids[p].tobytes() for p in own)
+        for c, own in cut.items():
+            self.known[c] = ids[own[0]] if len(own) == 1 else b"".join(map(ids.__getitem__, own))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a sequence of ids."""
