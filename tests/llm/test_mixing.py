@@ -1,9 +1,11 @@
 import itertools
+import re
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veilframe.llm import mixing, queries
 
@@ -76,6 +78,16 @@ def test_knapsack_is_optimal(items, rest):
     assert abs(int((taken * lengths).sum()) - rest) == min(abs(s - rest) for s in sums)
 
 
+def test_words_of_all_sorts(spark):
+    from veilframe.llm import licenses, shared
+
+    texts = [None, "", " ", "\n\t ", "a", " a", "a ", " a b ", "a\x0b\x0cb\r\nc", "é\u00a0x \u2003y", "\x1c a\x85b", "  x  " * 5000, "a,b;c--D_e9", "--", "ÄÖ-ü"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", shared.split_words(F.col("t")).alias("w"), mixing.word_count(F.col("t")).alias("n"), shared.count_words(F.col("t"), licenses.RAW_SEPARATORS).alias("k")).collect()
+    for r in rows:
+        expected = re.findall(r"[^\x20\x09-\x0D]+", r.t or "")
+        assert (r.w, r.n, r.k) == (expected, len(expected), len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r.t or ""))), repr(r.t)[:50]
+
+
 def corpus(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, size string, copies int")
 

@@ -109,6 +109,14 @@ def test_license_texts_give_their_licenses(spark):
     assert all(r.score >= 0.8 for r in got.values() if r.labels) and got[len(TEXTS) - 1].score == 0
 
 
+def test_the_gate_is_its_pattern(spark):
+    r = random.Random(6)
+    parts = [*licenses.GATE_WORDS, "CC", "by", "cc by", "MIT", "no", "public", "DOMAIN", " ", "-", "x", "é", "İ", "K", "licEN", "c c0", "\n"]
+    texts = ["".join(r.choice(parts[-16:] if i % 2 else parts) for _ in range(r.randint(0, 4))) for i in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", licenses.passes_gate(F.col("t")).alias("g")).collect()
+    assert all(x.g or not re.search(licenses.GATE, x.t, re.ASCII) for x in rows) and sum(not x.g for x in rows) > 100
+
+
 def plain_scan(text):
     """Labels and score without gate, tags or the running maximum: every rule on the words, and every pair of detections compared."""
     lower = "".join(c.lower() if c.isascii() else c for c in text or "")
