@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilframe.functions import matcher as M
-from veilframe.operators import aliasing, chunks, diffs, graph, indexing, patching, paths, policy, render, review, symbols, transactions, vectors, verify
+from veilframe.functions import text as T
+from veilframe.operators import aliasing, chunks, diffs, graph, incremental, indexing, patching, paths, policy, render, review, search, symbols, transactions, vectors, verify
 from veilframe.sources import corpus, scratch
 from veilframe.streaming import redact
 
@@ -446,3 +447,19 @@ def test_random_tables_are_numbered_the_same(spark):
     rows = frame(spark, "k long, g string", *((i, r.choice("ab")) for i in range(60)))
     a = {x.k: x.batch for x in chunks.batches(rows, 7, F.col("g"), "k").collect()}
     assert a == {x.k: x.batch for x in chunks.batches(rows.repartition(5), 7, F.col("g"), "k").collect()}
+
+
+def test_small_operators(spark):
+    state = frame(spark, "path string, mtime long, length long", ("a", 1, 5), ("b", 2, 6), ("c", 0, 7))
+    listing = frame(spark, "path string, mtime long, length long", ("a", 1, 5), ("b", 2, 9), ("c", 0, 7), ("d", 4, 1))
+    assert {r.path for r in incremental.unread(listing, state).collect()} == {"b", "c", "d"}
+    moved = incremental.touched(state, frame(spark, "path string, mtime long", ("a", 8), ("z", 1)), "path", ["mtime"])
+    assert {(r.path, r.mtime, r.length) for r in moved.collect()} == {("a", 8, 5), ("b", 2, 6), ("c", 0, 7)}
+    assert [r.path for r in search.list_documents(listing, "path", "[ad]").collect()] == ["a", "d"] and [r.path for r in search.list_documents(listing, "path").collect()] == ["a", "b", "c", "d"]
+    ops = frame(spark, "old_path string, new_path string", ("/dev/null", "b/x"), ("a/x", "/dev/null"), ("a/x", "b/x"))
+    assert [r.o for r in ops.select(diffs.file_operation().alias("o")).collect()] == ["create", "delete", "modify"]
+    assert incremental.corpus_fingerprint(frame(spark, "doc_id string, fingerprint string", ("x", "1"), ("y", "2"))).count() == 1
+    names = frame(spark, "a string, b string", ("readConfigFile", "configFileReader"), ("alpha", "beta"))
+    assert [bool(r.x) for r in names.select(T.shares_owner(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False]
+    settings_ = frame(spark, "name string, value double", ("chunk_lines", float("nan")), ("chunk_overlap", 3.0))
+    assert [(r.check, r.raw) for r in policy.setting_violations(settings_).collect()] == [("no number", "chunk_lines")]

@@ -5,6 +5,8 @@ A policy is small by nature (people write it), so its tables may be broadcast an
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -40,6 +42,17 @@ def collect_terms(table: DataFrame) -> list[Term]:
     return [Term(r["raw"], r["normalized"], r["replacement"], r["policy_source"]) for r in table.orderBy("raw").collect()]
 
 
+def term_array(table: DataFrame):  # noqa: ANN201
+    """A term table as one literal ``array<struct<raw, normalized, alias>>``, for tests of each row against all terms; a policy is small."""
+    rows = [{"raw": t.raw, "normalized": t.normalized, "alias": _plain(t.replacement)} for t in collect_terms(table)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<raw:string,normalized:string,alias:string>>")
+
+
+def _plain(term: str) -> str:
+    """What ``normalize_term`` makes of one term."""
+    return "".join(c.lower() if c.isascii() else c for c in term if c not in "_-")
+
+
 def policy_violations(policy: DataFrame, salt: str = "") -> DataFrame:
     """``(check, raw, other)``: entries that can never match, aliases of two terms, aliases that hold a term."""
     bad_term = policy.where(~is_run(F.col("raw"))).select(F.lit("unmatchable term").alias("check"), "raw", F.lit(None).cast("string").alias("other"))
@@ -47,8 +60,9 @@ def policy_violations(policy: DataFrame, salt: str = "") -> DataFrame:
     terms = term_table(policy, salt).withColumn("alias_norm", normalize_term(F.col("replacement")))
     a, b = terms.alias("a"), terms.alias("b")
     shared = a.join(b, (F.col("a.alias_norm") == F.col("b.alias_norm")) & (F.col("a.raw") > F.col("b.raw"))).groupBy("a.raw").agg(F.min("b.raw").alias("other")).select(F.lit("shared alias").alias("check"), "raw", "other")
-    # every pair of a few terms is looked at: one side is a handful of rows
-    dirty = a.join(F.broadcast(b), F.contains(F.col("a.alias_norm"), F.col("b.normalized"))).select(F.lit("alias holds a term").alias("check"), F.col("a.raw").alias("raw"), F.col("b.raw").alias("other"))
+    # every pair of a few terms is looked at: the terms go along as one literal
+    known = F.filter(term_array(terms), lambda t: F.contains(F.col("alias_norm"), t["normalized"]))
+    dirty = terms.select("raw", F.explode(known).alias("t")).select(F.lit("alias holds a term").alias("check"), "raw", F.col("t.raw").alias("other"))
     return bad_term.unionByName(bad_alias).unionByName(shared).unionByName(dirty)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from veilframe.functions.text import is_run, normalize_term, runs, valid_identifier
+from veilframe.operators.policy import term_array
 from veilframe.sources.scratch import ship
 
 
@@ -31,11 +32,9 @@ def validate(proposals: DataFrame, docs: DataFrame, terms: DataFrame, allowlist:
     # policies are small tables that people write
     p = p.join(F.broadcast(allowlist.select(normalize_term(F.col("raw")).alias("_o")).distinct().withColumn("_allowed", F.lit(True))), "_o", "left")
     p = p.join(F.broadcast(terms.select(F.col("normalized").alias("_o")).distinct().withColumn("_mapped", F.lit(True))), "_o", "left")
-    held = terms.agg(F.collect_list(F.struct("raw", "normalized", normalize_term(F.col("replacement")).alias("alias"))).alias("_terms"))
-    p = p.join(F.broadcast(held))
     # protected names grow with the corpus: a plain join, whose strategy adaptive execution picks by size
     p = p.join(protected.select(F.col("name").alias("original_text")).distinct().withColumn("_protected", F.lit(True)), "original_text", "left")
-    others = F.filter("_terms", lambda t: t["raw"] != o)
+    others = F.filter(term_array(terms), lambda t: t["raw"] != o)
     reason = (
         F.when(F.coalesce(o, F.lit("")) == "", "original is empty")
         .when(~F.col("category").isin("identifier", "string"), "only identifiers and strings are reviewed")
@@ -54,7 +53,7 @@ def validate(proposals: DataFrame, docs: DataFrame, terms: DataFrame, allowlist:
     )
     flag = F.when(F.col("_protected"), "protected name").when(F.col("confidence") < threshold, "low confidence").otherwise("clean")
     checked = p.withColumns({"reason": reason}).withColumn("flag", F.when(F.col("reason").isNull(), flag))
-    return checked.drop("_text", "_code", "_language", "_o", "_s", "_allowed", "_mapped", "_terms", "_protected")
+    return checked.drop("_text", "_code", "_language", "_o", "_s", "_allowed", "_mapped", "_protected")
 
 
 def without_comments(rows: DataFrame, text: Column, language: Column) -> Column:
@@ -91,9 +90,10 @@ def symbol_candidates(symbols: DataFrame, occurrences: DataFrame, aliases: DataF
 
 
 def path_candidates(paths: DataFrame, denied: DataFrame, path: str = "path") -> DataFrame:
-    """``(path, part)``: parts of paths that hold a denied term (``normalized``); denied terms are a policy, so they are sent along."""
+    """``(path, part)``: parts of paths that hold a denied term (``normalized``); denied terms are a policy, so they go along as one literal."""
     parts = paths.select(F.col(path).alias("path"), F.explode(F.array_distinct(F.split(path, "/"))).alias("part"))
-    return parts.join(F.broadcast(denied.select("normalized").distinct()), F.contains(normalize_term(F.col("part")), F.col("normalized"))).select("path", "part").distinct()
+    terms = F.array(*(F.lit(r["normalized"]) for r in denied.select("normalized").distinct().collect())).cast("array<string>")
+    return parts.where(F.exists(terms, lambda t: F.contains(normalize_term(F.col("part")), t))).distinct()
 
 
 def decide(reviews: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -152,8 +152,8 @@ def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("span_tiling", "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_faults FROM documents")
 def span_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = materialize(_rendered(spark, sf_dir), "renders")
-    faults = render.tiling_faults(made).agg(F.count(F.lit(1)).alias("n_faults"))
-    return made.agg(F.count(F.lit(1)).alias("n_documents")).join(faults)
+    both = made.select(F.lit(1).alias("d"), F.lit(0).alias("f")).unionByName(render.tiling_faults(made).select(F.lit(0).alias("d"), F.lit(1).alias("f")))
+    return both.agg(F.sum("d").alias("n_documents"), F.coalesce(F.sum("f"), F.lit(0)).cast("long").alias("n_faults"))
 
 
 @query("reverse_roundtrip", "SELECT doc_id, sha256(text) AS digest FROM documents")

@@ -242,7 +242,8 @@ def transaction_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = transactions.commit_transaction(docs, control, ledger, previewed, "t1", 7)
     state = transactions.commit_transaction(*state, previewed, "t1", 7)
     after, moved, entries = state
-    return after.select("doc_id", F.sha2("text", 256).alias("digest")).crossJoin(F.broadcast(moved.limit(1))).crossJoin(F.broadcast(entries.select("status").limit(1)))
+    revision, status = moved.first()["revision"], entries.first()["status"]
+    return after.select("doc_id", F.sha2("text", 256).alias("digest"), F.lit(revision).cast("long").alias("revision"), F.lit(status).alias("status"))
 
 
 # -- symbols ----------------------------------------------------------------------------------------------------------

@@ -41,7 +41,8 @@ def maintain_index(changes: DataFrame, state_root: str, terms: list[Term], check
         version = current_version(batch.sparkSession, state_root)
         if version is not None and version >= number:
             return
-        latest = batch.groupBy(key).agg(F.last("text").alias("text"))
+        # of several rows of a document in a batch the largest text counts, whatever their order
+        latest = batch.groupBy(key).agg(F.max("text").alias("text"))
         listing = latest.where("text is not null").select(key, F.lit(0).cast("long").alias("mtime"), F.octet_length("text").cast("long").alias("length"))
         state = indexing.empty_state(listing, key) if version is None else read_snapshot(batch.sparkSession, state_root)
         touched = state.join(latest.select(key), key, "left_semi")
