@@ -396,21 +396,10 @@ def test_embedding_waits_and_gives_up(spark):
     waits = []
     busy = vectors.Busy("x", 99)
     assert busy.__reduce__()[1] == ("x", 99)
-    run = lambda m: list(vectors_ask(m, waits))
+    run = lambda m: vectors.ask(m, ["t"], waits.append)
     assert run(Model(1, vectors.Busy("x", 99))) and waits[-1] == vectors.LONGEST_WAIT and run(Model(2, ConnectionError())) and waits[-2:] == [0.5, 1.0]
 
 
-def vectors_ask(model, waits):
-    """The retry loop alone, outside Spark."""
-    import inspect
-
-    source = inspect.getsource(vectors.embed)
-    body = source[source.index("    def ask") : source.index("    def run")]
-    scope = dict(vars(vectors), model=model, wait=waits.append)
-    exec("from __future__ import annotations\n" + inspect.cleandoc("\n" + body), scope)  # noqa: S102
-    return scope["ask"](["t"])
-
-
 def test_numbers_within_hot_groups(spark):
     rows = spark.range(500).selectExpr("id", "IF(id % 10 = 0, CAST(id % 3 AS string), IF(id % 17 = 0, NULL, 'hot')) AS g")
     got = {}

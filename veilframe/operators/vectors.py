@@ -60,35 +60,39 @@ TRIES, FIRST_WAIT, LONGEST_WAIT = 3, 0.5, 30.0
 TRANSIENT = (Busy, TimeoutError, ConnectionError)
 
 
-def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "chunk", batch: int = 64, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Adds ``vector`` by a caller's model, a batch at a time.
+def ask(model: Callable[[list[str]], list[list[float]]], texts: list[str], wait: Callable[[float], None] = time.sleep) -> list[list[float]]:
+    """A model's vectors for some texts.
 
-    A batch is tried three times where the failure may pass (``TRANSIENT``), after waiting as long as the model says (30 seconds at most) or half a second, then one. Other
+    It is asked three times where the failure may pass (``TRANSIENT``), after waiting as long as it says (30 seconds at most) or half a second, then one. Other
     errors are raised at once, and so is an answer with another number of vectors.
     """
+    for attempt in range(TRIES):
+        try:
+            found = model(texts)
+        except TRANSIENT as e:
+            if attempt == TRIES - 1:
+                raise
+            asked = getattr(e, "retry_after", None)
+            wait(min(FIRST_WAIT * 2**attempt if asked is None else max(asked, 0.0), LONGEST_WAIT))
+        else:
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+            return found
+    raise AssertionError
+
+
+def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "chunk", batch: int = 64, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Adds ``vector`` by a caller's model, a batch at a time, as ``ask`` does."""
     ship(chunks.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", vector array<float>"
 
-    def ask(texts: list[str]) -> list[list[float]]:
-        for attempt in range(TRIES):
-            try:
-                found = model(texts)
-            except TRANSIENT as e:
-                if attempt == TRIES - 1:
-                    raise
-                asked = getattr(e, "retry_after", None)
-                wait(min(FIRST_WAIT * 2**attempt if asked is None else max(asked, 0.0), LONGEST_WAIT))
-            else:
-                if len(found) != len(texts):
-                    raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
-                return found
-        raise AssertionError
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from veilframe.operators.vectors import ask as vectors_of
+
         for pdf in parts:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
-                yield part.assign(vector=ask(part[text].tolist()))
+                yield part.assign(vector=vectors_of(model, part[text].tolist(), wait))
 
     return chunks.mapInPandas(run, schema)
 
