@@ -20,7 +20,6 @@ import re
 import zlib
 from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,7 +39,7 @@ BLACK = 0xFF000000
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 #: Lanes that run together, and pixels they hold at most; both bound memory.
-LANES, LANE_PIXELS = 4096, 1 << 24
+LANES, LANE_PIXELS = 8192, 1 << 24
 
 
 class BadImage(ValueError):
@@ -1039,11 +1038,26 @@ def store_bytes(data: bytes, tile_rows: int = TILE_ROWS) -> bytes:
     return b"".join(encode_rgb(data[i : i + step], WIDTH) for i in range(0, len(data), step))
 
 
+#: Pixels of images that are decoded together.
+TOGETHER = 1 << 23
+
+
+def _size(chunk: bytes) -> int:
+    """Pixels of an image by its header."""
+    head = int.from_bytes(chunk[1:5], "little")
+    return ((head & 0x3FFF) + 1) * ((head >> 14 & 0x3FFF) + 1)
+
+
 def _decoded(chunks: Iterable[bytes]) -> Iterator[np.ndarray]:
-    """Images in order, so many at a time as run together, which bounds memory however many files a row has."""
-    chunks = iter(chunks)
-    while part := list(islice(chunks, LANES)):
-        yield from decode_many(part)
+    """Images in order, about ``TOGETHER`` pixels of them at a time, which bounds memory however many files a row has."""
+    part, pixels = [], 0
+    for c in chunks:
+        part.append(c)
+        pixels += _size(c)
+        if pixels >= TOGETHER or len(part) == LANES:
+            yield from decode_many(part)
+            part, pixels = [], 0
+    yield from decode_many(part)
 
 
 def load_bytes(media: list[bytes]) -> list[tuple[bytes, list[np.ndarray]]]:
@@ -1086,7 +1100,7 @@ def stored_texts(docs: DataFrame, text: str = "text") -> Column:
 
     Null and empty texts store one row of spaces. What is stored depends on the text alone, so repeated rows have equal
     values, whatever their ids (null ones too). Rows are taken in groups of about ``GROUP_BYTES``, which bounds memory; a longer text is a group by itself
-    and is decoded ``LANES`` tiles at a time. An empty table gives an empty column; no other column is read, so names cannot clash.
+    and is decoded about ``TOGETHER`` pixels at a time. An empty table gives an empty column; no other column is read, so names cannot clash.
     """
     ship(docs.sparkSession)
 
