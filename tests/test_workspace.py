@@ -452,3 +452,29 @@ def test_small_operators(spark):
     assert [bool(r.x) for r in names.select(T.shares_owner(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False]
     settings_ = frame(spark, "name string, value double", ("chunk_lines", float("nan")), ("chunk_overlap", 3.0))
     assert [(r.check, r.raw) for r in policy.setting_violations(settings_).collect()] == [("no number", "chunk_lines")]
+
+
+def test_uses_meet_their_symbols_up_the_tree(spark):
+    """By brute force over a deep tree whose uses and symbols share few names: no scratch table grows with pairs of them."""
+    draw = random.Random(5)
+    parent = {n: None if n % 100 == 0 else draw.choice((n - 1, n - 1, max(n - 3, n // 100 * 100))) for n in range(600)}
+    known = [(n, n // 100 % 2, draw.choice("ab")) for n in range(600) if n % 3]
+    used = [(draw.randrange(2), draw.randrange(600), draw.choice("abc"), draw.choice(("unresolved", "reference"))) for _ in range(400)] + [(0, None, "a", "unresolved"), (0, 5000, "a", "unresolved")]
+    tops = [(n, n - n % 25) for n, _, _ in known if n % 7]
+    below = set()
+    for doc, node, name, role in used:
+        while node is not None and role == "unresolved":
+            below.add((doc, name, node))
+            node = parent.get(node)
+    top = dict(tops)
+    expected = {n: n in top and (doc, name, top[n]) not in below for n, doc, name in known}
+    assert set(expected.values()) == {True, False} and {True, False} <= {expected[n] for n in top}
+    known = frame(spark, "symbol_id long, doc_id int, name string", *known)
+    nodes, uses = frame(spark, "node_id long, parent_id long", *parent.items()), frame(spark, "doc_id int, node_id long, name string, role string", *used)
+    none = frame(spark, "symbol_id long")
+    with scratch.scratch_space(spark) as made:
+        got = aliasing.complete_symbols(known, uses, nodes, frame(spark, "symbol_id long, node_id long", *tops), none, frame(spark, "canonical long, linked long"), none)
+        assert {r.symbol_id: r.complete for r in got.collect()} == expected
+        assert max(spark.read.parquet(p).count() for p in made) < 3_000 and len(made) < 30
+    with pytest.raises(ValueError, match="circle"):
+        graph.reached_above(frame(spark, "node_id long, parent_id long", (1, 2), (2, 1)), frame(spark, "node_id long, name string", (1, "a")))

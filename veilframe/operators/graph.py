@@ -93,6 +93,29 @@ def ancestors(nodes: DataFrame, starts: DataFrame, max_depth: int | None = None)
     return reduce(DataFrame.unionByName, found)
 
 
+def reached_above(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """``starts(node_id, ...)`` for each of their nodes and all ancestors of these in ``nodes(node_id, parent_id)``: ``node_id`` becomes the ancestor; rows may repeat.
+
+    Rows that meet at a node with the same other columns go on as one. Each round doubles the height, with pointers made of two of the round before, so the
+    number of rounds grows with the logarithm of the depth. Parent pointers that run in a circle above a start never end, so a height beyond the number of nodes raises.
+    """
+    others = [c for c in starts.columns if c != "node_id"]
+    pointers = materialize(nodes.where("parent_id is not null").select(F.col("node_id").alias("_from"), F.col("parent_id").alias("_to")), "pointers")
+    found, height, bound = materialize(starts.where("node_id is not null").distinct(), "reached"), 1, None
+    while True:
+        step = found.join(pointers, F.col("node_id") == F.col("_from")).select(F.col("_to").alias("node_id"), *others).distinct()
+        step = materialize(step, "reached")
+        if step.isEmpty():
+            return found
+        if height >= 64:
+            bound = bound if bound is not None else nodes.count()
+            if height >= bound:
+                raise ValueError("the parent pointers run in a circle")
+        found, height = found.unionByName(step), 2 * height
+        further = pointers.select(F.col("_from").alias("_middle"), F.col("_to").alias("_top"))
+        pointers = materialize(pointers.join(further, F.col("_to") == F.col("_middle")).select("_from", F.col("_top").alias("_to")), "pointers")
+
+
 def nearest_ancestor(closure: DataFrame, kinds: DataFrame, wanted: list[str], prefixes: list[str] = ()) -> DataFrame:
     """``(start, ancestor, depth)``: of each start the nearest ancestor of a wanted kind, or of one that begins with a wanted prefix; ``kinds(node_id, kind)``."""
     fits = reduce(lambda a, p: a | F.col("kind").startswith(p), prefixes, F.col("kind").isin(list(wanted)))
