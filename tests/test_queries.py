@@ -45,3 +45,13 @@ def test_query(spark, sf_dir, con, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 200
+
+
+def test_proposals_on_texts_with_marks_of_comments(spark, tmp_path):
+    """Against the SQL: documents are prose, so what follows ``#`` or ``//`` in them counts."""
+    texts = ["# the heading", "see https://host/the", "a // der # the", "/* der */", "#der\nder", "no mark", "##"]
+    rows = [(20 * n + s, text, "en", f"src{s}", len(text)) for n, text in enumerate(texts) for s in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(core.ORACLE_SQL["proposal_validation"].replace("FROM documents)", f"FROM '{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    assert len(want) == len(rows) and {r[1] for r in want} >= {"allowlisted", "already mapped"}
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.reason, r.flag)) for r in core.QUERIES["proposal_validation"](spark, str(tmp_path)).collect())

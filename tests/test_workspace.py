@@ -478,3 +478,12 @@ def test_uses_meet_their_symbols_up_the_tree(spark):
         assert max(spark.read.parquet(p).count() for p in made) < 3_000 and len(made) < 30
     with pytest.raises(ValueError, match="circle"):
         graph.reached_above(frame(spark, "node_id long, parent_id long", (1, 2), (2, 1)), frame(spark, "node_id long, name string", (1, "a")))
+
+
+def test_prose_has_no_comments(spark):
+    docs = frame(spark, "doc_id long, text string, language string", *((i, "x # shadow", language) for i, language in enumerate(("plaintext", "markdown", "text", None, "python"))))
+    offers = docs.select("doc_id", F.lit("shadow").alias("original_text"), F.lit("neutral").alias("sanitized_text"), F.lit("identifier").alias("category"), F.lit(0.9).alias("confidence"))
+    none = frame(spark, "raw string")
+    terms = policy.term_table(policy.entries(spark, [("dictionary", "other", "thing")]), "s")
+    got = {r.doc_id: r.reason for r in review.validate(offers, docs, terms, none, none.withColumnRenamed("raw", "name")).collect()}
+    assert got == {0: None, 1: None} | dict.fromkeys((2, 3, 4), "original stands in comments only")

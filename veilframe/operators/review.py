@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from veilframe.functions.matcher import PROSE
 from veilframe.functions.text import is_run, normalize_term, runs, valid_identifier
 from veilframe.operators.policy import term_array
 from veilframe.sources.scratch import ship
@@ -21,14 +22,15 @@ def heuristic_proposals(docs: DataFrame, denied: DataFrame, text: str = "text",
 def validate(proposals: DataFrame, docs: DataFrame, terms: DataFrame, allowlist: DataFrame, protected: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Adds ``reason`` (why a proposal is rejected; the first that holds, else null) and ``flag`` (clean or why it needs review).
 
-    ``proposals(key, original_text, sanitized_text, category, confidence)``; ``terms`` as a term table; ``allowlist(raw)``; ``protected(name)``.
+    ``proposals(key, original_text, sanitized_text, category, confidence)``; ``terms`` as a term table; ``allowlist(raw)``; ``protected(name)``. Where ``docs`` have no
+    ``language``, their texts count as code of an unknown one.
     """
     o, s = F.col("original_text"), F.col("sanitized_text")
     language = F.col("language") if "language" in docs.columns else F.lit("text")
     p = proposals.join(docs.select(key, F.col(text).alias("_text"), language.alias("_language")), key, "left").withColumns({"_o": normalize_term(o), "_s": normalize_term(s)})
-    # comments are only looked for where the original occurs at all and a comment can be
-    commented = F.contains("_text", o) & F.col("_text").rlike("//|/\\*|#")
-    p = p.withColumn("_code", F.when(commented, without_comments(proposals, F.col("_text"), F.col("_language"))).otherwise(F.col("_text")))
+    # comments are only looked for where the original occurs at all and a comment can be; prose has none, and no other texts are sent to Python
+    commented = ~F.coalesce("_language", F.lit("text")).isin(*PROSE) & F.contains("_text", o) & F.col("_text").rlike("//|/\\*|#")
+    p = p.withColumn("_code", F.coalesce(without_comments(proposals, F.when(commented, F.col("_text")), F.col("_language")), "_text"))
     # policies are small tables that people write
     p = p.join(F.broadcast(allowlist.select(normalize_term(F.col("raw")).alias("_o")).distinct().withColumn("_allowed", F.lit(True))), "_o", "left")
     p = p.join(F.broadcast(terms.select(F.col("normalized").alias("_o")).distinct().withColumn("_mapped", F.lit(True))), "_o", "left")

@@ -591,7 +591,7 @@ def latest_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHEN contains(s, 'the') OR contains(s, 'ation') OR contains(s, 'ing') THEN 'a term shows in the alias' WHEN s IN ('fen', 'mork', 'usk') THEN 'alias is taken' WHEN list_contains(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: replace(lower(x), '_', '')), s) THEN 'alias occurs in the text' END AS reason FROM n)
   SELECT doc_id, reason, CASE WHEN reason IS NULL THEN CASE WHEN original_text = 'The' THEN 'protected name' WHEN confidence < 0.8 THEN 'low confidence' ELSE 'clean' END END AS flag FROM r""")
 def proposal_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir).withColumn("language", F.lit("plaintext"))
     pick = lambda other, **cases: reduce(lambda w, kv: w.when(F.col("source") == kv[0], kv[1]), cases.items(), F.when(F.lit(False), F.lit(None))).otherwise(other)
     proposals = docs.select("doc_id", pick(F.regexp_extract("text", "[A-Za-z0-9_]+", 0), src1="absentword", src2="the", src3="der", src4="two words").alias("original_text"), pick("neutralname", src5="wa_the_r", src6="9lives", src7="fen").alias("sanitized_text"), pick("identifier", src8="comment", src9="string").alias("category"), F.when(F.col("source") == "src10", 0.5).otherwise(0.9).alias("confidence"))
     known = policy.term_table(policy.entries(spark, POLICY), SALT)
